@@ -45,9 +45,16 @@ WHITESPACE_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Money and distances are summed exactly at this scale (see ``exact_sum``).
+# Money and distances are summed exactly at this scale (see ``exact_sum``):
+# row values as decimal(18,4) (long-backed), already aggregated values
+# (cells, per-flight totals) as decimal(30,4).
 EXACT_SCALE = 4
 EXACT_TYPE = f"decimal(18,{EXACT_SCALE})"
+EXACT_WIDE_TYPE = f"decimal(30,{EXACT_SCALE})"
+# Computed quantities (fuel = gallons per hour x minutes / 60) are summed
+# as 6-decimal fixed point: far finer than their meaning, and the total no
+# longer depends on the order of rows.
+FINE_TYPE = "decimal(30,6)"
 
 
 def col(c: str | Column) -> Column:
@@ -64,19 +71,22 @@ def zero_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(0.0))
 
 
-def exact_sum(c: str | Column) -> Column:
+def exact_sum(c: str | Column, wide: bool = False, fine: bool = False) -> Column:
     """Exact sum of a money-like double, as decimal.
 
     Double sums change in the last digits with partitioning; summing the
-    value as decimal(18,4) makes the total independent of the number of
-    partitions and of the order of rows.  Null when all inputs are null.
+    value as a 4-decimal fixed-point number makes the total independent of
+    the number of partitions and of the order of rows.  Null when all
+    inputs are null.  Non-finite or out-of-range values (NaN, inf, over
+    1e14 per row) are left out instead of failing the job.
     """
-    return F.sum(col(c).cast(EXACT_TYPE))
+    target = FINE_TYPE if fine else (EXACT_WIDE_TYPE if wide else EXACT_TYPE)
+    return F.sum(col(c).try_cast(target))
 
 
-def sum0(c: str | Column, exact: bool = True) -> Column:
+def sum0(c: str | Column, exact: bool = True, wide: bool = False, fine: bool = False) -> Column:
     """Sum that is 0 (not null) over no non-null value (N7), as double."""
-    total = exact_sum(c) if exact else F.sum(col(c))
+    total = exact_sum(c, wide, fine) if exact else F.sum(col(c))
     return F.coalesce(total.cast("double"), F.lit(0.0))
 
 

@@ -30,7 +30,9 @@ def ticket_count(tickets: DataFrame) -> Column:
 
 def revenue_exact(tickets: DataFrame) -> Column:
     """Exact (decimal) revenue; null over no non-null amount."""
-    return exact_sum("revenue" if is_cell_grain(tickets) else "total_amount")
+    if is_cell_grain(tickets):
+        return exact_sum("revenue", wide=True)
+    return exact_sum("total_amount")
 
 
 def revenue(tickets: DataFrame) -> Column:
@@ -50,7 +52,7 @@ def avg_ticket_value(tickets: DataFrame) -> Column:
 
 def tax_amount(tickets: DataFrame) -> Column:
     """MSR4: summed taxes (same at both grains)."""
-    return sum0("tax_amount").alias("tax_amount")
+    return sum0("tax_amount", wide=is_cell_grain(tickets)).alias("tax_amount")
 
 
 def avg_tax_share(tickets: DataFrame) -> Column:

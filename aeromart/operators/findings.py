@@ -33,7 +33,9 @@ def thousands(c: str, decimals: int) -> Column:
 
 
 def percent(c: str) -> Column:
-    return F.concat(F.format_number(F.col(c).cast("double") * 100, "0.0"), F.lit("%"))
+    # pattern without grouping: Python's ".1%" prints 1234.5%, not 1,234.5%
+    scaled = F.col(c).cast("double") * 100
+    return F.concat(F.call_function("format_number", scaled, F.lit("0.0")), F.lit("%"))
 
 
 def fill(template: str, parts: dict[str, Column]) -> Column:

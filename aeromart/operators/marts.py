@@ -120,11 +120,11 @@ def fleet_utilization(flights: DataFrame, top: int | None = None) -> DataFrame:
     aggregations = [
         F.count(F.lit(1)).alias("scheduled_flights"),
         sum0("distance").alias("assigned_distance"),
-        sum0("ticket_revenue").alias("ticket_revenue"),
+        sum0("ticket_revenue", wide=True).alias("ticket_revenue"),
         F.coalesce(F.sum("tickets_sold"), F.lit(0)).alias("tickets_sold"),
         F.max("seat_capacity").alias("seat_capacity"),
         F.avg("estimated_load_factor").alias("avg_load_factor"),
-        sum0("estimated_fuel_gallons", exact=False).alias("estimated_fuel_gallons"),
+        sum0("estimated_fuel_gallons", fine=True).alias("estimated_fuel_gallons"),
     ]
     aggregations += [F.max(c).alias(c) for c in existing(flights, FLEET_OPTIONAL_MAXIMA)]
     result = flights.groupBy(*keys).agg(*aggregations)
@@ -140,7 +140,7 @@ def fleet_by_model(flights: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("scheduled_flights"),
         F.avg("seat_capacity").alias("avg_seat_capacity"),
         F.avg("estimated_load_factor").alias("avg_load_factor"),
-        sum0("estimated_fuel_gallons", exact=False).alias("estimated_fuel_gallons"),
+        sum0("estimated_fuel_gallons", fine=True).alias("estimated_fuel_gallons"),
     )
     return sort_with_ties(result, [desc_first("scheduled_flights")], ["model"])
 
@@ -178,7 +178,7 @@ def segment_rollup(segments: DataFrame) -> DataFrame:
         return empty_frame(segments)
     result = segments.groupBy(*keys).agg(
         F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets"),
-        sum0("revenue").alias("revenue"),
+        sum0("revenue", wide=True).alias("revenue"),
         F.avg("avg_ticket_value").alias("avg_ticket_value"),
     )
     return sort_with_ties(result, [desc_first("revenue")], keys)
