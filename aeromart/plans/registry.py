@@ -60,7 +60,21 @@ RATIO_DIGITS, MONEY_MEAN_DIGITS, SHARE_SUM_DIGITS = 6, 4, 9
 
 
 class Prepared:
-    """Lazy enriched tables of one test-data folder."""
+    """Lazy enriched tables of one test-data folder.
+
+    DataFrames are immutable plans, so one instance per session and folder
+    is shared by all queries (``Prepared.of``): the source views, the
+    size probes and the passenger check are done once, not per query.
+    """
+
+    _instances: dict[tuple[str, int, str], "Prepared"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Prepared":
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        if key not in cls._instances:
+            cls._instances[key] = cls(spark, sf_dir)
+        return cls._instances[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -162,100 +176,100 @@ def q_clean_timestamps(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- datasets
 def q_route_dimension(spark, d):
-    return Prepared(spark, d).route_dim
+    return Prepared.of(spark, d).route_dim
 
 
 def q_tickets_enriched(spark, d):
-    return Prepared(spark, d).tickets
+    return Prepared.of(spark, d).tickets
 
 
 def q_flights_enriched(spark, d):
-    return Prepared(spark, d).flights
+    return Prepared.of(spark, d).flights
 
 
 def q_ticket_summary(spark, d):
-    return rounded(Prepared(spark, d).cells, {"tax_share_sum": SHARE_SUM_DIGITS})
+    return rounded(Prepared.of(spark, d).cells, {"tax_share_sum": SHARE_SUM_DIGITS})
 
 
 def q_ticket_by_flight(spark, d):
-    return Prepared(spark, d).by_flight
+    return Prepared.of(spark, d).by_flight
 
 
 def q_ticket_summary_enriched(spark, d):
     return rounded(
-        Prepared(spark, d).cells_enriched, {"tax_share_sum": SHARE_SUM_DIGITS, "tax_share": SHARE_SUM_DIGITS}
+        Prepared.of(spark, d).cells_enriched, {"tax_share_sum": SHARE_SUM_DIGITS, "tax_share": SHARE_SUM_DIGITS}
     )
 
 
 def q_flights_enriched_cells(spark, d):
-    return Prepared(spark, d).flights_cells
+    return Prepared.of(spark, d).flights_cells
 
 
 # ---------------------------------------------------------------- marts
 def q_revenue_by_month(spark, d):
-    return marts.revenue_by_month(Prepared(spark, d).tickets)
+    return marts.revenue_by_month(Prepared.of(spark, d).tickets)
 
 
 def q_cabin_mix(spark, d):
-    return marts.cabin_mix(Prepared(spark, d).tickets)
+    return marts.cabin_mix(Prepared.of(spark, d).tickets)
 
 
 def q_revenue_by_route(spark, d):
-    return marts.revenue_by_route(Prepared(spark, d).tickets)
+    return marts.revenue_by_route(Prepared.of(spark, d).tickets)
 
 
 def q_route_efficiency(spark, d):
-    return marts.route_efficiency(Prepared(spark, d).tickets)
+    return marts.route_efficiency(Prepared.of(spark, d).tickets)
 
 
 def q_fleet_utilization(spark, d):
-    return rounded(marts.fleet_utilization(Prepared(spark, d).flights), FLEET_ROUNDING)
+    return rounded(marts.fleet_utilization(Prepared.of(spark, d).flights), FLEET_ROUNDING)
 
 
 def q_fleet_by_model(spark, d):
-    return rounded(marts.fleet_by_model(Prepared(spark, d).flights), FLEET_ROUNDING)
+    return rounded(marts.fleet_by_model(Prepared.of(spark, d).flights), FLEET_ROUNDING)
 
 
 def q_passenger_segments(spark, d):
-    return marts.passenger_segments(Prepared(spark, d).tickets)
+    return marts.passenger_segments(Prepared.of(spark, d).tickets)
 
 
 def q_tax_by_route(spark, d):
-    return rounded(marts.tax_by_route(Prepared(spark, d).tickets), {"avg_tax_share": RATIO_DIGITS})
+    return rounded(marts.tax_by_route(Prepared.of(spark, d).tickets), {"avg_tax_share": RATIO_DIGITS})
 
 
 def q_segment_rollup(spark, d):
-    segments = marts.passenger_segments(Prepared(spark, d).tickets)
+    segments = marts.passenger_segments(Prepared.of(spark, d).tickets)
     return rounded(marts.segment_rollup(segments), {"avg_ticket_value": MONEY_MEAN_DIGITS})
 
 
 # ---------------------------------------------------------------- cell grain
 def q_revenue_by_month_cells(spark, d):
-    return marts.revenue_by_month(Prepared(spark, d).cells_enriched)
+    return marts.revenue_by_month(Prepared.of(spark, d).cells_enriched)
 
 
 def q_cabin_mix_cells(spark, d):
-    return marts.cabin_mix(Prepared(spark, d).cells_enriched)
+    return marts.cabin_mix(Prepared.of(spark, d).cells_enriched)
 
 
 def q_revenue_by_route_cells(spark, d):
-    return marts.revenue_by_route(Prepared(spark, d).cells_enriched)
+    return marts.revenue_by_route(Prepared.of(spark, d).cells_enriched)
 
 
 def q_route_efficiency_cells(spark, d):
-    return marts.route_efficiency(Prepared(spark, d).cells_enriched)
+    return marts.route_efficiency(Prepared.of(spark, d).cells_enriched)
 
 
 def q_tax_by_route_cells(spark, d):
-    return rounded(marts.tax_by_route(Prepared(spark, d).cells_enriched), {"avg_tax_share": RATIO_DIGITS})
+    return rounded(marts.tax_by_route(Prepared.of(spark, d).cells_enriched), {"avg_tax_share": RATIO_DIGITS})
 
 
 def q_segments_cells(spark, d):
-    return marts.passenger_segments(Prepared(spark, d).cells_enriched)
+    return marts.passenger_segments(Prepared.of(spark, d).cells_enriched)
 
 
 def q_fleet_utilization_cells(spark, d):
-    return rounded(marts.fleet_utilization(Prepared(spark, d).flights_cells), FLEET_ROUNDING)
+    return rounded(marts.fleet_utilization(Prepared.of(spark, d).flights_cells), FLEET_ROUNDING)
 
 
 # ---------------------------------------------------------------- top-n lists
@@ -276,25 +290,25 @@ def FLEET_ORDER():
 
 
 def q_top_routes(spark, d):
-    return with_rank(marts.revenue_by_route(Prepared(spark, d).tickets, top=12), ROUTE_ORDER())
+    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=12), ROUTE_ORDER())
 
 
 def q_top_yield(spark, d):
-    return with_rank(marts.route_efficiency(Prepared(spark, d).tickets, top=15), YIELD_ORDER())
+    return with_rank(marts.route_efficiency(Prepared.of(spark, d).tickets, top=15), YIELD_ORDER())
 
 
 def q_top_aircraft(spark, d):
-    top = marts.fleet_utilization(Prepared(spark, d).flights, top=15)
+    top = marts.fleet_utilization(Prepared.of(spark, d).flights, top=15)
     return rounded(with_rank(top, FLEET_ORDER()), FLEET_ROUNDING)
 
 
 def q_top_tax_routes(spark, d):
-    top = marts.tax_by_route(Prepared(spark, d).tickets, top=15)
+    top = marts.tax_by_route(Prepared.of(spark, d).tickets, top=15)
     return rounded(with_rank(top, TAX_ORDER()), {"avg_tax_share": RATIO_DIGITS})
 
 
 def q_efficiency_table(spark, d):
-    table = efficiency_table(marts.route_efficiency(Prepared(spark, d).tickets))
+    table = efficiency_table(marts.route_efficiency(Prepared.of(spark, d).tickets))
     order = [desc_last("revenue_per_distance")] + [
         asc_first(k) for k in ["route_code", "route_label", "distance", "flight_minutes"]
     ]
@@ -302,16 +316,16 @@ def q_efficiency_table(spark, d):
 
 
 def q_fleet_table(spark, d):
-    top = marts.fleet_utilization(Prepared(spark, d).flights, top=50)
+    top = marts.fleet_utilization(Prepared.of(spark, d).flights, top=50)
     return rounded(with_rank(top, FLEET_ORDER()), FLEET_ROUNDING)
 
 
 def q_route_table(spark, d):
-    return with_rank(marts.revenue_by_route(Prepared(spark, d).tickets, top=100), ROUTE_ORDER())
+    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=100), ROUTE_ORDER())
 
 
 def q_segment_top(spark, d):
-    segments = marts.passenger_segments(Prepared(spark, d).tickets)
+    segments = marts.passenger_segments(Prepared.of(spark, d).tickets)
     top = marts.segment_rollup(segments).limit(20)
     order = [desc_first("revenue")] + [asc_first(k) for k in marts.ROLLUP_KEYS]
     return rounded(with_rank(top, order), {"avg_ticket_value": MONEY_MEAN_DIGITS})
@@ -319,24 +333,24 @@ def q_segment_top(spark, d):
 
 # ---------------------------------------------------------------- slices
 def q_filter_tickets(spark, d):
-    return TICKET_SLICE.tickets(Prepared(spark, d).tickets)
+    return TICKET_SLICE.tickets(Prepared.of(spark, d).tickets)
 
 
 def q_filter_tickets_cells(spark, d):
-    cells = TICKET_SLICE.tickets(Prepared(spark, d).cells_enriched)
+    cells = TICKET_SLICE.tickets(Prepared.of(spark, d).cells_enriched)
     return rounded(cells, {"tax_share_sum": SHARE_SUM_DIGITS, "tax_share": SHARE_SUM_DIGITS})
 
 
 def q_filter_flights(spark, d):
-    return FLIGHT_SLICE.flights(Prepared(spark, d).flights)
+    return FLIGHT_SLICE.flights(Prepared.of(spark, d).flights)
 
 
 def q_scatter_source(spark, d):
-    return filters.scatter_source(marts.route_efficiency(Prepared(spark, d).tickets))
+    return filters.scatter_source(marts.route_efficiency(Prepared.of(spark, d).tickets))
 
 
 def q_filter_options(spark, d):
-    p = Prepared(spark, d)
+    p = Prepared.of(spark, d)
     lists = [
         ("cabin_class", p.tickets),
         ("origin_continent", p.tickets),
@@ -352,11 +366,11 @@ def q_filter_options(spark, d):
 
 
 def q_date_bounds(spark, d):
-    return filters.date_bounds(Prepared(spark, d).tickets)
+    return filters.date_bounds(Prepared.of(spark, d).tickets)
 
 
 def q_max_distance(spark, d):
-    return filters.max_distance(Prepared(spark, d).tickets)
+    return filters.max_distance(Prepared.of(spark, d).tickets)
 
 
 def _round_metrics(df: DataFrame) -> DataFrame:
@@ -365,26 +379,26 @@ def _round_metrics(df: DataFrame) -> DataFrame:
 
 
 def q_overview_metrics(spark, d):
-    p = Prepared(spark, d)
+    p = Prepared.of(spark, d)
     return _round_metrics(overview_metrics(p.tickets, p.flights))
 
 
 def q_overview_metrics_cells(spark, d):
-    p = Prepared(spark, d)
+    p = Prepared.of(spark, d)
     return _round_metrics(overview_metrics(p.cells_enriched, p.flights_cells))
 
 
 def q_slice_overview(spark, d):
-    p = Prepared(spark, d)
+    p = Prepared.of(spark, d)
     return _round_metrics(overview_metrics(TICKET_SLICE.tickets(p.tickets), FLIGHT_SLICE.flights(p.flights)))
 
 
 def q_slice_revenue_by_route(spark, d):
-    return marts.revenue_by_route(TICKET_SLICE.tickets(Prepared(spark, d).tickets))
+    return marts.revenue_by_route(TICKET_SLICE.tickets(Prepared.of(spark, d).tickets))
 
 
 def q_key_findings(spark, d):
-    p = Prepared(spark, d)
+    p = Prepared.of(spark, d)
     return summarize_key_findings(p.tickets, p.flights)
 
 
