@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analytics this library re-expresses are batch only: there is no
+watermark, stream window, stateful operator or late-data rule to carry
+over (the only time axis is a year-month text used as a batch grouping
+key).  Every builder here is a lazy DataFrame transformation, so a caller
+that wants incremental refreshes can apply them to each micro-batch from
+``foreachBatch``; the library adds no streaming operator of its own.
+"""
