@@ -159,3 +159,15 @@ def route_label(origin_city: Column, origin: Column, dest_city: Column, dest: Co
     return F.concat(
         F.coalesce(origin_city, origin), F.lit(ROUTE_LABEL_SEPARATOR), F.coalesce(dest_city, dest)
     )
+
+
+def thousands_text(c: str | Column, decimals: int = 0) -> Column:
+    """EXP19: number with thousands separators, half-even like Python's
+    format (money and counts: 0 decimals; yields: 2)."""
+    return F.format_number(col(c).cast("double"), decimals)
+
+
+def percent_text(c: str | Column) -> Column:
+    """EXP19: share as percent with one decimal and no grouping ("12.3%")."""
+    scaled = col(c).cast("double") * 100
+    return F.concat(F.call_function("format_number", scaled, F.lit("0.0")), F.lit("%"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aeromart.functions.expressions import percent_text, thousands_text
 from aeromart.operators import marts
 
 # The sentence templates, with {placeholders} filled in order.
@@ -29,13 +30,11 @@ def text(c: str | Column) -> Column:
 
 
 def thousands(c: str, decimals: int) -> Column:
-    return F.format_number(F.col(c).cast("double"), decimals)
+    return thousands_text(c, decimals)
 
 
 def percent(c: str) -> Column:
-    # pattern without grouping: Python's ".1%" prints 1234.5%, not 1,234.5%
-    scaled = F.col(c).cast("double") * 100
-    return F.concat(F.call_function("format_number", scaled, F.lit("0.0")), F.lit("%"))
+    return percent_text(c)
 
 
 def fill(template: str, parts: dict[str, Column]) -> Column:

@@ -120,6 +120,17 @@ def dashboard_views(tickets: DataFrame, flights: DataFrame, selection: Slice | N
     return views
 
 
+def kpi_labels(overview: DataFrame) -> DataFrame:
+    """The headline numbers as display text: money and counts with
+    thousands separators, the tax share as a percent (EXP19)."""
+    from aeromart.functions.expressions import percent_text, thousands_text
+
+    is_share = F.col("metric") == "avg_tax_share"
+    return overview.withColumn(
+        "label", F.when(is_share, percent_text("value")).otherwise(thousands_text("value", 0))
+    )
+
+
 def has_tickets(tickets: DataFrame, selection: Slice | None = None) -> bool:
     """FLT7: the dashboard stops when the slice holds no ticket."""
     return not filters.is_empty((selection or Slice()).tickets(tickets).select(F.lit(1)))

@@ -10,7 +10,8 @@ the sources), and every mart reads only the columns it needs.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -34,14 +35,17 @@ MART_NAMES = [
 ]
 
 
+def build_tickets_fact(raw_tables: Mapping[str, DataFrame], route_dim: DataFrame) -> DataFrame:
+    """Cells when a ticket summary is given, else one row per ticket."""
+    if "ticket_summary" in raw_tables:
+        return build_ticket_summary_enriched(raw_tables["ticket_summary"], route_dim)
+    return build_tickets_enriched(raw_tables["tickets"], route_dim, raw_tables.get("passengers"))
+
+
 def build_facts(raw_tables: Mapping[str, DataFrame], as_of_year: int | None = None) -> dict[str, DataFrame]:
     route_dim = build_route_dimension(raw_tables["routes"], raw_tables["airports"])
-    if "ticket_summary" in raw_tables:
-        tickets = build_ticket_summary_enriched(raw_tables["ticket_summary"], route_dim)
-        flight_source = raw_tables["ticket_by_flight"]
-    else:
-        tickets = build_tickets_enriched(raw_tables["tickets"], route_dim, raw_tables.get("passengers"))
-        flight_source = tickets
+    tickets = build_tickets_fact(raw_tables, route_dim)
+    flight_source = raw_tables["ticket_by_flight"] if "ticket_summary" in raw_tables else tickets
     flights = build_flights_enriched(
         raw_tables["flights"], route_dim, raw_tables["airplanes"], flight_source, as_of_year
     )
@@ -67,33 +71,60 @@ def build_prepared_datasets(
     return {**facts, **build_marts(facts["tickets_enriched"], facts["flights_enriched"])}
 
 
+def _run_all(tasks: Mapping[str, Callable[[], DataFrame]], workers: int) -> dict[str, DataFrame]:
+    """Run independent writes as concurrent Spark jobs (one driver thread
+    each); their stages share the cluster instead of queueing."""
+    if workers <= 1 or len(tasks) <= 1:
+        return {name: task() for name, task in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as pool:
+        futures = {name: pool.submit(task) for name, task in tasks.items()}
+        return {name: future.result() for name, future in futures.items()}
+
+
 def prepare_to_storage(
-    raw_tables: Mapping[str, DataFrame], folder: str, as_of_year: int | None = None
+    raw_tables: Mapping[str, DataFrame],
+    folder: str,
+    as_of_year: int | None = None,
+    concurrent_writes: int = 6,
 ) -> dict[str, DataFrame]:
     """Write the nine datasets under ``folder`` and return them re-read.
 
-    The flights fact depends on the tickets fact (tickets per flight), so
-    the tickets are written first and the flights built from the file.
+    Order follows the dependencies: the route dimension first; then the
+    tickets fact, and at cell grain the flights fact alongside it (it
+    only needs the per-flight summary); at ticket grain the flights fact
+    after the tickets (tickets per flight come from the written file);
+    finally the six marts together, each from the written facts.
     """
     spark = next(iter(raw_tables.values())).sparkSession
     base = folder.rstrip("/")
-    facts = build_facts(raw_tables, as_of_year)
+    cell_grain = "ticket_summary" in raw_tables
 
     def persist(name: str, df: DataFrame) -> DataFrame:
         write_dataset(df, f"{base}/{name}.parquet")
         return spark.read.parquet(f"{base}/{name}.parquet")
 
-    route_dim = persist("route_dimension", facts["route_dimension"])
-    tickets = persist("tickets_enriched", facts["tickets_enriched"])
-    if "ticket_summary" in raw_tables:
-        flight_source = raw_tables["ticket_by_flight"]
+    def flights_from(route_dim: DataFrame, flight_source: DataFrame) -> DataFrame:
+        return persist(
+            "flights_enriched",
+            build_flights_enriched(raw_tables["flights"], route_dim, raw_tables["airplanes"], flight_source, as_of_year),
+        )
+
+    route_dim = persist("route_dimension", build_route_dimension(raw_tables["routes"], raw_tables["airports"]))
+    tickets_plan = build_tickets_fact(raw_tables, route_dim)
+    if cell_grain:
+        written = _run_all(
+            {
+                "tickets_enriched": lambda: persist("tickets_enriched", tickets_plan),
+                "flights_enriched": lambda: flights_from(route_dim, raw_tables["ticket_by_flight"]),
+            },
+            concurrent_writes,
+        )
     else:
-        flight_source = tickets
-    flights = persist(
-        "flights_enriched",
-        build_flights_enriched(raw_tables["flights"], route_dim, raw_tables["airplanes"], flight_source, as_of_year),
+        tickets = persist("tickets_enriched", tickets_plan)
+        written = {"tickets_enriched": tickets, "flights_enriched": flights_from(route_dim, tickets)}
+    written["route_dimension"] = route_dim
+    mart_plans = build_marts(written["tickets_enriched"], written["flights_enriched"])
+    written.update(
+        _run_all({name: (lambda n=name, df=df: persist(n, df)) for name, df in mart_plans.items()}, concurrent_writes)
     )
-    written = {"route_dimension": route_dim, "tickets_enriched": tickets, "flights_enriched": flights}
-    for name, df in build_marts(tickets, flights).items():
-        written[name] = persist(name, df)
-    return written
+    return {name: written[name] for name in FACT_NAMES + MART_NAMES}
