@@ -5,10 +5,14 @@ dimension.  Catalyst's own estimate for a derived dimension (a join of
 joins) is the *product* of its inputs' sizes, so it never broadcasts one
 by itself, and AQE's run-time switch comes after the fact side has
 already been shuffled.  So the size is checked here, with a probe whose
-cost is bounded no matter how large the dimension is: count at most
-``max_rows + 1`` rows of it.  At or below the bound the dimension is
-broadcast; above it the join is left to a sort-merge join, where AQE
-splits skewed fact partitions (``spark.sql.adaptive.skewJoin``).
+cost is bounded no matter how large the dimension is: take at most
+``max_rows + 1`` zero-width rows of it.  ``collect`` of a limit runs
+incrementally (one partition, then four times more, ...) and stops once
+it has enough rows, unlike ``limit(n).count()``, which plans a local
+limit on every partition and funnels the survivors into one task.  At or
+below the bound the dimension is broadcast; above it the join is left to
+a sort-merge join, where AQE splits skewed fact partitions
+(``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ _VARIABLE_BYTES = {T.StringType: 40, T.BinaryType: 64, T.DecimalType: 16}
 
 DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 BROADCAST_CONF_KEY = "spark.aeromart.broadcastMaxBytes"
+# The probe never takes more rows than this (about a second of driver work).
+MAX_PROBE_ROWS = 100_000
 
 _probe_cache: dict[tuple[int, int, int], bool] = {}
 
@@ -48,19 +54,20 @@ def broadcast_max_bytes(df: DataFrame, override: int | None = None) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """True when ``df`` provably holds at most ``max_bytes`` (estimated).
+    """True when ``df`` provably holds at most ``max_bytes`` (estimated)
+    and at most ``MAX_PROBE_ROWS`` rows.
 
-    One bounded Spark job per distinct plan and session: every task stops
-    after ``max_rows + 1`` rows, and only the columns needed to count are
-    read.  The answer is remembered per session and logical plan.
+    One bounded, incremental Spark job per distinct plan and session; it
+    reads only the columns needed to produce rows and returns rows with no
+    columns.  The answer is remembered per session and logical plan.
     """
     limit_bytes = broadcast_max_bytes(df, max_bytes)
-    max_rows = max(limit_bytes // estimated_row_bytes(df.schema), 0)
+    max_rows = min(max(limit_bytes // estimated_row_bytes(df.schema), 0), MAX_PROBE_ROWS)
     if max_rows == 0:
         return False
     key = (id(df.sparkSession), df.semanticHash(), max_rows)
     if key not in _probe_cache:
-        _probe_cache[key] = df.limit(max_rows + 1).count() <= max_rows
+        _probe_cache[key] = len(df.select().limit(max_rows + 1).collect()) <= max_rows
     return _probe_cache[key]
 
 
