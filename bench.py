@@ -57,12 +57,14 @@ def run_job(spark, sf_dir: str) -> float:
     write and re-read the nine datasets under the checkpoint folder."""
     from aeromart.operators.summaries import summarize_tickets
     from aeromart.plans.prepare import prepare_to_storage
-    from aeromart.session import shared_scratch_path
+    from aeromart.session import ensure_checkpoint_dir
     from aeromart.sources.fixtures import airline_tables
 
+    # one folder per scale, overwritten by every run
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/aeromart-bench-job-{os.path.basename(sf_dir.rstrip('/'))}"
     started = time.perf_counter()
     raw = summarize_tickets(airline_tables(spark, sf_dir))
-    prepare_to_storage(raw, shared_scratch_path(spark, "bench-job"), as_of_year=2026)
+    prepare_to_storage(raw, folder, as_of_year=2026)
     return time.perf_counter() - started
 
 
