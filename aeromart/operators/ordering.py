@@ -46,7 +46,7 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     Only for short lists (after ``top_n``): the window has no partition
     key and therefore runs in one task.
     """
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def first_row(df: DataFrame) -> dict | None:

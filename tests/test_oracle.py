@@ -50,10 +50,18 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "revenue" in df.columns
 
 
+SAME_TYPE = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+             "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_sql_twin(spark, con, name):
-    ours = entry.queries()[name](spark, SF).toPandas()
-    theirs = con.execute(entry.oracle_sql()[name]).df()
+    df = entry.queries()[name](spark, SF)
+    ours = df.toPandas()
+    rel = con.execute(entry.oracle_sql()[name])
+    duck_types = {d[0]: str(d[1]) for d in rel.description}
+    theirs = rel.df()
+    assert {f.name: SAME_TYPE.get(f.dataType.simpleString()) for f in df.schema.fields} == duck_types
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert len(ours) == len(theirs)
     assert multiset(ours) == multiset(theirs)
