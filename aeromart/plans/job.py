@@ -36,10 +36,29 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--password-env", default="DB_PASSWORD", help="Environment variable with the password.")
     p.add_argument("--dialect", choices=["db2", "ansi"], default="db2")
     p.add_argument("--batch-size", type=int, default=100_000, help="JDBC fetch size; 0 leaves the driver default.")
+    p.add_argument(
+        "--partition",
+        action="append",
+        default=[],
+        metavar="TABLE=COLUMN:N",
+        help="Read TABLE in N parallel ranges of a numeric or date COLUMN (jdbc source; repeatable).",
+    )
     p.add_argument("--master", default=None, help="Spark master (normally set by spark-submit).")
     return p.parse_args(argv)
 
 
+def parse_partitioning(specs: list[str]) -> dict[str, dict]:
+    """``TABLE=COLUMN:N`` -> ``{TABLE: {"partition_column": COLUMN, "num_partitions": N}}``."""
+    out: dict[str, dict] = {}
+    for spec in specs:
+        table, _, rest = spec.partition("=")
+        column, _, count = rest.partition(":")
+        if not (table and column and count.isdigit()):
+            raise ValueError(f"expected TABLE=COLUMN:N, got {spec!r}")
+        out[table.strip().upper()] = {"partition_column": column.strip(), "num_partitions": int(count)}
+    return out
+
+
 def read_sources(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     if args.source == "testdata":
         from aeromart.sources.fixtures import airline_tables
@@ -60,9 +79,10 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> dict[str, Dat
         "driver": args.driver,
     }.items() if v}
     source = jdbc.JdbcSource(url=args.url, schema=args.schema, options=options, dialect=args.dialect)
+    partitioning = parse_partitioning(args.partition)
     if args.raw_tickets:
-        return jdbc.read_project_tables(spark, source, fetch_size=args.batch_size)
-    return jdbc.read_project_summary_tables(spark, source, fetch_size=args.batch_size)
+        return jdbc.read_project_tables(spark, source, fetch_size=args.batch_size, partitioning=partitioning)
+    return jdbc.read_project_summary_tables(spark, source, fetch_size=args.batch_size, partitioning=partitioning)
 
 
 def write_findings(spark: SparkSession, findings: DataFrame, folder: str) -> str:

@@ -139,3 +139,15 @@ def test_job_on_test_tables(spark):
     assert text.startswith("# Generated Findings") and "- Top revenue route is" in text
     cells = spark.read.parquet(f"{out}/tickets_enriched.parquet")
     assert "tickets" in cells.columns and "tax_share" in cells.columns
+
+
+def test_job_partition_option():
+    from aeromart.plans.job import parse_args, parse_partitioning
+
+    args = parse_args(["--source", "jdbc", "--output", "x", "--partition", "tickets=TICKET_ID:64", "--partition", "FLIGHTS=FLIGHT_ID:8"])
+    assert parse_partitioning(args.partition) == {
+        "TICKETS": {"partition_column": "TICKET_ID", "num_partitions": 64},
+        "FLIGHTS": {"partition_column": "FLIGHT_ID", "num_partitions": 8},
+    }
+    with pytest.raises(ValueError):
+        parse_partitioning(["TICKETS=ID"])
