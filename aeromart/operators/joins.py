@@ -33,7 +33,7 @@ BROADCAST_CONF_KEY = "spark.aeromart.broadcastMaxBytes"
 # The probe never takes more rows than this (about a second of driver work).
 MAX_PROBE_ROWS = 100_000
 
-_probe_cache: dict[tuple[int, int, int], bool] = {}
+_probe_cache: dict[tuple[str, int, int, int], bool] = {}
 
 
 def estimated_row_bytes(schema: T.StructType) -> int:
@@ -65,7 +65,8 @@ def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
     max_rows = min(max(limit_bytes // estimated_row_bytes(df.schema), 0), MAX_PROBE_ROWS)
     if max_rows == 0:
         return False
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    session = df.sparkSession
+    key = (session.sparkContext.applicationId, id(session), df.semanticHash(), max_rows)
     if key not in _probe_cache:
         _probe_cache[key] = len(df.select().limit(max_rows + 1).collect()) <= max_rows
     return _probe_cache[key]

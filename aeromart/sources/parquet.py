@@ -87,6 +87,15 @@ def table_row_count(spark: SparkSession, folder: str, table: str) -> DataFrame:
     )
 
 
+def estimate_table_rows(spark: SparkSession, folder: str, table: str) -> int | None:
+    """SRC8 as a number: the row count from Parquet footers, None when the
+    table is missing."""
+    try:
+        return table_row_count(spark, folder, table).first()["row_count"]
+    except FileNotFoundError:
+        return None
+
+
 def table_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """SRC6 + SRC8: ``(table_name, row_count)`` for every table."""
     frames = [table_row_count(spark, folder, t) for t in list_tables(spark, folder)]

@@ -51,6 +51,8 @@ def test_list_tables_columns_counts(spark, folder):
     assert pq.list_columns(spark, folder, "routes")[:2] == ["route_code", "origin"]
     counts = {r["table_name"]: r["row_count"] for r in pq.table_row_counts(spark, folder).collect()}
     assert counts["tickets"] == 3 and counts["routes"] == 2
+    assert pq.estimate_table_rows(spark, folder, "routes") == 2
+    assert pq.estimate_table_rows(spark, folder, "nope") is None
 
 
 def test_read_table_selects_existing_in_request_order(spark, folder):
