@@ -28,7 +28,7 @@ def test_normalize_column_names_rejects_clashes(spark):
 
 
 def test_validate_identifier():
-    assert validate_identifier(" attgrp7 ") == "ATTGRP7"
+    assert validate_identifier(" ops_data ") == "OPS_DATA"
     for bad in ["1ABC", "A-B", "A;DROP", "", "a b"]:
         with pytest.raises(ValueError):
             validate_identifier(bad)
@@ -95,8 +95,8 @@ def test_csv_round_trip(spark):
 
 
 def test_jdbc_summary_sql_text():
-    sql = jdbc.ticket_summary_sql("attgrp7")
-    assert '"ATTGRP7"."TICKETS"' in sql
+    sql = jdbc.ticket_summary_sql("ops_data")
+    assert '"OPS_DATA"."TICKETS"' in sql
     assert "WHEN UPPER(TRIM(\"CLASS\")) IN ('E', 'ECON', 'ECONOMY') THEN 'ECONOMY'" in sql
     assert "VARCHAR_FORMAT(\"DEPARTURE\", 'YYYY-MM')" in sql
     assert "SUBSTR(CAST(\"DEPARTURE\" AS VARCHAR(26)), 1, 7)" in jdbc.ticket_summary_sql("S", "ansi")
@@ -113,8 +113,8 @@ def test_jdbc_column_selection():
 
 
 def test_jdbc_catalog_queries_use_validated_names():
-    src = jdbc.JdbcSource(url="jdbc:unused", schema="attgrp7")
-    assert "TABSCHEMA = 'ATTGRP7'" in jdbc._catalog_query(src, 0)
+    src = jdbc.JdbcSource(url="jdbc:unused", schema="ops_data")
+    assert "TABSCHEMA = 'OPS_DATA'" in jdbc._catalog_query(src, 0)
     assert "TABNAME = 'TICKETS'" in jdbc._catalog_query(src, 1, "tickets")
     assert jdbc._catalog_query(jdbc.JdbcSource("u", "s", dialect="ansi"), 2, "t") is None
 
