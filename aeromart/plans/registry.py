@@ -273,38 +273,38 @@ def q_fleet_utilization_cells(spark, d):
 
 
 # ---------------------------------------------------------------- top-n lists
-def ROUTE_ORDER():
+def route_order():
     return [desc_first("revenue")] + [asc_first(k) for k in marts.ROUTE_KEYS]
 
 
-def YIELD_ORDER():
+def yield_order():
     return [desc_last("revenue_per_distance")] + [asc_first(k) for k in marts.EFFICIENCY_KEYS]
 
 
-def TAX_ORDER():
+def tax_order():
     return [desc_last("avg_tax_share")] + [asc_first(k) for k in marts.TAX_KEYS]
 
 
-def FLEET_ORDER():
+def fleet_order():
     return [desc_first("scheduled_flights"), asc_first("airplane"), asc_first("model")]
 
 
 def q_top_routes(spark, d):
-    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=12), ROUTE_ORDER())
+    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=12), route_order())
 
 
 def q_top_yield(spark, d):
-    return with_rank(marts.route_efficiency(Prepared.of(spark, d).tickets, top=15), YIELD_ORDER())
+    return with_rank(marts.route_efficiency(Prepared.of(spark, d).tickets, top=15), yield_order())
 
 
 def q_top_aircraft(spark, d):
     top = marts.fleet_utilization(Prepared.of(spark, d).flights, top=15)
-    return rounded(with_rank(top, FLEET_ORDER()), FLEET_ROUNDING)
+    return rounded(with_rank(top, fleet_order()), FLEET_ROUNDING)
 
 
 def q_top_tax_routes(spark, d):
     top = marts.tax_by_route(Prepared.of(spark, d).tickets, top=15)
-    return rounded(with_rank(top, TAX_ORDER()), {"avg_tax_share": RATIO_DIGITS})
+    return rounded(with_rank(top, tax_order()), {"avg_tax_share": RATIO_DIGITS})
 
 
 def q_efficiency_table(spark, d):
@@ -317,11 +317,11 @@ def q_efficiency_table(spark, d):
 
 def q_fleet_table(spark, d):
     top = marts.fleet_utilization(Prepared.of(spark, d).flights, top=50)
-    return rounded(with_rank(top, FLEET_ORDER()), FLEET_ROUNDING)
+    return rounded(with_rank(top, fleet_order()), FLEET_ROUNDING)
 
 
 def q_route_table(spark, d):
-    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=100), ROUTE_ORDER())
+    return with_rank(marts.revenue_by_route(Prepared.of(spark, d).tickets, top=100), route_order())
 
 
 def q_segment_top(spark, d):
