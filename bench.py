@@ -76,7 +76,7 @@ def main() -> None:
     spark = build_session(
         master=f"local[{cpus}]",
         app_name="aeromart-bench",
-        shuffle_partitions=max(cpus * 2, 8),
+        shuffle_partitions=cpus,  # one wave of tasks; AQE coalesces further
         extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     timings: dict[str, float] = {}
