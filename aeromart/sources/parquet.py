@@ -34,14 +34,21 @@ def _fs_entries(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
     return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(path)]
 
 
-def _table_paths(spark: SparkSession, folder: str) -> dict[str, str]:
+def _table_paths(spark: SparkSession, folder: str, parquet_suffix_only: bool = False) -> dict[str, str]:
+    """Tables of a folder: ``name.parquet`` (file or directory) or, unless
+    ``parquet_suffix_only``, a plain directory ``name`` with no extension.
+    Hidden and ``_``-prefixed entries and other extensions are skipped."""
     paths: dict[str, str] = {}
     for name, is_dir in _fs_entries(spark, folder):
         if name.startswith(("_", ".")):
             continue
-        stem = name[: -len(".parquet")] if name.endswith(".parquet") else (name if is_dir else None)
-        if stem:
-            paths[stem] = f"{folder.rstrip('/')}/{name}"
+        if name.endswith(".parquet"):
+            stem = name[: -len(".parquet")]
+        elif is_dir and "." not in name and not parquet_suffix_only:
+            stem = name
+        else:
+            continue
+        paths[stem] = f"{folder.rstrip('/')}/{name}"
     return paths
 
 
@@ -155,9 +162,9 @@ def read_project_summary_tables(spark: SparkSession, folder: str) -> dict[str, D
 
 
 def load_prepared_data(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """SRC9: every prepared dataset keyed by name; the two enriched facts
-    must exist."""
-    paths = _table_paths(spark, folder)
+    """SRC9: every ``*.parquet`` dataset keyed by its stem; the two
+    enriched facts must exist."""
+    paths = _table_paths(spark, folder, parquet_suffix_only=True)
     missing = [n for n in PREPARED_REQUIRED if n not in paths]
     if missing:
         raise FileNotFoundError(

@@ -160,3 +160,23 @@ def test_job_partition_option():
 def test_jdbc_round_trip():
     """Would write a mart through the JDBC sink and read it back with a
     partitioned read and the ``query`` option."""
+
+
+def test_job_from_a_parquet_source_folder(spark):
+    """SRC1/SRC4/SRC5 end to end: the six tables as upper-case Parquet
+    tables (as a database export would name them), both grains."""
+    from aeromart.plans import job
+    from aeromart.sources.fixtures import airline_tables
+
+    src = tempfile.mkdtemp(prefix="aeromart-srcfolder-")
+    for name, df in airline_tables(spark, "/root/testdata/sf0.001").items():
+        df.toDF(*[c.upper() for c in df.columns]).write.parquet(f"{src}/{name}.parquet")
+    for flag in ([], ["--raw-tickets"]):
+        out = tempfile.mkdtemp(prefix="aeromart-jobout-")
+        job.main(["--source", "parquet", "--input", src, "--output", out, "--as-of-year", "2026", *flag])
+        prepared = pq.load_prepared_data(spark, out)
+        routes = prepared["revenue_by_route"]
+        assert routes.count() == 198
+        total = routes.groupBy().sum("tickets").first()[0]
+        assert total == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+        assert ("tickets_sold" in prepared["flights_enriched"].columns)
