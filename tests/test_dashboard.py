@@ -60,3 +60,23 @@ def test_ticket_grain_preparation(spark):
     assert "passenger_country" in written["passenger_segments"].columns
     sold = written["flights_enriched"].groupBy().sum("tickets_sold").first()[0]
     assert sold == written["tickets_enriched"].count()
+
+
+def test_dashboard_over_prepared_cell_grain_data(spark):
+    """The reference's interactive flow: job output -> load -> slice -> views."""
+    from aeromart.plans import job
+    from aeromart.sources.parquet import load_prepared_data
+
+    out = tempfile.mkdtemp(prefix="aeromart-dash-")
+    job.main(["--source", "testdata", "--input", SF, "--output", out, "--as-of-year", "2026"])
+    data = load_prepared_data(spark, out)
+    tickets, flights = data["tickets_enriched"], data["flights_enriched"]
+    selection = Slice(start_date=dt.date(1996, 1, 1), end_date=dt.date(1999, 12, 31),
+                      cabin_classes=["ECONOMY", "BUSINESS"], min_distance=905.0)
+    assert has_tickets(tickets, selection)
+    views = dashboard_views(tickets, flights, selection)
+    counts = {name: df.count() for name, df in views.items()}
+    assert counts["findings"] == 5 and counts["segments"] == 2   # cells carry no passenger data (N21)
+    m = as_dict(views["overview"])
+    assert m["tickets"] == views["route_summary"].groupBy().sum("tickets").first()[0]
+    assert 0 < m["avg_tax_share"] < 1
