@@ -58,3 +58,19 @@ def test_cabin_share_uses_a_scalar_subquery_not_a_cross_join(p):
     text = plan(marts.cabin_mix(p.tickets))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Subquery" in text
+
+
+def test_spread_leaves_well_split_inputs_alone(spark):
+    from aeromart.sources.parquet import spread
+
+    many = spark.range(0, 1000, 1, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread(many) is many
+    one = spark.range(0, 1000, 1, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_probe_refuses_past_its_row_cap(spark):
+    from aeromart.operators.joins import MAX_PROBE_ROWS
+
+    assert fits_broadcast(spark.range(10))
+    assert not fits_broadcast(spark.range(MAX_PROBE_ROWS + 10, numPartitions=16))
