@@ -81,3 +81,27 @@ def test_cell_grain_equals_ticket_grain_on_random_tickets(spark, rows):
             for df in (tickets, cells)
         )
         assert a == b, mart.__name__
+
+
+doubles = st.one_of(
+    st.floats(min_value=-1e12, max_value=1e12, allow_nan=False, allow_infinity=False),
+    st.integers(min_value=-10**9, max_value=10**9).map(lambda i: i / 2),      # exact .5 ties
+    st.integers(min_value=-10**9, max_value=10**9).map(lambda i: i / 1000),   # decimal-looking values
+)
+
+
+@SETTINGS
+@given(st.lists(doubles, min_size=1, max_size=300))
+def test_number_text_matches_python_format(spark, values):
+    from pyspark.sql import functions as F
+
+    from aeromart.functions.expressions import percent_text, thousands_text
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    rows = df.select("i", thousands_text("x", 0).alias("t0"), thousands_text("x", 2).alias("t2"),
+                     percent_text(F.col("x") / 1e6).alias("p")).collect()
+    for r in rows:
+        x = values[r["i"]]
+        assert r["t0"] == f"{x:,.0f}", (x, r["t0"])
+        assert r["t2"] == f"{x:,.2f}", (x, r["t2"])
+        assert r["p"] == f"{x / 1e6:.1%}", (x, r["p"])
