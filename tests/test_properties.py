@@ -105,3 +105,35 @@ def test_number_text_matches_python_format(spark, values):
         assert r["t0"] == f"{x:,.0f}", (x, r["t0"])
         assert r["t2"] == f"{x:,.2f}", (x, r["t2"])
         assert r["p"] == f"{x / 1e6:.1%}", (x, r["p"])
+
+
+stamps = st.tuples(
+    st.datetimes(min_value=__import__("datetime").datetime(1900, 1, 1), max_value=__import__("datetime").datetime(2100, 12, 31)),
+    st.sampled_from(["date", "space", "T"]),
+    st.integers(min_value=0, max_value=6),
+    st.sampled_from(["", "Z", "+01:00", " 10", "x"]),
+)
+
+
+@SETTINGS
+@given(st.lists(stamps, min_size=1, max_size=200))
+def test_lenient_timestamps_parse_the_five_layouts(spark, items):
+    import datetime as dt
+
+    texts, expected = [], []
+    for moment, layout, digits, junk in items:
+        moment = moment.replace(microsecond=(moment.microsecond // 10 ** (6 - digits)) * 10 ** (6 - digits) if digits else 0)
+        if layout == "date":
+            text, want = moment.strftime("%Y-%m-%d"), dt.datetime(moment.year, moment.month, moment.day)
+        else:
+            sep = " " if layout == "space" else "T"
+            text = moment.strftime(f"%Y-%m-%d{sep}%H:%M:%S")
+            if digits:
+                text += "." + f"{moment.microsecond:06d}"[:digits]
+            want = moment
+        texts.append(text + junk)
+        expected.append(want if junk == "" else None)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, departure string")
+    got = {r["i"]: r["departure"] for r in clean_table(df).collect()}
+    for i, want in enumerate(expected):
+        assert got[i] == want, (texts[i], got[i], want)
