@@ -44,7 +44,12 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
         help="Read TABLE in N parallel ranges of a numeric or date COLUMN (jdbc source; repeatable).",
     )
     p.add_argument("--master", default=None, help="Spark master (normally set by spark-submit).")
-    return p.parse_args(argv)
+    args = p.parse_args(argv)
+    if args.source in ("parquet", "testdata") and not args.input:
+        p.error(f"--input is required with --source {args.source}")
+    if args.source == "jdbc" and not (args.url and args.schema):
+        p.error("--url and --schema are required with --source jdbc")
+    return args
 
 
 def parse_partitioning(specs: list[str]) -> dict[str, dict]:

@@ -146,13 +146,17 @@ def test_job_on_test_tables(spark):
 def test_job_partition_option():
     from aeromart.plans.job import parse_args, parse_partitioning
 
-    args = parse_args(["--source", "jdbc", "--output", "x", "--partition", "tickets=TICKET_ID:64", "--partition", "FLIGHTS=FLIGHT_ID:8"])
+    args = parse_args(["--source", "jdbc", "--url", "jdbc:x", "--schema", "S", "--output", "x",
+                       "--partition", "tickets=TICKET_ID:64", "--partition", "FLIGHTS=FLIGHT_ID:8"])
     assert parse_partitioning(args.partition) == {
         "TICKETS": {"partition_column": "TICKET_ID", "num_partitions": 64},
         "FLIGHTS": {"partition_column": "FLIGHT_ID", "num_partitions": 8},
     }
     with pytest.raises(ValueError):
         parse_partitioning(["TICKETS=ID"])
+    for bad in (["--source", "parquet", "--output", "x"], ["--source", "jdbc", "--output", "x"]):
+        with pytest.raises(SystemExit):
+            parse_args(bad)
 
 
 @pytest.mark.skip(reason="a JDBC round trip needs a running database (even an embedded in-process one); "
