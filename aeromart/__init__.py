@@ -28,9 +28,12 @@ from aeromart.operators.marts import (
     tax_by_route,
 )
 from aeromart.operators.overview import overview_metrics
+from aeromart.plans.prepare import build_prepared_datasets, prepare_to_storage
+from aeromart.sources.parquet import load_prepared_data, write_prepared_datasets
 
 __all__ = [
     "build_flights_enriched",
+    "build_prepared_datasets",
     "build_route_dimension",
     "build_ticket_summary_enriched",
     "build_tickets_enriched",
@@ -40,12 +43,15 @@ __all__ = [
     "filter_tickets",
     "fleet_by_model",
     "fleet_utilization",
+    "load_prepared_data",
     "overview_metrics",
     "passenger_segments",
+    "prepare_to_storage",
     "revenue_by_month",
     "revenue_by_route",
     "route_efficiency",
     "segment_rollup",
     "summarize_key_findings",
     "tax_by_route",
+    "write_prepared_datasets",
 ]
