@@ -26,9 +26,9 @@ means |A xor B| <= T(a + b), so the sets are compared by parity sketches:
 Kept blocks are packed per task and bucket, and the pairs that meet in a
 block are first compared by folded bit sketches (XOR of one bit a
 shingle: their Hamming distance bounds the difference from below) and
-then verified on the texts.  Pairs inside a block are taken in two
-rounds: each member against the block's smallest, then, across the
-components this leaves, the members still apart.  Documents with the same
+then verified on the texts.  A block with few classes gives all its pairs; one
+with many is taken in two rounds: each member against the smallest, then,
+across the components this leaves, the members still apart.  Documents with the same
 shingle set are one class throughout, so copies are never paired.
 
 Nulls and texts without words have an empty set and no links.  Null ids
@@ -53,7 +53,8 @@ from aeromart.llm.hashing import U, mix, shingle_sets
 
 BAND = 4  # a band's upper size over its lower size
 SPREAD = 3  # blocks for each difference a pair of the band may have
-CROWD = 8  # classes of one block in one batch beyond which they skip the grouping
+CROWD = 8  # classes of a block up to which all its pairs are compared at once
+WANTED_IDS = 500_000  # document ids up to which they are broadcast
 SAMPLE_DOCS = 20_000  # documents (expected) whose shingles are counted for the key order
 COMMON = 200_000  # most frequent shingles of the sample that are kept
 
@@ -175,12 +176,13 @@ def _packed_keys(size: int, percent: int, buckets: int, common):
         crowded = np.bincount(group)[group] > CROWD
         rows = []
         direct = np.flatnonzero(crowded)
-        if len(direct):  # already known to be shared: dealt out evenly, with one entry left to be grouped
+        if len(direct):  # already known to be shared: dealt out evenly, with one marked entry to be grouped
             rows.append(pack(1, int(k[direct[0]] % U(buckets)), k[direct], c[direct], n[direct]))
-            keep = ~crowded | first
-            k, c, n, bucket = k[keep], c[keep], n[keep], bucket[keep]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(k)]
-        rows += [pack(0, int(bucket[a]), k[a:b], c[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for kind, chosen in ((0, ~crowded), (2, crowded & first)):
+            kk, cc, nn, bb = k[chosen], c[chosen], n[chosen], bucket[chosen]
+            if len(kk):
+                cuts = np.flatnonzero(np.concatenate([[True], bb[1:] != bb[:-1]])).tolist() + [len(kk)]
+                rows += [pack(kind, int(bb[a]), kk[a:b], cc[a:b], nn[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in range(0, len(rows), 512):
             part = rows[i : i + 512]
             yield pa.RecordBatch.from_arrays(
@@ -213,53 +215,73 @@ def _packed_keys(size: int, percent: int, buckets: int, common):
     return run
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, class) of the blocks that two or more classes have."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            kind, bucket, n, m, width = np.frombuffer(blob, np.int64, 5).tolist()
-            at = 40
-            used = np.frombuffer(blob, np.int64, m, at)
-            sizes = np.frombuffer(blob, np.int64, m, at + 8 * m)
-            at += 16 * m
-            key = np.zeros((n, 8), np.uint8)
-            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-            key = key.view(np.uint64).reshape(n)
-            local = np.frombuffer(blob, np.uint16 if width == 2 else np.uint32, n, at + 6 * n)
-            if kind:
-                yield from _key_rows(key, used[local], sizes[local])
-            else:
-                held.setdefault(bucket, []).append((key, used, sizes, local))
-    for bucket in list(held):
-        parts = held.pop(bucket)
-        # classes by position, so that sorting moves eight bytes a key
-        base = np.cumsum([0] + [len(p[1]) for p in parts])
-        key = np.concatenate([p[0] for p in parts])
-        where = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
-        used, sizes = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        del parts
-        order = np.argsort(key)
-        key, where = key[order], where[order]
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, where = key[shared], where[shared]
-        key, ids, n = key, used[where], sizes[where]
-        # a class may come from several batches
-        order = np.lexsort((ids, key))
-        key, ids, n = key[order], ids[order], n[order]
-        if len(key):
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-            key, ids, n = key[new], ids[new], n[new]
+def _shared_keys(percent: int):
+    """What classes share blocks: all pairs (c, d) of a block with few classes,
+    each pair once a bucket, and rows (key, c) of a block with more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                kind, bucket, n, m, width = np.frombuffer(blob, np.int64, 5).tolist()
+                at = 40
+                used = np.frombuffer(blob, np.int64, m, at)
+                sizes = np.frombuffer(blob, np.int64, m, at + 8 * m)
+                at += 16 * m
+                key = np.zeros((n, 8), np.uint8)
+                key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+                key = key.view(np.uint64).reshape(n)
+                local = np.frombuffer(blob, np.uint16 if width == 2 else np.uint32, n, at + 6 * n)
+                if kind == 1:
+                    yield from _key_rows(key, used[local], sizes[local])
+                else:
+                    held.setdefault(bucket, []).append((key, used, sizes, local, np.full(n, kind == 2)))
+        for bucket in list(held):
+            parts = held.pop(bucket)
+            # classes by position, so that sorting moves eight bytes a key
+            base = np.cumsum([0] + [len(p[1]) for p in parts])
+            key = np.concatenate([p[0] for p in parts])
+            where = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
+            used, sizes = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            marked = np.concatenate([p[4] for p in parts])  # stands for a crowd of its batch
+            del parts
+            order = np.argsort(key)
+            key, where, marked = key[order], where[order], marked[order]
             same = key[1:] == key[:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield from _key_rows(key[shared], ids[shared], n[shared])
+            key, where, marked = key[shared], where[shared], marked[shared]
+            key, ids, n = key, used[where], sizes[where]
+            # a class may come from several batches
+            order = np.lexsort((ids, key))
+            key, ids, n, marked = key[order], ids[order], n[order], marked[order]
+            if len(key):
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+                group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+                crowd = (np.bincount(group[new]) > CROWD) | (np.bincount(group, weights=marked) > 0)
+                key, ids, n, group = key[new], ids[new], n[new], group[new]
+                crowded = crowd[group]
+                yield from _key_rows(key[crowded], ids[crowded], n[crowded])
+                group, ids, n = group[~crowded], ids[~crowded], n[~crowded]
+                pairs = []
+                for step in range(1, CROWD):
+                    one = np.flatnonzero(group[step:] == group[:-step])
+                    two = one + step
+                    fit = percent * np.maximum(n[one], n[two]) <= 100 * np.minimum(n[one], n[two])
+                    pairs.append(np.stack([ids[one[fit]], ids[two[fit]]], axis=1))
+                pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+                for i in range(0, len(pairs), 50_000):
+                    part = pairs[i : i + 50_000]
+                    empty = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([empty, pa.array(part[:, 0]), pa.array(part[:, 1]), empty], ["key", "c", "d", "n"])
+
+    return run
 
 
 def _key_rows(key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(key), 50_000):
         s = slice(i, i + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(ids[s]), pa.array(n[s])], ["key", "c", "n"])
+        empty = pa.nulls(len(key[s]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(ids[s]), empty, pa.array(n[s])], ["key", "c", "d", "n"])
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
@@ -284,7 +306,7 @@ def _sketches(size: int):
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
-                yield pa.RecordBatch.from_arrays(
+                rows = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
@@ -293,6 +315,9 @@ def _sketches(size: int):
                     ],
                     ["c", "n", "sketch", "text"],
                 )
+                # another text may have the same id
+                own = [len(s) > 0 and class_id(s) == c for s, c in zip(sets, rows.column(0).to_pylist(), strict=True)]
+                yield rows.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -361,12 +386,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     common = spark.sparkContext.broadcast(common_shingles(docs, size, sized.count()))
     parts = shuffle_partitions(spark)
     packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed_keys(size, percent, parts, common), "bucket long, blob binary")
-    shared = stored(packed.repartition(parts, "bucket").mapInArrow(_shared_keys, "key long, c long, n long"), "jaccard-keys")
+    shared = stored(packed.repartition(parts, "bucket").mapInArrow(_shared_keys(percent), "key long, c long, d long, n long"), "jaccard-keys")
+    few = shared.where("key is null").select(F.col("c").alias("a"), F.col("d").alias("b"))
+    many = shared.where("key is not null").select("key", "c", "n")
 
     # the texts of all classes that share a block
-    wanted = shared.select("c").distinct().join(classes, F.col("c") == F.col("class_id")).select("c", F.col("first_id").alias("doc_id"))
+    wanted = few.select("a").union(few.select("b")).union(many.select("c")).distinct().toDF("c")
+    wanted = stored(wanted.join(classes, F.col("c") == F.col("class_id")).select("c", F.col("first_id").alias("doc_id")), "jaccard-wanted")
+    if wanted.count() <= WANTED_IDS:
+        wanted = F.broadcast(wanted)
     one_each = docs.join(wanted, "doc_id").select("c", "text")
-    members = stored(one_each.mapInArrow(_sketches(size), "c long, n long, sketch binary, text string").dropDuplicates(["c"]), "jaccard-members")
+    members = stored(one_each.mapInArrow(_sketches(size), "c long, n long, sketch binary, text string"), "jaccard-members")
 
     def check(pairs: DataFrame) -> DataFrame:
         left = members.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -377,19 +407,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         return near.join(texts_b, "b").join(texts_a, "a").mapInArrow(_verified(size, percent), "a long, b long")
 
     fits = f"{percent} * greatest(n, m) <= 100 * least(n, m)"
-    least = shared.groupBy("key").agg(F.min(F.struct("c", "n")).alias("least"))
+    least = many.groupBy("key").agg(F.min(F.struct("c", "n")).alias("least"))
     stars = (
-        shared.join(least, "key")
+        many.join(least, "key")
         .select(F.col("least.c").alias("a"), F.col("c").alias("b"), F.col("least.n").alias("m"), "n")
         .where(f"a <> b and {fits}")
         .select("a", "b")
+        .union(few)
         .distinct()
     )
     stars = stored(stars, "jaccard-stars")
     links = stored(check(stars), "jaccard-links")
     roots = connected_components(links)
     # blocks whose members are still apart
-    placed = shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = many.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     placed = stored(placed.select("key", "c", "n", "root"), "jaccard-placed")
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = placed.join(apart, "key")
