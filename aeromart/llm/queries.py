@@ -5,9 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aeromart.llm.common import read_table
+from aeromart.llm.ann import nearest_neighbours
+from aeromart.llm.common import crc_bucket, read_table
+from aeromart.llm.decontaminate import contaminated
 from aeromart.llm.jaccard import near_duplicates
+from aeromart.llm.langid import learn_profiles, predict_language
+from aeromart.llm.linededup import remove_repeated_units
+from aeromart.llm.packing import pack
+from aeromart.llm.records import make_folder, read_digests, scratch_folder, write_records
+from aeromart.llm.surrogates import replace_entities
+from aeromart.llm.toxicity import bounded_labels, learn_toxicity, score_toxicity
+
+#: Key of the surrogates; a deployment passes its own secret.
+SURROGATE_KEY = "aeromart-registered-queries"
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file, found on the executor that reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a near copy of a benchmark item, with its place."""
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learned = bounded_labels(labels.where(crc_bucket("doc_id", 5) != 0))
+    # at most the bounded number of label rows
+    model = learn_toxicity(docs.select("doc_id", "text").join(F.broadcast(learned), "doc_id"))
+    out = score_toxicity(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids, read back from record files."""
+    folder = make_folder(scratch_folder(spark))
+    return read_digests(write_records(read_table(spark, sf_dir, "documents"), folder, tokenizer_path))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = learn_profiles(docs.where(crc_bucket("doc_id", 4) != 2))
+    out = predict_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +68,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return replace_entities(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines and sentences that an earlier one has."""
+    return remove_repeated_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_nearest": op2_nearest,
+    "op3_toxicity": op3_toxicity,
+    "op4_records": op4_records,
+    "op5_language": op5_language,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_surrogates": op7_surrogates,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
