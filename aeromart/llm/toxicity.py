@@ -36,25 +36,28 @@ from pyspark.sql import functions as F
 from aeromart.llm.common import stored, text_chunks
 from aeromart.llm.hashing import U, running, span_hashes, spaced_word_bytes, word_spans
 
-DECAY = 0.6
+DECAY = 0.75
+SHARPNESS = 2.5
 WORD_BYTES = 24  # longer words are read in overlapping stretches of this length
-POSITIVES, NEGATIVES, LANDMARKS = 1500, 6000, 48
+POSITIVES, NEGATIVES, LANDMARKS = 1500, 6000, 120
 KNOWN_WORDS = 1_000_000
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 FLOOR = -2.0  # margin of a text without words
 
 
 def cleaned(word: bytes) -> bytes:
-    """Lower case, without ASCII punctuation at either end."""
-    return word.decode("utf-8", "replace").lower().encode().strip(PUNCTUATION)
+    """Lower case, without ASCII punctuation."""
+    return word.decode("utf-8", "replace").lower().encode().translate(None, PUNCTUATION)
 
 
 def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark, in [0, 1].
+    """Kernel of each word with each landmark, in [0, 1]: a Gaussian over the
+    distance that the normalised subsequence kernel gives.
 
     Words of one length go together, so the recursion over the places of
     both strings runs on arrays over (word, landmark).  A landmark with
-    which a word shares less than half of the distinct bytes counts 0.
+    which a word shares less than 7 of 10 of the landmark's distinct bytes,
+    or 6 of 10 of its own, counts 0.
     """
     out = np.zeros((len(words), len(landmarks)))
     by_length: dict[int, list[int]] = {}
@@ -65,7 +68,7 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     for j, x in enumerate(landmarks):
         right[j, : len(x)] = np.frombuffer(x, np.uint8)
     right_self = np.array([self_kernel(np.frombuffer(x, np.uint8)[None])[0] for x in landmarks])
-    sets = byte_sets(right)
+    sets, sizes = byte_sets(right), np.array([len(x) for x in landmarks])
     for length, rows in by_length.items():
         if length < 2 or length > WORD_BYTES or not landmarks:
             continue
@@ -73,13 +76,16 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
             part = np.array(rows[k : k + 2000])
             left = np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), length)
             own = byte_sets(left)
-            enough = 2 * np.bitwise_count(own[:, None] & sets[None]) >= np.bitwise_count(sets)[None]
+            shared = 10 * np.bitwise_count(own[:, None] & sets[None]).astype(np.int16)
+            enough = (shared >= 7 * np.bitwise_count(sets).astype(np.int16)[None]) & (shared >= 6 * np.bitwise_count(own).astype(np.int16)[:, None])
+            own_self = self_kernel(left)
             w, m = np.nonzero(enough)
-            values = np.zeros(len(w), np.float32)
-            for p in range(0, len(w), 20_000):
-                s = slice(p, p + 20_000)
-                values[s] = raw_kernel(left[w[s]], right[m[s]])
-            out[part[w], m] = values / np.sqrt(self_kernel(left)[w] * right_self[m])
+            for size in np.unique(sizes[m]).tolist():
+                of_size = sizes[m] == size
+                for p in np.array_split(np.flatnonzero(of_size), max(1, int(of_size.sum()) // 8000)):
+                    x, y = w[p], m[p]
+                    alike = raw_kernel(left[x], right[y, :size]) / np.sqrt(own_self[x] * right_self[y])
+                    out[part[x], y] = np.exp(-2 * SHARPNESS * (1 - alike))
     return out
 
 
@@ -174,7 +180,7 @@ def train(positive: list[bytes], negative: list[bytes], seen: np.ndarray) -> Mod
         for w in pool:
             if len(landmarks) >= upto:
                 break
-            if not landmarks or kernel([w], landmarks).max() < 0.75:
+            if not landmarks or kernel([w], landmarks).max() < 0.8:
                 landmarks.append(w)
     k = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
@@ -246,7 +252,7 @@ def _margins(model: Model):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             found = []
-            for _, _, data, offsets in text_chunks(batch, "text"):
+            for _, _, data, offsets in text_chunks(batch, "text", 6 << 20):
                 hashes, starts, ends, firsts, spaced = document_words(data, offsets)
                 if len(known_hash) > KNOWN_WORDS:
                     known_hash, known_value = np.zeros(0, U), np.zeros(0)
@@ -289,7 +295,7 @@ def learn_toxicity(labelled: DataFrame) -> Model:
     words = sample.mapInArrow(_word_counts, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
     words = words.withColumn("ratio", ratio)
-    positive = words.where((F.col("toxic") >= max(2, n_toxic // 500)) & (F.col("ratio") >= 15)).orderBy(F.desc("toxic"), "word").limit(POSITIVES).toPandas()
+    positive = words.where((F.col("toxic") >= max(3, n_toxic // 100)) & (F.col("ratio") >= 15)).orderBy(F.desc("toxic"), "word").limit(POSITIVES).toPandas()
     clean = words.where((F.col("clean") >= 1) & (F.col("ratio") < 1.5))
     half = NEGATIVES // 2
     negative = clean.orderBy(F.desc("clean"), "word").limit(half).union(clean.orderBy(F.xxhash64("word"), "word").limit(half)).select("word").distinct().orderBy("word").toPandas()
