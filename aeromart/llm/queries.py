@@ -15,6 +15,7 @@ from aeromart.llm.langid import learn_profiles, predict_language
 from aeromart.llm.linededup import remove_repeated_units
 from aeromart.llm.packing import pack
 from aeromart.llm.records import make_folder, read_digests, scratch_folder, write_records
+from aeromart.llm.suffixdedup import remove_repeated_spans
 from aeromart.llm.surrogates import replace_entities
 from aeromart.llm.toxicity import bounded_labels, learn_toxicity, score_toxicity
 
@@ -78,6 +79,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return remove_repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every document."""
     return pack(read_table(spark, sf_dir, "documents"))
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_surrogates": op7_surrogates,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
