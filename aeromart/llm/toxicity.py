@@ -12,8 +12,9 @@ Labels come by document.  A document is a bag of words (white-space words;
 spaced-out letters "i d i o t" count as one): a toxic one is marked by some
 of its words, a clean one by none.  Words of labelled documents are counted
 over all training rows; the words whose counts are far more frequent in
-toxic documents are the positive examples and give the landmarks, frequent
-words of clean documents are the negative ones.  A document's margin is
+toxic documents are the positive examples (the foremost also with a
+character inserted) and give the landmarks, words of clean documents are
+the negative ones.  A document's margin is
 its most toxic word's, and a logistic fit of the margins of labelled
 documents turns it into a score.
 
@@ -36,10 +37,11 @@ from pyspark.sql import functions as F
 from aeromart.llm.common import stored, text_chunks
 from aeromart.llm.hashing import U, running, span_hashes, spaced_word_bytes, word_spans
 
-DECAY = 0.75
-SHARPNESS = 2.5
+DECAY = 0.85
+SHARPNESS = 3.0
 WORD_BYTES = 24  # longer words are read in overlapping stretches of this length
 POSITIVES, NEGATIVES, LANDMARKS = 1500, 6000, 120
+CHANGED = 60  # positive words that are also learned with a character inserted
 KNOWN_WORDS = 1_000_000
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 FLOOR = -2.0  # margin of a text without words
@@ -164,7 +166,7 @@ class Model:
     def margins(self, words: list[bytes]) -> np.ndarray:
         """Decision value of each word (the largest of a long word's pieces)."""
         parts = [p for w in words for p in pieces(w)]
-        values = np.maximum(kernel(parts, self.landmarks) @ self.weights + self.bias, FLOOR)
+        values = np.clip(kernel(parts, self.landmarks) @ self.weights + self.bias, FLOOR, 1.0)
         firsts = np.cumsum([0] + [len(pieces(w)) for w in words])[:-1]
         return np.maximum.reduceat(values, firsts) if len(values) else np.zeros(0)
 
@@ -172,6 +174,12 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.asarray(margin, float) + self.offset)))
 
 
+def inserted(word: bytes) -> list[bytes]:
+    """Three variants of a word with a foreign character inside."""
+    middle = len(word) // 2
+    return [word[:i] + b"x" + word[i:] for i in (middle - 1, middle, middle + 1)] if len(word) >= 5 else []
+
+
 def train(positive: list[bytes], negative: list[bytes], seen: np.ndarray) -> Model:
     """SVM over words; ``positive`` in order of importance, ``seen`` how often
     each was."""
@@ -185,9 +193,11 @@ def train(positive: list[bytes], negative: list[bytes], seen: np.ndarray) -> Mod
     k = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     nystroem = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = kernel(positive + negative, landmarks) @ nystroem
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.concatenate([seen / seen.sum(), np.full(len(negative), 1 / max(1, len(negative)))])
+    changed = [(v, s) for w, s in zip(positive[:CHANGED], seen, strict=False) for v in inserted(w)]
+    x = kernel(positive + [v for v, _ in changed] + negative, landmarks) @ nystroem
+    y = np.concatenate([np.ones(len(positive) + len(changed)), -np.ones(len(negative))])
+    extra = np.array([s for _, s in changed], float)
+    weight = np.concatenate([seen / seen.sum(), 0.5 * extra / max(extra.sum(), 1), np.full(len(negative), 1 / max(1, len(negative)))])
     w, bias = train_svm(x, y, weight)
     return Model(landmarks, nystroem @ w, bias)
 
