@@ -92,7 +92,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token
     ends = optimal_boundaries(longest, counts, totals, buckets)
     bounds = [int(longest[e]) for e in ends] or [1]
     sums = np.concatenate([[0], np.cumsum(counts)])
-    rows = [int(sums[b + 1] - sums[a]) for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+    rows = np.diff([0, *sums[[e + 1 for e in ends]]]).tolist() if ends else []
     capacity = [max(1, token_budget // b) for b in bounds]
     first_batch = np.concatenate([[0], np.cumsum([-(-n // k) for n, k in zip(rows, capacity, strict=False)])]).astype(int).tolist()
 
