@@ -36,8 +36,10 @@ ROUTE_LABEL_SEPARATOR = " -> "
 # Lenient text layouts.  A double is decimal digits with optional
 # exponent, or inf/infinity/nan; a timestamp is a date, optionally with
 # a space or 'T' and hh:mm:ss plus an optional fraction.
-NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
-TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?)?$"
+NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\z"
+# Months, days and hours may have one digit, as they may in the layouts
+# %m, %d and %H; minutes and seconds have two.
+TIMESTAMP_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?)?\z"
 # The Unicode White_Space characters, stripped at both ends of text.
 WHITESPACE_CHARS = (
     "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680"
@@ -45,18 +47,6 @@ WHITESPACE_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Money and distances are summed exactly at this scale (see ``exact_sum``):
-# row values as decimal(18,4) (long-backed), already aggregated values
-# (cells, per-flight totals) as decimal(30,4).
-EXACT_SCALE = 4
-EXACT_TYPE = f"decimal(18,{EXACT_SCALE})"
-EXACT_WIDE_TYPE = f"decimal(30,{EXACT_SCALE})"
-# Computed quantities (fuel = gallons per hour x minutes / 60) are summed
-# as 6-decimal fixed point: far finer than their meaning, and the total no
-# longer depends on the order of rows.
-FINE_TYPE = "decimal(30,6)"
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -71,28 +61,25 @@ def zero_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(0.0))
 
 
-def exact_sum(c: str | Column, wide: bool = False, fine: bool = False) -> Column:
-    """Exact sum of a money-like double, as decimal.
+def sum0(c: str | Column) -> Column:
+    """Sum of doubles that is 0 (not null) over no non-null value (N7).
 
-    Double sums change in the last digits with partitioning; summing the
-    value as a 4-decimal fixed-point number makes the total independent of
-    the number of partitions and of the order of rows.  Null when all
-    inputs are null.  Non-finite or out-of-range values (NaN, inf, over
-    1e14 per row) are left out instead of failing the job.
+    NaN and infinity go into the sum as in any sum of doubles; nothing is
+    left out or rounded.
     """
-    target = FINE_TYPE if fine else (EXACT_WIDE_TYPE if wide else EXACT_TYPE)
-    return F.sum(col(c).try_cast(target))
-
+    return F.coalesce(F.sum(col(c)).cast("double"), F.lit(0.0))
 
-def sum0(c: str | Column, exact: bool = True, wide: bool = False, fine: bool = False) -> Column:
-    """Sum that is 0 (not null) over no non-null value (N7), as double."""
-    total = exact_sum(c, wide, fine) if exact else F.sum(col(c))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
 
-
-def exact_mean(c: str | Column) -> Column:
-    """Mean of the non-null values with an exact numerator."""
-    return F.try_divide(exact_sum(c).cast("double"), F.count(col(c)))
+def exact_sum(c: str | Column, scale: int = 4) -> Column:
+    """Sum that does not depend on the order of rows: an option, not used by
+    the marts.  Values are summed as decimals of ``scale`` places; a value
+    that this type cannot hold (NaN, infinity, too large) is an error."""
+    value = col(c)
+    finite = F.when(
+        F.isnan(value) | (F.abs(value) == float("inf")),
+        F.raise_error(F.lit("exact_sum: a value is not finite")).cast(f"decimal(30,{scale})"),
+    ).otherwise(value.cast(f"decimal(30,{scale})"))
+    return F.sum(finite)
 
 
 def strip_whitespace(c: str | Column) -> Column:
@@ -116,6 +103,11 @@ def lenient_timestamp(c: str | Column) -> Column:
     return F.when(text.rlike(TIMESTAMP_PATTERN), text.try_cast("timestamp_ntz"))
 
 
+def utc_wall_time(c: str | Column) -> Column:
+    """Zoned timestamp to its wall time in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(c).cast("timestamp_ntz"))
+
+
 def cabin_class(c: str | Column) -> Column:
     """EXP7: nine spellings to three classes, other values upper-cased."""
     key = F.upper(strip_whitespace(col(c).cast("string")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeromart.functions.expressions import exact_mean, exact_sum, safe_divide, sum0
+from aeromart.functions.expressions import safe_divide, sum0
 
 CELL_GRAIN_COLUMNS = ("tickets", "revenue")
 
@@ -24,41 +24,31 @@ def is_cell_grain(tickets: DataFrame) -> bool:
 def ticket_count(tickets: DataFrame) -> Column:
     """MSR1: rows at ticket grain (long), re-summed cells at cell grain (double)."""
     if is_cell_grain(tickets):
-        return sum0("tickets", exact=False).alias("tickets")
+        return sum0("tickets").alias("tickets")
     return F.count(F.lit(1)).alias("tickets")
 
 
-def revenue_exact(tickets: DataFrame) -> Column:
-    """Exact (decimal) revenue; null over no non-null amount."""
-    if is_cell_grain(tickets):
-        return exact_sum("revenue", wide=True)
-    return exact_sum("total_amount")
-
-
 def revenue(tickets: DataFrame) -> Column:
     """MSR2: summed amounts, 0 when there is none."""
-    return F.coalesce(revenue_exact(tickets).cast("double"), F.lit(0.0)).alias("revenue")
+    return sum0("revenue" if is_cell_grain(tickets) else "total_amount").alias("revenue")
 
 
 def avg_ticket_value(tickets: DataFrame) -> Column:
     """MSR3: mean of non-null amounts, or revenue per ticket at cell grain (N16)."""
     if is_cell_grain(tickets):
-        return safe_divide(
-            F.coalesce(revenue_exact(tickets).cast("double"), F.lit(0.0)),
-            sum0("tickets", exact=False),
-        ).alias("avg_ticket_value")
-    return exact_mean("total_amount").alias("avg_ticket_value")
+        return safe_divide(sum0("revenue"), sum0("tickets")).alias("avg_ticket_value")
+    return F.avg("total_amount").alias("avg_ticket_value")
 
 
 def tax_amount(tickets: DataFrame) -> Column:
     """MSR4: summed taxes (same at both grains)."""
-    return sum0("tax_amount", wide=is_cell_grain(tickets)).alias("tax_amount")
+    return sum0("tax_amount").alias("tax_amount")
 
 
 def avg_tax_share(tickets: DataFrame) -> Column:
     """MSR5: mean tax share; at cell grain the summed shares per ticket."""
     if is_cell_grain(tickets) and "tax_share_sum" in tickets.columns:
         return safe_divide(
-            sum0("tax_share_sum", exact=False), sum0("tickets", exact=False)
+            sum0("tax_share_sum"), sum0("tickets")
         ).alias("avg_tax_share")
     return F.avg("tax_share").alias("avg_tax_share")

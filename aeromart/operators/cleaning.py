@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeromart.functions.expressions import lenient_double, lenient_timestamp, strip_whitespace
+from aeromart.functions.expressions import lenient_double, lenient_timestamp, strip_whitespace, utc_wall_time
 
 # Columns coerced by name in the standard cleaning step.
 MONEY_COLUMNS = ["price", "airport_tax", "local_tax", "total_amount"]
@@ -36,10 +36,6 @@ def existing(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c in present]
 
 
-def select_existing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    return df.select(*existing(df, columns))
-
-
 def rename_existing(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """PRJ2: rename the columns that exist; absent names are ignored."""
     present = set(df.columns)
@@ -82,7 +78,8 @@ def cast_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def parse_temporal(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """PRJ5: text in five layouts or dates to timestamp_ntz; timestamps stay."""
+    """PRJ5: text in five layouts, dates and zoned timestamps (as UTC wall
+    time) to timestamp_ntz; wall-time timestamps stay."""
     types = {f.name: f.dataType for f in df.schema.fields}
     targets = {}
     for c in existing(df, columns):
@@ -91,6 +88,8 @@ def parse_temporal(df: DataFrame, columns: Iterable[str]) -> DataFrame:
             targets[c] = lenient_timestamp(c)
         elif isinstance(dtype, T.DateType):
             targets[c] = F.col(c).cast("timestamp_ntz")
+        elif isinstance(dtype, T.TimestampType):
+            targets[c] = utc_wall_time(c)
     return df.withColumns(targets) if targets else df
 
 

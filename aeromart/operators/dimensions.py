@@ -57,9 +57,7 @@ def airport_dimension(airports: DataFrame) -> DataFrame:
     return unique_by_key(cast_strings(airports, ["iata_code"]), "iata_code")
 
 
-def build_route_dimension(
-    routes: DataFrame, airports: DataFrame, broadcast_max_bytes: int | None = None
-) -> DataFrame:
+def build_route_dimension(routes: DataFrame, airports: DataFrame) -> DataFrame:
     """DS1: route columns, origin_* and destination_* airport attributes,
     ``route_label`` ("city -> city", codes where a city is missing) and
     ``flight_hours`` (minutes / 60)."""
@@ -71,8 +69,8 @@ def build_route_dimension(
     destination = rename_existing(airport_dim, DESTINATION_NAMES)
 
     dim = cast_strings(routes, ["route_code", "origin", "destination"])
-    dim = join_dimension(dim, origin, "origin", max_bytes=broadcast_max_bytes)
-    dim = join_dimension(dim, destination, "destination", max_bytes=broadcast_max_bytes)
+    dim = join_dimension(dim, origin, "origin")
+    dim = join_dimension(dim, destination, "destination")
     return dim.withColumns(
         {
             "route_label": route_label(

@@ -1,9 +1,11 @@
 """Enriched fact tables: tickets (DS2), ticket cells (DS3), flights (DS4).
 
-All builders are lazy.  Joins go through ``join_dimension`` (size-checked
-broadcast, else sort-merge with AQE skew splitting).  The per-flight ticket
-totals are aggregated *before* the join to flights, so the join sees one
-row per flight and a hot flight is combined map-side.
+All builders are lazy but for one emptiness test of the passengers.  Joins
+that are likely to shuffle the fact (passengers, per-flight totals) come
+first, while the fact is narrow; routes and aircraft follow, and a select
+restores the column order.  The per-flight ticket totals are aggregated
+*before* the join to flights, so the join sees one row per flight and a hot
+flight is combined map-side.
 """
 
 from __future__ import annotations
@@ -64,7 +66,6 @@ def build_tickets_enriched(
     tickets: DataFrame,
     route_dim: DataFrame,
     passengers: DataFrame | None = None,
-    broadcast_max_bytes: int | None = None,
 ) -> DataFrame:
     """DS2: one row per ticket with cabin, taxes, dates, route and passenger data."""
     tickets = clean_table(tickets)
@@ -88,14 +89,21 @@ def build_tickets_enriched(
             "departure_year": F.year("departure"),
         }
     )
-    base = join_dimension(base, route_dim, "route_code", max_bytes=broadcast_max_bytes)
+    ticket_columns = base.columns
 
     # Only when passengers are given and not empty: the output schema
     # depends on it, so this is the one place a (limit-1) action is used.
-    if passengers is not None and not passengers.isEmpty():
-        base = join_dimension(
-            base, passenger_dimension(passengers), "passenger_id", max_bytes=broadcast_max_bytes
-        )
+    with_passengers = passengers is not None and not passengers.isEmpty()
+    if with_passengers:
+        taken = {*base.columns, *[c for c in route_dim.columns if c != "route_code"]}
+        dim = passenger_dimension(passengers)
+        clash = {c: f"{c}_right" for c in dim.columns if c in taken and c != "passenger_id"}
+        base = join_dimension(base, dim.withColumnsRenamed(clash), "passenger_id")
+    passenger_columns = [c for c in base.columns if c not in ticket_columns]
+    base = join_dimension(base.select(*ticket_columns, *passenger_columns), route_dim, "route_code")
+    route_columns = [c for c in base.columns if c not in ticket_columns and c not in passenger_columns]
+    base = base.select(*ticket_columns, *route_columns, *passenger_columns)
+    if with_passengers:
         base = base.withColumn(
             "passenger_age", F.col("departure_year") - F.year("passenger_birth_date")
         )
@@ -105,9 +113,7 @@ def build_tickets_enriched(
     return base
 
 
-def build_ticket_summary_enriched(
-    ticket_summary: DataFrame, route_dim: DataFrame, broadcast_max_bytes: int | None = None
-) -> DataFrame:
+def build_ticket_summary_enriched(ticket_summary: DataFrame, route_dim: DataFrame) -> DataFrame:
     """DS3: route x month x cabin cells with ``tax_share`` = shares per ticket."""
     summary = require(
         clean_table(ticket_summary),
@@ -123,7 +129,7 @@ def build_ticket_summary_enriched(
         }
     )
     summary = summary.withColumn("tax_share", X.safe_divide("tax_share_sum", "tickets"))
-    return join_dimension(summary, route_dim, "route_code", max_bytes=broadcast_max_bytes)
+    return join_dimension(summary, route_dim, "route_code")
 
 
 def ticket_totals_by_flight(tickets: DataFrame) -> DataFrame:
@@ -166,7 +172,6 @@ def build_flights_enriched(
     airplanes: DataFrame,
     ticket_source: DataFrame,
     as_of_year: int | None = None,
-    broadcast_max_bytes: int | None = None,
 ) -> DataFrame:
     """DS4: flights with route and aircraft data, ticket totals, seat
     capacity, estimated load factor and estimated fuel."""
@@ -178,13 +183,12 @@ def build_flights_enriched(
         {"flight_departure": F.col("departure"), "flight_arrival": F.col("arrival")}
     )
     routes = route_dim.select(*existing(route_dim, FLIGHT_ROUTE_COLUMNS))
-    base = join_dimension(base, routes, "route_code", max_bytes=broadcast_max_bytes)
-    base = join_dimension(
-        base, airplane_dimension(airplanes, as_of_year), "airplane", max_bytes=broadcast_max_bytes
-    )
-    # Per-flight totals are as many rows as flights: never broadcast, the
-    # aggregate output is already hash-partitioned on flight_id.
-    base = join_dimension(base, per_flight, "flight_id", max_bytes=0)
+    flight_columns = base.columns
+    base = join_dimension(base, per_flight, "flight_id")
+    totals = [c for c in base.columns if c not in flight_columns]
+    base = join_dimension(base, routes, "route_code")
+    base = join_dimension(base, airplane_dimension(airplanes, as_of_year), "airplane")
+    base = base.select(*[c for c in base.columns if c not in totals], *totals)
     base = base.withColumns(
         {
             "seat_capacity": X.zero_if_null("seats_business")

@@ -1,18 +1,11 @@
-"""Fact-to-dimension joins with a size-checked broadcast.
+"""Fact-to-dimension joins.
 
 Every join in the reference is a left outer equi-join of a fact onto a
-dimension.  Catalyst's own estimate for a derived dimension (a join of
-joins) is the *product* of its inputs' sizes, so it never broadcasts one
-by itself, and AQE's run-time switch comes after the fact side has
-already been shuffled.  So the size is checked here, with a probe whose
-cost is bounded no matter how large the dimension is: take at most
-``max_rows + 1`` zero-width rows of it.  ``collect`` of a limit runs
-incrementally (one partition, then four times more, ...) and stops once
-it has enough rows, unlike ``limit(n).count()``, which plans a local
-limit on every partition and funnels the survivors into one task.  At or
-below the bound the dimension is broadcast; above it the join is left to
-a sort-merge join, where AQE splits skewed fact partitions
-(``spark.sql.adaptive.skewJoin``).
+dimension.  No side is hinted: a dimension is broadcast when Spark knows,
+from file statistics or from a finished shuffle (AQE), that it is below
+``spark.sql.autoBroadcastJoinThreshold``; else the join sorts and merges,
+and AQE splits skewed fact partitions (``spark.sql.adaptive.skewJoin``).
+A plan is built without running a job.
 """
 
 from __future__ import annotations
@@ -20,56 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Estimated in-memory bytes of one broadcast row: an 8-byte slot per
-# field plus the variable part of strings and decimals.
-_FIELD_SLOT_BYTES = 8
-_VARIABLE_BYTES = {T.StringType: 40, T.BinaryType: 64, T.DecimalType: 16}
-
-DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-BROADCAST_CONF_KEY = "spark.aeromart.broadcastMaxBytes"
-# The probe never takes more rows than this (about a second of driver work).
-MAX_PROBE_ROWS = 100_000
-
-_probe_cache: dict[tuple[str, int, int, int], bool] = {}
-
-
-def estimated_row_bytes(schema: T.StructType) -> int:
-    size = 16
-    for field in schema.fields:
-        size += _FIELD_SLOT_BYTES
-        for dtype, extra in _VARIABLE_BYTES.items():
-            if isinstance(field.dataType, dtype):
-                size += extra
-    return size
-
-
-def broadcast_max_bytes(df: DataFrame, override: int | None = None) -> int:
-    if override is not None:
-        return override
-    value = df.sparkSession.conf.get(BROADCAST_CONF_KEY, None)
-    return int(value) if value else DEFAULT_BROADCAST_MAX_BYTES
-
-
-def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """True when ``df`` provably holds at most ``max_bytes`` (estimated)
-    and at most ``MAX_PROBE_ROWS`` rows.
-
-    One bounded, incremental Spark job per distinct plan and session; it
-    reads only the columns needed to produce rows and returns rows with no
-    columns.  The answer is remembered per session and logical plan.
-    """
-    limit_bytes = broadcast_max_bytes(df, max_bytes)
-    max_rows = min(max(limit_bytes // estimated_row_bytes(df.schema), 0), MAX_PROBE_ROWS)
-    if max_rows == 0:
-        return False
-    session = df.sparkSession
-    key = (session.sparkContext.applicationId, id(session), df.semanticHash(), max_rows)
-    if key not in _probe_cache:
-        _probe_cache[key] = len(df.select().limit(max_rows + 1).collect()) <= max_rows
-    return _probe_cache[key]
 
 
 def join_dimension(
@@ -77,7 +20,6 @@ def join_dimension(
     dim: DataFrame,
     on: str | Sequence[str],
     how: str = "left",
-    max_bytes: int | None = None,
     suffix: str = "_right",
 ) -> DataFrame:
     """Left-join ``dim`` onto ``fact`` keeping the fact's column order.
@@ -93,6 +35,4 @@ def join_dimension(
     if renames:
         dim = dim.withColumnsRenamed(renames)
     dim_payload = [c for c in dim.columns if c not in keys]
-    right = F.broadcast(dim) if fits_broadcast(dim, max_bytes) else dim
-    joined = fact.join(right, on=keys, how=how)
-    return joined.select(*fact.columns, *dim_payload)
+    return fact.join(dim, on=keys, how=how).select(*fact.columns, *dim_payload)

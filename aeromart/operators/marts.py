@@ -9,7 +9,7 @@ partial row per key and task.  Measures come from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,19 +68,14 @@ def revenue_by_month(tickets: DataFrame) -> DataFrame:
 def cabin_mix(tickets: DataFrame) -> DataFrame:
     """AGG2 + WIN1: per cabin, with the cabin's share of all revenue.
 
-    The grand total is a scalar subquery over the grouped cabins (exact
-    decimal sum), not a window over one partition or a cross join.
+    The grand total is a window over the few grouped rows, so tickets are
+    aggregated once.
     """
     grouped = tickets.groupBy("cabin_class").agg(
-        M.ticket_count(tickets),
-        M.revenue(tickets),
-        M.avg_ticket_value(tickets),
-        M.revenue_exact(tickets).alias("_revenue_exact"),
-    )
-    total = grouped.select(F.sum("_revenue_exact").cast("double")).scalar()
-    result = grouped.withColumn("revenue_share", safe_divide(F.col("revenue"), total)).drop(
-        "_revenue_exact"
+        M.ticket_count(tickets), M.revenue(tickets), M.avg_ticket_value(tickets)
     )
+    total = F.sum("revenue").over(Window.partitionBy())
+    result = grouped.withColumn("revenue_share", safe_divide(F.col("revenue"), total))
     return sort_with_ties(result, [desc_first("revenue")], ["cabin_class"])
 
 
@@ -120,11 +115,11 @@ def fleet_utilization(flights: DataFrame, top: int | None = None) -> DataFrame:
     aggregations = [
         F.count(F.lit(1)).alias("scheduled_flights"),
         sum0("distance").alias("assigned_distance"),
-        sum0("ticket_revenue", wide=True).alias("ticket_revenue"),
+        sum0("ticket_revenue").alias("ticket_revenue"),
         F.coalesce(F.sum("tickets_sold"), F.lit(0)).alias("tickets_sold"),
         F.max("seat_capacity").alias("seat_capacity"),
         F.avg("estimated_load_factor").alias("avg_load_factor"),
-        sum0("estimated_fuel_gallons", fine=True).alias("estimated_fuel_gallons"),
+        sum0("estimated_fuel_gallons").alias("estimated_fuel_gallons"),
     ]
     aggregations += [F.max(c).alias(c) for c in existing(flights, FLEET_OPTIONAL_MAXIMA)]
     result = flights.groupBy(*keys).agg(*aggregations)
@@ -140,20 +135,26 @@ def fleet_by_model(flights: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("scheduled_flights"),
         F.avg("seat_capacity").alias("avg_seat_capacity"),
         F.avg("estimated_load_factor").alias("avg_load_factor"),
-        sum0("estimated_fuel_gallons", fine=True).alias("estimated_fuel_gallons"),
+        sum0("estimated_fuel_gallons").alias("estimated_fuel_gallons"),
     )
     return sort_with_ties(result, [desc_first("scheduled_flights")], ["model"])
 
 
-def passenger_segments(tickets: DataFrame) -> DataFrame:
-    """AGG7: per existing segment key (country, VIP, age band, cabin)."""
+def group_segments(tickets: DataFrame) -> DataFrame:
+    """AGG7 without its order, for further grouping."""
     keys = existing(tickets, SEGMENT_KEYS)
     if not keys:
         return empty_frame(tickets)
-    result = tickets.groupBy(*keys).agg(
+    return tickets.groupBy(*keys).agg(
         M.ticket_count(tickets), M.revenue(tickets), M.avg_ticket_value(tickets)
     )
-    return sort_with_ties(result, [desc_first("revenue")], keys)
+
+
+def passenger_segments(tickets: DataFrame) -> DataFrame:
+    """AGG7: per existing segment key (country, VIP, age band, cabin)."""
+    result = group_segments(tickets)
+    keys = existing(tickets, SEGMENT_KEYS)
+    return sort_with_ties(result, [desc_first("revenue")], keys) if keys else result
 
 
 def tax_by_route(tickets: DataFrame, top: int | None = None) -> DataFrame:
@@ -178,7 +179,7 @@ def segment_rollup(segments: DataFrame) -> DataFrame:
         return empty_frame(segments)
     result = segments.groupBy(*keys).agg(
         F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets"),
-        sum0("revenue", wide=True).alias("revenue"),
+        sum0("revenue").alias("revenue"),
         F.avg("avg_ticket_value").alias("avg_ticket_value"),
     )
     return sort_with_ties(result, [desc_first("revenue")], keys)

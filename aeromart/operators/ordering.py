@@ -47,9 +47,3 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     key and therefore runs in one task.
     """
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
-def first_row(df: DataFrame) -> dict | None:
-    """TOP3: the first row as a named record (reads one row), None when empty."""
-    rows = df.limit(1).collect()
-    return rows[0].asDict() if rows else None

@@ -27,13 +27,13 @@ def _long(one_row: DataFrame, names: list[str]) -> DataFrame:
 
 def ticket_metrics(tickets: DataFrame) -> DataFrame:
     if M.is_cell_grain(tickets):
-        tickets_total = sum0("tickets", exact=False)
+        tickets_total = sum0("tickets")
         row = tickets.agg(
             M.revenue(tickets),
             tickets_total.alias("tickets"),
             M.avg_ticket_value(tickets),
             distinct_count_with_null("route_code").alias("routes"),
-            safe_divide(sum0("tax_share_sum", exact=False), tickets_total).alias("avg_tax_share"),
+            safe_divide(sum0("tax_share_sum"), tickets_total).alias("avg_tax_share"),
         )
     else:
         row = tickets.agg(

@@ -4,8 +4,8 @@ Written independently of the DataFrame code: the common table
 expressions below re-derive the six airline tables (already cleaned)
 and the enriched facts from ``region nation customer supplier part
 orders lineitem``; each query then states its operator in plain SQL.
-Money sums use DECIMAL(18,4) (rows) / DECIMAL(30,4) (re-summed values),
-as the library does, and the rounding rules of ``registry`` apply.
+Sums and means are those of doubles; their last digits depend on the order
+of rows, so the presentation rules of ``registry`` round them here too.
 """
 
 from __future__ import annotations
@@ -24,21 +24,8 @@ def _cabin(x: str) -> str:
     )
 
 
-def _xsum(x: str, wide: bool = False) -> str:
-    p = 30 if wide else 18
-    return f"sum(TRY_CAST({x} AS DECIMAL({p},4)))"
-
-
-def _fuel(x: str) -> str:
-    return f"coalesce(CAST(sum(TRY_CAST({x} AS DECIMAL(30,6))) AS DOUBLE), 0.0)"
-
-
-def _sum0(x: str, wide: bool = False) -> str:
-    return f"coalesce(CAST({_xsum(x, wide)} AS DOUBLE), 0.0)"
-
-
-def _mean(x: str) -> str:
-    return f"CAST({_xsum(x)} AS DOUBLE) / nullif(count({x}), 0)"
+def _sum0(x: str) -> str:
+    return f"coalesce(CAST(sum({x}) AS DOUBLE), 0.0)"
 
 
 def _distinct_with_null(x: str) -> str:
@@ -168,7 +155,7 @@ per_flight AS (
 ),
 ticket_by_flight AS (
   SELECT flight_id, count(*) AS tickets_sold,
-         CAST({_xsum('total_amount')} AS DOUBLE) AS ticket_revenue
+         sum(total_amount) AS ticket_revenue
   FROM tickets_clean GROUP BY flight_id
 ),
 flights_joined AS (
@@ -217,9 +204,9 @@ cells AS (
          strftime(departure, '%Y-%m') AS departure_month,
          {_cabin('class')} AS cabin_class,
          count(*) AS tickets,
-         CAST({_xsum('total_amount')} AS DOUBLE) AS revenue,
-         {_mean('total_amount')} AS avg_ticket_value,
-         CAST({_xsum('coalesce(airport_tax, 0) + coalesce(local_tax, 0)')} AS DOUBLE) AS tax_amount,
+         sum(total_amount) AS revenue,
+         avg(total_amount) AS avg_ticket_value,
+         sum(coalesce(airport_tax, 0) + coalesce(local_tax, 0)) AS tax_amount,
          sum(CASE WHEN total_amount IS NOT NULL AND total_amount <> 0
                   THEN (coalesce(airport_tax, 0) + coalesce(local_tax, 0)) / total_amount END) AS tax_share_sum
   FROM tickets_clean
@@ -263,17 +250,17 @@ def _tickets(cells: bool) -> str:
 
 
 def _revenue(cells: bool) -> str:
-    return _sum0("revenue", True) if cells else _sum0("total_amount")
+    return _sum0("revenue") if cells else _sum0("total_amount")
 
 
 def _avg_value(cells: bool) -> str:
     if cells:
-        return f"{_sum0('revenue', True)} / nullif(coalesce(sum(tickets), 0.0), 0)"
-    return _mean("total_amount")
+        return f"{_sum0('revenue')} / nullif(coalesce(sum(tickets), 0.0), 0)"
+    return "avg(total_amount)"
 
 
 def _tax(cells: bool) -> str:
-    return _sum0("tax_amount", cells)
+    return _sum0("tax_amount")
 
 
 def _tax_share(cells: bool) -> str:
@@ -288,11 +275,8 @@ FROM {src} GROUP BY departure_month, cabin_class"""
 
 
 def _mart_cabin_mix(src: str, cells: bool) -> str:
-    rev_exact = _xsum("revenue", True) if cells else _xsum("total_amount")
-    return f"""SELECT cabin_class, tickets, revenue, avg_ticket_value,
-       revenue / nullif(CAST(sum(rev_exact) OVER () AS DOUBLE), 0) AS revenue_share
-FROM (SELECT cabin_class, {_tickets(cells)} AS tickets, {_revenue(cells)} AS revenue,
-             {_avg_value(cells)} AS avg_ticket_value, {rev_exact} AS rev_exact
+    return f"""SELECT *, revenue / nullif(sum(revenue) OVER (), 0) AS revenue_share
+FROM (SELECT cabin_class, {_tickets(cells)} AS tickets, {_revenue(cells)} AS revenue, {_avg_value(cells)} AS avg_ticket_value
       FROM {src} GROUP BY cabin_class)"""
 
 
@@ -321,22 +305,22 @@ def _mart_fleet(src: str, cells: bool = False) -> str:
     sold = "coalesce(sum(tickets_sold), 0.0)" if cells else "CAST(coalesce(sum(tickets_sold), 0) AS BIGINT)"
     return f"""SELECT airplane, model, count(*) AS scheduled_flights,
        {_sum0('distance')} AS assigned_distance,
-       {_sum0('ticket_revenue', True)} AS ticket_revenue,
+       {_sum0('ticket_revenue')} AS ticket_revenue,
        {sold} AS tickets_sold,
        max(seat_capacity) AS seat_capacity,
        round(avg(estimated_load_factor), 6) AS avg_load_factor,
-       {_fuel('estimated_fuel_gallons')} AS estimated_fuel_gallons,
+       {_sum0('estimated_fuel_gallons')} AS estimated_fuel_gallons,
        max(aircraft_age_years) AS aircraft_age_years,
        max(maintenance_takeoffs) AS maintenance_takeoffs
 FROM {src} GROUP BY airplane, model"""
 
 
 SEGMENTS = f"""SELECT passenger_country, vip_segment, age_band, cabin_class, count(*) AS tickets,
-       {_sum0('total_amount')} AS revenue, {_mean('total_amount')} AS avg_ticket_value
+       {_sum0('total_amount')} AS revenue, avg(total_amount) AS avg_ticket_value
 FROM tickets_enriched GROUP BY passenger_country, vip_segment, age_band, cabin_class"""
 
 ROLLUP = f"""SELECT vip_segment, age_band, cabin_class, CAST(coalesce(sum(tickets), 0) AS BIGINT) AS tickets,
-       {_sum0('revenue', True)} AS revenue, round(avg(avg_ticket_value), 4) AS avg_ticket_value
+       {_sum0('revenue')} AS revenue, round(avg(avg_ticket_value), 4) AS avg_ticket_value
 FROM ({SEGMENTS}) GROUP BY vip_segment, age_band, cabin_class"""
 
 TICKET_SLICE_WHERE = """departure_date >= DATE '1996-01-01' AND departure_date <= DATE '1998-12-31'
@@ -485,7 +469,7 @@ FROM lineitem""",
     "fleet_by_model": q(
         f"""SELECT model, {_distinct_with_null('airplane')} AS aircraft, count(*) AS scheduled_flights,
        avg(seat_capacity) AS avg_seat_capacity, round(avg(estimated_load_factor), 6) AS avg_load_factor,
-       {_fuel('estimated_fuel_gallons')} AS estimated_fuel_gallons
+       {_sum0('estimated_fuel_gallons')} AS estimated_fuel_gallons
 FROM flights_enriched GROUP BY model"""
     ),
     "passenger_segments": q(SEGMENTS),
@@ -554,3 +538,29 @@ UNION ALL SELECT DISTINCT 'model', model FROM flights_enriched WHERE model IS NO
 for _name in ["tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
     SQL[_name] = dates_as_text(SQL[_name], ["departure_date"])
 SQL["date_bounds"] = dates_as_text(SQL["date_bounds"], ["min_date", "max_date"])
+
+# Presentation: sums to four decimals, means and ratios to six, after a shift
+# that keeps ties off the last digit (see ``registry.sums_rounded``).
+_SIX = ("avg_ticket_value", "revenue_share", "revenue_per_distance", "avg_ticket_value_per_distance", "avg_ticket_value_per_minute")
+_ROUTE = ["revenue", "avg_ticket_value", "tax_amount"]
+_YIELD = ["revenue", "avg_ticket_value", "revenue_per_distance", "avg_ticket_value_per_distance", "avg_ticket_value_per_minute"]
+_FLEET = ["assigned_distance", "ticket_revenue", "estimated_fuel_gallons"]
+ROUNDED: dict[str, list[str]] = {
+    **dict.fromkeys(["tickets_enriched", "filter_tickets"], ["tax_amount"]),
+    **dict.fromkeys(["flights_enriched", "flights_enriched_cells", "filter_flights"], ["ticket_revenue", "estimated_fuel_gallons"]),
+    **dict.fromkeys(["ticket_summary", "ticket_summary_enriched", "filter_tickets_cells"], _ROUTE),
+    **dict.fromkeys(["revenue_by_route", "revenue_by_route_cells", "top_routes", "route_table", "slice_revenue_by_route", "parquet_roundtrip"], _ROUTE),
+    "ticket_by_flight": ["ticket_revenue"],
+    **dict.fromkeys(["revenue_by_month", "revenue_by_month_cells", "csv_roundtrip"], ["revenue"]),
+    **dict.fromkeys(["cabin_mix", "cabin_mix_cells"], ["revenue", "avg_ticket_value", "revenue_share"]),
+    **dict.fromkeys(["route_efficiency", "route_efficiency_cells", "top_yield", "scatter_source"], _YIELD),
+    "efficiency_table": [c for c in _YIELD if c != "avg_ticket_value_per_distance"],
+    **dict.fromkeys(["fleet_utilization", "fleet_utilization_cells", "top_aircraft", "fleet_table"], _FLEET),
+    "fleet_by_model": ["estimated_fuel_gallons"],
+    **dict.fromkeys(["passenger_segments", "segment_rollup", "segments_cells", "segment_top"], ["revenue", "avg_ticket_value"]),
+    **dict.fromkeys(["tax_by_route", "tax_by_route_cells", "top_tax_routes"], ["revenue", "tax_amount"]),
+    **dict.fromkeys(["overview_metrics", "overview_metrics_cells", "slice_overview"], ["value"]),
+}
+for _name, _columns in ROUNDED.items():
+    _rounds = ", ".join(f"round({c} + 1e-8, {6 if c in _SIX else 4}) AS {c}" for c in _columns)
+    SQL[_name] = f"SELECT * REPLACE ({_rounds}) FROM ({SQL[_name]})"

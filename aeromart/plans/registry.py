@@ -7,9 +7,9 @@ twins are in ``aeromart.plans.oracle``.
 Presentation rules shared with the SQL twins, fixed up front:
 * top-n lists carry ``rank`` (row_number in the list's order), because
   results are compared without order;
-* means of doubles and sums of non-money doubles depend on summation
-  order in the last bits, so they are rounded: ratio means to 6
-  decimals, money means to 4, tax-share sums to 9;
+* sums and means of doubles depend on the order of rows in the last
+  digits, so they are rounded here (never in the library): sums to 4
+  decimals, means and ratios to 6, tax-share sums to 9;
 * DATE columns are rendered as ISO text (yyyy-MM-dd), so that the
   comparison does not depend on how each engine hands dates to Python.
 """
@@ -325,7 +325,7 @@ def q_route_table(spark, d):
 
 
 def q_segment_top(spark, d):
-    segments = marts.passenger_segments(Prepared.of(spark, d).tickets)
+    segments = marts.group_segments(Prepared.of(spark, d).tickets)
     top = marts.segment_rollup(segments).limit(20)
     order = [desc_first("revenue")] + [asc_first(k) for k in marts.ROLLUP_KEYS]
     return rounded(with_rank(top, order), {"avg_ticket_value": MONEY_MEAN_DIGITS})
@@ -429,6 +429,32 @@ def q_table_row_counts(spark, d):
     return pq.table_row_counts(spark, d)
 
 
+SUM_COLUMNS = (
+    "revenue",
+    "tax_amount",
+    "ticket_revenue",
+    "assigned_distance",
+    "estimated_fuel_gallons",
+    "value",
+)
+RATIO_COLUMNS = (
+    "avg_ticket_value",
+    "revenue_share",
+    "revenue_per_distance",
+    "avg_ticket_value_per_distance",
+    "avg_ticket_value_per_minute",
+)
+
+
+def sums_rounded(df: DataFrame) -> DataFrame:
+    """Round sums and ratios.  A mean of a few four-decimal amounts can lie
+    exactly between two rounded values, where the last digit of the sum
+    would decide; a small shift moves such ties off the border."""
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    digits = dict.fromkeys(SUM_COLUMNS, MONEY_MEAN_DIGITS) | dict.fromkeys(RATIO_COLUMNS, RATIO_DIGITS)
+    return df.withColumns({c: F.round(F.col(c) + 1e-8, n) for c, n in digits.items() if c in doubles})
+
+
 def dates_as_text(df: DataFrame) -> DataFrame:
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
     return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
@@ -436,7 +462,7 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 
 def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return dates_as_text(fn(spark, sf_dir))
+        return sums_rounded(dates_as_text(fn(spark, sf_dir)))
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    out = df.coalesce(1) if single_file else df
+def write_csv(df: DataFrame, path: str) -> str:
+    out = df
     out.write.mode("overwrite").option("header", True).csv(path)
     return path
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeromart.sources.parquet import spread
 
 TPCH_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -70,7 +69,7 @@ def routes(t: dict[str, DataFrame]) -> DataFrame:
 def tickets(t: dict[str, DataFrame]) -> DataFrame:
     # The fact side is spread over the cores when its files give fewer
     # splits (a no-op on multi-file data); orders is the build side.
-    li = spread(t["lineitem"])
+    li = t["lineitem"]
     orders = t["orders"].select("o_orderkey", "o_custkey")
     joined = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
     line = F.col("l_linenumber")
@@ -103,7 +102,7 @@ def flights(t: dict[str, DataFrame]) -> DataFrame:
     # Number of aircraft codes: suppliers + 2, so two codes never match.
     suppliers = t["supplier"].select(F.count(F.lit(1))).scalar()
     key = F.col("o_orderkey")
-    return spread(t["orders"]).select(
+    return t["orders"].select(
         _code("F", key).alias("flight_id"),
         _code("R", F.col("o_custkey")).alias("route_code"),
         F.col("o_orderdate").alias("departure"),

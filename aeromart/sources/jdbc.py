@@ -63,7 +63,8 @@ class JdbcSource:
 
 
 def reader(spark: SparkSession, source: JdbcSource, fetch_size: int = DEFAULT_FETCH_SIZE) -> DataFrameReader:
-    r = spark.read.format("jdbc").option("url", source.url)
+    # wall-time timestamps: dates do not depend on the session's zone
+    r = spark.read.format("jdbc").option("url", source.url).option("preferTimestampNTZ", "true")
     for key, value in source.options.items():
         r = r.option(key, value)
     if fetch_size > 0:
@@ -175,7 +176,7 @@ def ticket_summary_sql(schema: str, dialect: str = "db2") -> str:
     cabin = _cabin_case('UPPER(TRIM("CLASS"))')
     tax = 'COALESCE("AIRPORT_TAX", 0) + COALESCE("LOCAL_TAX", 0)'
     return (
-        f'SELECT "ROUTE_CODE", MIN(DATE("DEPARTURE")) AS "DEPARTURE_DATE", {month} AS "DEPARTURE_MONTH", '
+        f'SELECT "ROUTE_CODE", MIN(CAST("DEPARTURE" AS DATE)) AS "DEPARTURE_DATE", {month} AS "DEPARTURE_MONTH", '
         f'{cabin} AS "CABIN_CLASS", COUNT(*) AS "TICKETS", SUM("TOTAL_AMOUNT") AS "REVENUE", '
         f'AVG("TOTAL_AMOUNT") AS "AVG_TICKET_VALUE", SUM({tax}) AS "TAX_AMOUNT", '
         f'SUM(CASE WHEN "TOTAL_AMOUNT" IS NOT NULL AND "TOTAL_AMOUNT" <> 0 THEN ({tax}) / "TOTAL_AMOUNT" END) '

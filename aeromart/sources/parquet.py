@@ -52,18 +52,6 @@ def _table_paths(spark: SparkSession, folder: str, parquet_suffix_only: bool = F
     return paths
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Split an input that scans as fewer partitions than the cluster has
-    cores (few files, one row group each) with a round-robin shuffle.
-
-    Large inputs already scan as many splits, so on them this is a no-op;
-    it only helps inputs small enough that one task would otherwise do all
-    the map-side work.  Costs a planning step, no job.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def list_tables(spark: SparkSession, folder: str) -> list[str]:
     """SRC6: table names in the folder, ordered."""
     return sorted(_table_paths(spark, folder))

@@ -1,11 +1,13 @@
-"""Plan shape: pruning and pushdown reach the scan, small dimensions are
-broadcast after the size probe, aggregates are partial + final, and no
-Python runs in any registered query."""
+"""Plan shape: pruning and pushdown reach the scan, no side is hinted, plans
+are built without jobs, aggregates are partial + final, and no Python runs
+in any registered query."""
 
 import pytest
 
 from aeromart.operators import filters, marts
-from aeromart.operators.joins import fits_broadcast, join_dimension
+from aeromart.operators.dimensions import build_route_dimension
+from aeromart.operators.facts import build_flights_enriched, build_tickets_enriched
+from aeromart.operators.joins import join_dimension
 from aeromart.plans.registry import QUERIES, Prepared
 
 SF = "/root/testdata/sf0.001"
@@ -35,42 +37,51 @@ def test_filter_and_projection_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in text
 
 
-def test_small_dimensions_are_broadcast(p):
-    text = plan(p.tickets)
-    assert text.count("BroadcastHashJoin") >= 3
-    assert "SortMergeJoin" not in text
+def test_a_dimension_that_grew_is_not_broadcast(spark, tmp_path):
+    fact = spark.range(100).withColumnRenamed("id", "k")
+    path = str(tmp_path / "dim")
+    spark.range(10).selectExpr("id as k", "id as v").write.parquet(path)
+    small = join_dimension(fact, spark.read.parquet(path), "k")
+    assert "BroadcastHashJoin" in plan(small)
+    spark.range(2_000_000).selectExpr("id as k", "rand() as v").write.mode("overwrite").parquet(path)
+    large = join_dimension(fact, spark.read.parquet(path), "k", how="left")
+    assert "BroadcastHashJoin" not in plan(large)
 
 
-def test_size_probe_falls_back_to_shuffle_join(spark, p):
-    assert fits_broadcast(p.route_dim)
-    assert not fits_broadcast(p.route_dim, max_bytes=1000)
-    joined = join_dimension(p.src["tickets"], p.route_dim, "route_code", max_bytes=1000)
-    text = joined._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in text
+def test_a_dimension_of_long_texts_is_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    long_text = "array_join(transform(sequence(1, 9000), i -> cast(rand() as string)), '')"
+    spark.range(400).selectExpr("id as k", f"{long_text} as v").write.parquet(path)
+    joined = join_dimension(spark.range(10).withColumnRenamed("id", "k"), spark.read.parquet(path), "k")
+    assert "BroadcastHashJoin" not in plan(joined)
 
 
-def test_aggregates_are_partial_then_final(p):
-    text = plan(marts.revenue_by_route(p.tickets))
-    assert "partial_sum" in text and "partial_count" in text
-
-
-def test_cabin_share_uses_a_scalar_subquery_not_a_cross_join(p):
-    text = plan(marts.cabin_mix(p.tickets))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "Subquery" in text
+def test_plans_are_built_without_jobs(spark, p):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        dim = build_route_dimension(p.src["routes"], p.src["airports"])
+        tickets = build_tickets_enriched(p.src["tickets"], dim)
+        build_flights_enriched(p.src["flights"], dim, p.src["airplanes"], tickets, 2026)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_spread_leaves_well_split_inputs_alone(spark):
-    from aeromart.sources.parquet import spread
+def test_the_fact_is_narrow_when_it_meets_the_passengers(p):
+    """Passengers come before routes: no route column is below their join."""
+    tree = p.tickets._jdf.queryExecution().optimizedPlan().toString()
+    below = tree[tree.index("passenger_id") :]
+    joins = [i for i, line in enumerate(tree.splitlines()) if "Join LeftOuter" in line]
+    assert "route_code" in tree.splitlines()[joins[0]] and "passenger_id" in tree.splitlines()[joins[1]], below
 
-    many = spark.range(0, 1000, 1, numPartitions=spark.sparkContext.defaultParallelism)
-    assert spread(many) is many
-    one = spark.range(0, 1000, 1, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
+def test_aggregates_are_partial_then_final(p):
+    text = plan(marts.revenue_by_route(p.tickets))
+    assert "partial_sum" in text and "partial_count" in text
 
-def test_probe_refuses_past_its_row_cap(spark):
-    from aeromart.operators.joins import MAX_PROBE_ROWS
 
-    assert fits_broadcast(spark.range(10))
-    assert not fits_broadcast(spark.range(MAX_PROBE_ROWS + 10, numPartitions=16))
+def test_cabin_share_aggregates_the_tickets_once(p):
+    text = plan(marts.cabin_mix(p.tickets))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Subquery" not in text
+    assert text.count("lineitem.parquet") == plan(p.tickets).count("lineitem.parquet")

@@ -46,12 +46,13 @@ def test_hot_route_is_split_and_results_agree(spark, skew_conf):
     share = hot.where("route_code = 'R7'").count() / hot.count()
     assert 0.3 < share < 0.4
 
-    shuffled = join_dimension(hot, route_dim, "route_code", max_bytes=0)
+    shuffled = join_dimension(hot, route_dim, "route_code")
     rows = shuffled.collect()
     final_plan = shuffled._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in final_plan
     assert "SortMergeJoin(skew=true)" in final_plan and "AQEShuffleRead skewed" in final_plan
 
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")
     broadcast = join_dimension(hot, route_dim, "route_code")
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
     assert sorted(rows) == sorted(broadcast.collect())
