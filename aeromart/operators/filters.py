@@ -56,7 +56,8 @@ def filter_tickets(
     if routes:
         out = out.where(F.col("route_code").isin(list(routes)))
     if min_distance is not None:
-        out = out.where(F.coalesce(F.col("distance"), F.lit(0.0)) >= F.lit(float(min_distance)))
+        far_enough = F.col("distance") >= F.lit(float(min_distance))  # a form that scans can use
+        out = out.where(far_enough if min_distance > 0 else far_enough | F.col("distance").isNull())
     return out
 
 

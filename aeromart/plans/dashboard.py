@@ -73,8 +73,9 @@ def efficiency_table(efficiency: DataFrame) -> DataFrame:
 
 
 def ascending_bars(top: DataFrame, column: str) -> DataFrame:
-    """SRT4: an already limited top list re-sorted ascending for bars."""
-    return top.orderBy(asc_first(column))
+    """SRT4: an already limited top list re-sorted ascending for bars; ties by
+    the other columns in order."""
+    return top.orderBy(asc_first(column), *[asc_first(c) for c in top.columns if c != column])
 
 
 def filter_options(tickets: DataFrame, flights: DataFrame) -> dict[str, DataFrame]:

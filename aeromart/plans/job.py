@@ -91,10 +91,15 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> dict[str, Dat
 
 
 def write_findings(spark: SparkSession, findings: DataFrame, folder: str) -> str:
-    """SNK3: at most five sentences, written as one small text file."""
-    text = findings_markdown(findings)
+    """SNK3: at most five sentences, written as one Markdown file."""
     path = f"{folder.rstrip('/')}/generated_findings.md"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(findings_markdown(findings).encode()))
+    finally:
+        stream.close()
     return path
 
 

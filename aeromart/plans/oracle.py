@@ -535,7 +535,41 @@ UNION ALL SELECT DISTINCT 'model', model FROM flights_enriched WHERE model IS NO
     "table_row_counts": _row_counts(),
 }
 
-for _name in ["tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
+_COUNTED = {
+    "route_dimension": "route_dim",
+    "tickets_enriched": "tickets_enriched",
+    "flights_enriched": "flights_enriched",
+    "revenue_by_month": f"({_mart_revenue_by_month('tickets_enriched', False)})",
+    "revenue_by_route": f"({_mart_revenue_by_route('tickets_enriched', False)})",
+    "route_efficiency": f"({_mart_route_efficiency('tickets_enriched', False)})",
+    "fleet_utilization": f"({_mart_fleet('flights_enriched')})",
+    "passenger_segments": f"({SEGMENTS})",
+    "tax_by_route": f"({_mart_tax_by_route('tickets_enriched', False)})",
+}
+_BARS = ["revenue", "route_code", "route_label", "origin", "destination", "origin_country", "destination_country"]
+_BARS += ["origin_continent", "destination_continent", "tickets", "avg_ticket_value", "tax_amount"]
+SQL |= {
+    "read_project_tables": "SELECT 'nation' AS source, CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation "
+    "UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), c_name FROM customer",
+    "summary_readers": SQL["ticket_summary"],
+    "prepared_set": q(" UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS row_count FROM {src}" for n, src in _COUNTED.items())),
+    "month_order": q(
+        "SELECT *, row_number() OVER (ORDER BY departure_month ASC NULLS FIRST, cabin_class ASC NULLS FIRST) AS position "
+        f"FROM ({_mart_revenue_by_month('tickets_enriched', False)})"
+    ),
+    "tax_table": q(_tax_ranked(50)),
+    "route_bars": q(
+        f"SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY {', '.join(f'{c} ASC NULLS FIRST' for c in _BARS)}) AS position "
+        f"FROM ({_ranked(_mart_revenue_by_route('tickets_enriched', False), ROUTE_ORDER, 12)})"
+    ),
+    "slice_routes": q(
+        "SELECT * FROM tickets_enriched WHERE destination_continent IN ('ASIA', 'AFRICA') AND route_code IN ("
+        + ", ".join(f"'R{i}'" for i in range(1, 200, 3))
+        + ")"
+    ),
+}
+
+for _name in ["slice_routes", "summary_readers", "tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
     SQL[_name] = dates_as_text(SQL[_name], ["departure_date"])
 SQL["date_bounds"] = dates_as_text(SQL["date_bounds"], ["min_date", "max_date"])
 
@@ -546,19 +580,19 @@ _ROUTE = ["revenue", "avg_ticket_value", "tax_amount"]
 _YIELD = ["revenue", "avg_ticket_value", "revenue_per_distance", "avg_ticket_value_per_distance", "avg_ticket_value_per_minute"]
 _FLEET = ["assigned_distance", "ticket_revenue", "estimated_fuel_gallons"]
 ROUNDED: dict[str, list[str]] = {
-    **dict.fromkeys(["tickets_enriched", "filter_tickets"], ["tax_amount"]),
+    **dict.fromkeys(["tickets_enriched", "filter_tickets", "slice_routes"], ["tax_amount"]),
     **dict.fromkeys(["flights_enriched", "flights_enriched_cells", "filter_flights"], ["ticket_revenue", "estimated_fuel_gallons"]),
-    **dict.fromkeys(["ticket_summary", "ticket_summary_enriched", "filter_tickets_cells"], _ROUTE),
-    **dict.fromkeys(["revenue_by_route", "revenue_by_route_cells", "top_routes", "route_table", "slice_revenue_by_route", "parquet_roundtrip"], _ROUTE),
+    **dict.fromkeys(["ticket_summary", "summary_readers", "ticket_summary_enriched", "filter_tickets_cells"], _ROUTE),
+    **dict.fromkeys(["revenue_by_route", "revenue_by_route_cells", "top_routes", "route_table", "slice_revenue_by_route", "parquet_roundtrip", "route_bars"], _ROUTE),
     "ticket_by_flight": ["ticket_revenue"],
-    **dict.fromkeys(["revenue_by_month", "revenue_by_month_cells", "csv_roundtrip"], ["revenue"]),
+    **dict.fromkeys(["revenue_by_month", "revenue_by_month_cells", "csv_roundtrip", "month_order"], ["revenue"]),
     **dict.fromkeys(["cabin_mix", "cabin_mix_cells"], ["revenue", "avg_ticket_value", "revenue_share"]),
     **dict.fromkeys(["route_efficiency", "route_efficiency_cells", "top_yield", "scatter_source"], _YIELD),
     "efficiency_table": [c for c in _YIELD if c != "avg_ticket_value_per_distance"],
     **dict.fromkeys(["fleet_utilization", "fleet_utilization_cells", "top_aircraft", "fleet_table"], _FLEET),
     "fleet_by_model": ["estimated_fuel_gallons"],
     **dict.fromkeys(["passenger_segments", "segment_rollup", "segments_cells", "segment_top"], ["revenue", "avg_ticket_value"]),
-    **dict.fromkeys(["tax_by_route", "tax_by_route_cells", "top_tax_routes"], ["revenue", "tax_amount"]),
+    **dict.fromkeys(["tax_by_route", "tax_by_route_cells", "top_tax_routes", "tax_table"], ["revenue", "tax_amount"]),
     **dict.fromkeys(["overview_metrics", "overview_metrics_cells", "slice_overview"], ["value"]),
 }
 for _name, _columns in ROUNDED.items():

@@ -20,7 +20,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,8 @@ from aeromart.operators.findings import summarize_key_findings
 from aeromart.operators.ordering import asc_first, desc_first, desc_last, with_rank
 from aeromart.operators.overview import overview_metrics
 from aeromart.operators.summaries import ticket_by_flight, ticket_summary
-from aeromart.plans.dashboard import Slice, efficiency_table
+from aeromart.plans.dashboard import Slice, dashboard_views, efficiency_table
+from aeromart.plans.prepare import prepare_to_storage
 from aeromart.session import shared_scratch_path
 from aeromart.sources import csv as csv_sink
 from aeromart.sources import parquet as pq
@@ -415,6 +416,71 @@ def q_csv_roundtrip(spark, d):
     return csv_sink.read_csv(spark, path, monthly.schema)
 
 
+def q_read_project_tables(spark, d):
+    """Two given tables by a column map: other letter case, an absent column."""
+    wanted = {"NATION": ["N_NationKey", "ABSENT", "N_NAME"], "CUSTOMER": ["C_CUSTKEY", "C_NAME"]}
+    tables = pq.read_project_tables(spark, d, wanted)
+    nation = tables["nation"].select(F.lit("nation").alias("source"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    customer = tables["customer"].select(F.lit("customer").alias("source"), F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"))
+    return nation.unionByName(customer)
+
+
+def _written_sources(spark: SparkSession, d: str) -> str:
+    """The airline tables as a folder of Parquet tables, as a project has them."""
+    folder = shared_scratch_path(spark, "sources")
+    for name, df in Prepared.of(spark, d).src.items():
+        pq.write_dataset(df, f"{folder}/{name}.parquet")
+    return folder
+
+
+def q_summary_readers(spark, d):
+    """Cells from the summary reader over a folder of source tables."""
+    tables = pq.read_project_summary_tables(spark, _written_sources(spark, d))
+    return rounded(tables["ticket_summary"], {"tax_share_sum": SHARE_SUM_DIGITS})
+
+
+def q_prepared_set(spark, d):
+    """The whole prepared set, written and loaded again: rows of each dataset."""
+    folder = shared_scratch_path(spark, "prepared-set")
+    prepare_to_storage(Prepared.of(spark, d).src, folder, AS_OF_YEAR)
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
+        for name, df in pq.load_prepared_data(spark, folder).items()
+    ]
+    result = counts[0]
+    for frame in counts[1:]:
+        result = result.unionByName(frame)
+    return result
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Number the rows of a short sorted result in the order it comes in."""
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("position", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
+def q_month_order(spark, d):
+    return in_order(marts.revenue_by_month(Prepared.of(spark, d).tickets))
+
+
+def q_tax_table(spark, d):
+    top = dashboard_views(Prepared.of(spark, d).tickets, Prepared.of(spark, d).flights)["tax_table"]
+    return rounded(with_rank(top, tax_order()), {"avg_tax_share": RATIO_DIGITS})
+
+
+def q_route_bars(spark, d):
+    p = Prepared.of(spark, d)
+    return in_order(dashboard_views(p.tickets, p.flights)["top_routes"])
+
+
+def q_slice_routes(spark, d):
+    """A slice by a route list and destination continents."""
+    routes = [f"R{i}" for i in range(1, 200, 3)]
+    return filters.filter_tickets(
+        Prepared.of(spark, d).tickets, routes=routes, destination_continents=["ASIA", "AFRICA"]
+    )
+
+
 def q_normalized_columns(spark, d):
     nation = read_tables(spark, d, ["nation"])["nation"]
     messy = nation.select(
@@ -470,6 +536,13 @@ def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "read_project_tables": q_read_project_tables,
+    "summary_readers": q_summary_readers,
+    "prepared_set": q_prepared_set,
+    "month_order": q_month_order,
+    "tax_table": q_tax_table,
+    "route_bars": q_route_bars,
+    "slice_routes": q_slice_routes,
     "clean_strings": q_clean_strings,
     "clean_numbers": q_clean_numbers,
     "clean_timestamps": q_clean_timestamps,

@@ -50,20 +50,21 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) is a fallback set here.
+    A cluster names it in ``spark.checkpoint.dir``.  Where it is unset, a
+    local session gets a fallback here, and any other is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         configured = fallback or os.path.join(
             os.environ.get("TMPDIR", "/tmp"), f"aeromart-checkpoints-{uuid.uuid4().hex[:8]}"
         )
