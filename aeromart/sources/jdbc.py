@@ -14,7 +14,7 @@ into SQL text (SRC11); there are no user values in the generated SQL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -46,6 +46,9 @@ _MONTH_TEXT = {
     "ansi": "SUBSTR(CAST({c} AS VARCHAR(26)), 1, 7)",
 }
 
+# Tables with a row a ticket or a flight.
+LARGE_TABLES = ("TICKETS", "FLIGHTS")
+
 
 @dataclass(frozen=True)
 class JdbcSource:
@@ -184,15 +187,50 @@ def ticket_summary_sql(schema: str, dialect: str = "db2") -> str:
     )
 
 
-def ticket_by_flight_sql(schema: str) -> str:
-    """AGG13 as SQL text for the database."""
+def ticket_by_flight_sql(schema: str, by_day: bool = False) -> str:
+    """AGG13 as SQL text for the database; ``by_day`` keeps the earliest day
+    of departure, on which the rows can be read as ranges."""
     table = f'"{validate_identifier(schema)}"."TICKETS"'
+    day = ', MIN(CAST("DEPARTURE" AS DATE)) AS "DEPARTURE_DAY"' if by_day else ""
     return (
-        f'SELECT "FLIGHT_ID", COUNT(*) AS "TICKETS_SOLD", SUM("TOTAL_AMOUNT") AS "TICKET_REVENUE" '
+        f'SELECT "FLIGHT_ID", COUNT(*) AS "TICKETS_SOLD", SUM("TOTAL_AMOUNT") AS "TICKET_REVENUE"{day} '
         f'FROM {table} GROUP BY "FLIGHT_ID"'
     )
 
 
+def day_ranges(query: str, lower: object, upper: object, num_partitions: int) -> dict[str, str]:
+    """Reader options that read ``query`` as ranges of its DEPARTURE_DAY."""
+    return {
+        "dbtable": f"({query}) BY_DAY",
+        "partitionColumn": "DEPARTURE_DAY",
+        "lowerBound": str(lower),
+        "upperBound": str(upper),
+        "numPartitions": str(num_partitions),
+    }
+
+
+def read_by_day(
+    spark: SparkSession, source: JdbcSource, query: str, ranges: Mapping[str, object], fetch_size: int = DEFAULT_FETCH_SIZE
+) -> DataFrame:
+    table = source.qualified("TICKETS")
+    bounds = read_query(
+        spark, source, f'SELECT MIN(CAST("DEPARTURE" AS DATE)) AS LO, MAX(CAST("DEPARTURE" AS DATE)) AS HI FROM {table}', 0
+    ).first()
+    options = day_ranges(query, bounds[0], bounds[1], int(ranges["num_partitions"]))
+    return normalize_column_names(reader(spark, source, fetch_size).options(**options).load()).drop("departure_day")
+
+
+def require_ranges(tables: Iterable[str], partitioning: Mapping[str, dict]) -> None:
+    """Tickets and flights are never read through one connection: each needs
+    a numeric or date column to cut ranges on."""
+    missing = [t for t in LARGE_TABLES if t in set(tables) and not partitioning.get(t)]
+    if missing:
+        raise ValueError(
+            f"{', '.join(missing)}: name a numeric or date column and a number of ranges "
+            "(--partition TABLE=COLUMN:N, for example TICKETS=DEPARTURE:256)"
+        )
+
+
 def read_project_tables(
     spark: SparkSession,
     source: JdbcSource,
@@ -203,11 +241,12 @@ def read_project_tables(
     """SRC4: all project tables (lazy reads); a missing table is an error.
     ``partitioning`` maps a table to ``read_table`` range options."""
     table_columns = table_columns or PROJECT_TABLES
+    partitioning = partitioning or {}
+    require_ranges(table_columns, partitioning)
     available = set(list_tables(spark, source))
     missing = sorted(set(table_columns) - available)
     if missing:
         raise RuntimeError(f"Missing required tables in {source.schema}: {', '.join(missing)}")
-    partitioning = partitioning or {}
     return {
         table.lower(): read_table(spark, source, table, columns, fetch_size, **partitioning.get(table, {}))
         for table, columns in table_columns.items()
@@ -224,5 +263,9 @@ def read_project_summary_tables(
     database."""
     tables = read_project_tables(spark, source, SUMMARY_DIMENSION_TABLES, fetch_size, partitioning)
     tables["ticket_summary"] = read_query(spark, source, ticket_summary_sql(source.schema, source.dialect), fetch_size)
-    tables["ticket_by_flight"] = read_query(spark, source, ticket_by_flight_sql(source.schema), fetch_size)
+    # one row a flight: as ranges of the day of departure where one is given for TICKETS
+    ranges = (partitioning or {}).get("TICKETS")
+    if not ranges:
+        require_ranges(["TICKETS"], {})
+    tables["ticket_by_flight"] = read_by_day(spark, source, ticket_by_flight_sql(source.schema, by_day=True), ranges, fetch_size)
     return tables

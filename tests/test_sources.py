@@ -159,11 +159,16 @@ def test_job_partition_option():
             parse_args(bad)
 
 
-@pytest.mark.skip(reason="a JDBC round trip needs a running database (even an embedded in-process one); "
-                         "starting one is not allowed in this environment")
-def test_jdbc_round_trip():
-    """Would write a mart through the JDBC sink and read it back with a
-    partitioned read and the ``query`` option."""
+def test_jdbc_reads_of_large_tables_need_ranges():
+    from aeromart.sources import jdbc
+
+    with pytest.raises(ValueError, match="TICKETS, FLIGHTS"):
+        jdbc.require_ranges(["TICKETS", "FLIGHTS", "ROUTES"], {})
+    given = {"partition_column": "DEPARTURE", "num_partitions": 4}
+    jdbc.require_ranges(["TICKETS", "ROUTES"], {"TICKETS": given})
+    options = jdbc.day_ranges(jdbc.ticket_by_flight_sql("S", by_day=True), "2026-01-01", "2026-12-31", 4)
+    assert options["partitionColumn"] == "DEPARTURE_DAY" and options["numPartitions"] == "4"
+    assert 'MIN(CAST("DEPARTURE" AS DATE)) AS "DEPARTURE_DAY"' in options["dbtable"] and options["dbtable"].endswith(") BY_DAY")
 
 
 def test_job_from_a_parquet_source_folder(spark):
