@@ -14,6 +14,11 @@ query is sent to a group once, with the list of its second-half
 centroids.  Every row is indexed.  Fitted: the quantisers, on about
 ``sample`` rows.
 
+``share`` of all rows is what a query reranks.  How much is needed hangs on
+the data: on the test tables, whose vectors are close to random directions,
+half of the rows give a recall of 0.95 at 20 (0.64 at an eighth); on
+clustered vectors a few hundredths do.
+
 Vectors that are null, zero, of another size than the most frequent one or
 hold null or non-finite components take no part.  Ties go to the smaller
 id.  Repeated ids are candidates each by itself; a query's own id is none.
@@ -77,7 +82,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, share: float = 0.12, least: int = 4_000, column: str = "embedding"
+    vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, centroids: int = 64, share: float = 0.5, least: int = 2_000, column: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of
     ``vectors`` (vec_id and ``column``) for which ``is_query`` holds."""
@@ -93,10 +98,8 @@ def nearest_neighbours(
     rows = rows.where(F.size("v") == size)
     half = max(1, size // 2)
     step = max(1, n // sample)
-    # cells of about fifty rows, up to 256 centroids a half
-    k_half = int(np.clip(np.sqrt(n / 50), 1, 256))
     taken = np.array(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").toPandas()["v"].tolist() or rows.limit(1).toPandas()["v"].tolist())
-    model = (kmeans(taken[:, :half], k_half), kmeans(taken[:, half:], k_half) if size > 1 else np.zeros((1, 0)))
+    model = (kmeans(taken[:, :half], centroids), kmeans(taken[:, half:], centroids) if size > 1 else np.zeros((1, 0)))
     shared = spark.sparkContext.broadcast(model)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +111,10 @@ def nearest_neighbours(
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), *c], ["vec_id", "v", "c1", "c2"])
 
     indexed = stored(rows.mapInArrow(cells, "vec_id long, v array<double>, c1 int, c2 int"), "ann-index")
-    counts = indexed.groupBy("c1", "c2").count().toPandas()  # at most 256 x 256 rows
+    counts = indexed.groupBy("c1", "c2").count().toPandas()  # at most centroids x centroids rows
     sizes = np.zeros((len(model[0]), len(model[1])), np.int64)
     sizes[counts["c1"], counts["c2"]] = counts["count"]
-    wanted = max(least, int(share * n) if n < 1_000_000 else int(share * 1_000_000 * np.sqrt(n / 1_000_000)))
+    wanted = max(least, int(share * n))
     plan = spark.sparkContext.broadcast(sizes)
     shards = np.maximum(1, -(-sizes.sum(axis=1) // GROUP_ROWS)).tolist()
     n_shards = F.element_at(F.array(*[F.lit(int(s)) for s in shards]), F.col("c1") + 1)
