@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aeromart.llm.common import stored
 from aeromart.llm.hashing import made_once
 
 UNKNOWN = "und"
+MANY_LANGUAGES = 100_000  # labels up to which their counts are broadcast
 
 
 def _letters() -> np.ndarray:
@@ -67,7 +69,9 @@ def learn_profiles(labelled: DataFrame, fit_rows: int = 4000, size: int = 400) -
     """(languages, n-grams sorted, rank of each n-gram in each language or -1)
     from ``labelled`` (doc_id, text, lang)."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "langid-counts")
+    if counts.count() <= MANY_LANGUAGES:  # so that the texts stay where they are
+        counts = F.broadcast(counts)
     # a language's documents are thinned by hash to about fit_rows
     sample = (
         rows.join(counts, "lang")
