@@ -212,3 +212,15 @@ def test_cells_come_in_order_of_summed_closeness():
     cells = traverse(left, right, np.ones((6, 5), int), 30)
     sums = [left[i] + right[j] for i, j in cells]
     assert len(cells) == 30 and sums == sorted(sums, reverse=True)
+
+
+def test_suffix_dedup_of_texts_in_pieces(spark, monkeypatch):
+    from aeromart.llm import suffixdedup
+
+    monkeypatch.setattr(suffixdedup, "PIECE", 200)
+    monkeypatch.setattr(suffixdedup, "CROWD", 2)
+    shared = " ".join(cases.words(150, 3))
+    texts = [shared + " tail one", "x" * 700, "head " + shared, "y" * 120 + "x" * 400, shared[300:700] + "end", shared, "x" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_spans(docs).collect()}
+    assert got == spans_by_force(texts)
