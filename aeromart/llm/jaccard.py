@@ -27,8 +27,9 @@ Kept blocks are packed per task and bucket, and the pairs that meet in a
 block are first compared by folded bit sketches (XOR of one bit a
 shingle: their Hamming distance bounds the difference from below) and
 then verified on the texts.  A block with few classes gives all its pairs; one
-with many is taken in two rounds: each member against the smallest, then,
-across the components this leaves, the members still apart.  Documents with the same
+with many is taken in two rounds: each member against its centre, then,
+across the components this leaves, the members still apart, whose sketches
+are compared in blocks inside tasks.  Documents with the same
 shingle set are one class throughout, so copies are never paired.
 
 Nulls and texts without words have an empty set and no links.  Null ids
@@ -42,9 +43,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeromart.llm.common import shuffle_partitions, stored, text_chunks
@@ -52,9 +54,11 @@ from aeromart.llm.components import connected_components
 from aeromart.llm.hashing import U, mix, shingle_sets
 
 BAND = 4  # a band's upper size over its lower size
-SPREAD = 3  # blocks for each difference a pair of the band may have
+SPREAD = 12  # blocks for each difference a pair of the band may have
+SPARE = 16  # a band's spare keys: one for this many shingles of its upper size, and a few
 CROWD = 8  # classes of a block up to which all its pairs are compared at once
 WANTED_IDS = 500_000  # document ids up to which they are broadcast
+BLOCK_ROWS = 2000  # members of a crowded block that are compared in one step
 SAMPLE_DOCS = 20_000  # documents (expected) whose shingles are counted for the key order
 COMMON = 200_000  # most frequent shingles of the sample that are kept
 
@@ -109,16 +113,18 @@ def _sample_counts(size: int):
     return run
 
 
-def _keys_of_band(shingles: np.ndarray, weight: np.ndarray, top: int, limit: int, percent: int) -> np.ndarray:
-    """Kept block keys of one document for the band of sizes below ``top``.
+def _keys_of_band(shingles: np.ndarray, weight: np.ndarray, top: int, limit: int, percent: int) -> tuple[np.ndarray, int]:
+    """Kept block keys of one document for the band of sizes below ``top``, and
+    how many of those of the first level it may still leave out.
 
     ``limit`` is the largest difference that this document's own links in
     the band can have.  A linked pair shares at least (filled - limit)
-    filled blocks.  A document with no more filled blocks than ``limit``
-    keeps them all and goes on to a level with more blocks: only a pair of
-    which both are such documents can be missed before.
+    filled blocks, of which both keep the first (1 + spare) if there are so
+    many.  A document with no more filled blocks than ``limit`` keeps them
+    all and goes on to a level with more blocks: only a pair of which both
+    are such documents can be missed before.
     """
-    blocks, level, out = SPREAD * (max_difference(2 * (top - 1), percent) + 1), 0, []
+    blocks, level, out, spare = SPREAD * (max_difference(2 * (top - 1), percent) + 1), 0, [], 0
     while True:
         seed = U((top * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
         h = mix(shingles ^ seed)
@@ -128,23 +134,33 @@ def _keys_of_band(shingles: np.ndarray, weight: np.ndarray, top: int, limit: int
         firsts = np.flatnonzero(np.concatenate([[True], sorted_blocks[1:] != sorted_blocks[:-1]]))
         keys = mix(np.bitwise_xor.reduceat(h[order], firsts) + mix(sorted_blocks[firsts] + seed))
         rarest = np.minimum.reduceat(weight[order], firsts)
-        out.append(keys[np.lexsort((keys, rarest))[: limit + 1]])
+        more = top // SPARE + 8 if level == 0 else 0
+        # the upper bits tell the family: band, and whether the first level
+        family = U((top.bit_length() // 2 % 16) * 2 + (level > 0))
+        keys = (keys >> U(5)) | (family << U(59))
+        out.append(keys[np.lexsort((keys, rarest))[: limit + 1 + more]])
+        if level == 0:
+            spare = max(0, min(more, len(firsts) - limit - 1))
         if len(firsts) > limit:
-            return np.concatenate(out)
+            return np.concatenate(out), spare
         blocks, level = blocks * 16 + 1, level + 1
 
 
-def document_keys(shingles: np.ndarray, weight: np.ndarray, percent: int) -> np.ndarray:
-    """All kept block keys of a document."""
+def document_keys(shingles: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """All kept block keys of a document, and its size and spare counts in one
+    integer: the size, and above 32 and 48 bits the spare keys of its own
+    band and of the next."""
     a = len(shingles)
     top = BAND
     while top <= a:
         top *= BAND
     largest = a * 100 // percent  # size of the largest set it can link to
-    out = [_keys_of_band(shingles, weight, top, max_difference(a + min(largest, top - 1), percent), percent)]
+    keys, own = _keys_of_band(shingles, weight, top, max_difference(a + min(largest, top - 1), percent), percent)
+    following = 0
     if largest >= top:
-        out.append(_keys_of_band(shingles, weight, top * BAND, max_difference(a + largest, percent), percent))
-    return np.concatenate(out)
+        more, following = _keys_of_band(shingles, weight, top * BAND, max_difference(a + largest, percent), percent)
+        keys = np.concatenate([keys, more])
+    return keys, a | min(own, 0xFFFF) << 32 | min(following, 0x7FFF) << 48
 
 
 def _packed_keys(size: int, percent: int, buckets: int, common):
@@ -203,11 +219,12 @@ def _packed_keys(size: int, percent: int, buckets: int, common):
                         weight = np.where(shingle[at] == s, count[at], 0)
                     else:
                         weight = np.zeros(len(s), np.int64)
-                    keys.append(document_keys(s, weight, percent))
+                    own, size_and_spare = document_keys(s, weight, percent)
+                    keys.append(own)
                     ids.append(c)
-                    sizes.append(len(s))
+                    sizes.append(size_and_spare)
                     held += len(keys[-1])
-                    if held >= 1_500_000:
+                    if held >= 800_000:
                         yield from flush(keys, ids, sizes)
                         keys, ids, sizes, held, seen = [], [], [], 0, set()
         yield from flush(keys, ids, sizes)
@@ -261,12 +278,12 @@ def _shared_keys(percent: int):
                 key, ids, n, group = key[new], ids[new], n[new], group[new]
                 crowded = crowd[group]
                 yield from _key_rows(key[crowded], ids[crowded], n[crowded])
-                group, ids, n = group[~crowded], ids[~crowded], n[~crowded]
+                group, ids, size = group[~crowded], ids[~crowded], n[~crowded] & 0xFFFFFFFF
                 pairs = []
                 for step in range(1, CROWD):
                     one = np.flatnonzero(group[step:] == group[:-step])
                     two = one + step
-                    fit = percent * np.maximum(n[one], n[two]) <= 100 * np.minimum(n[one], n[two])
+                    fit = percent * np.maximum(size[one], size[two]) <= 100 * np.minimum(size[one], size[two])
                     pairs.append(np.stack([ids[one[fit]], ids[two[fit]]], axis=1))
                 pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
                 for i in range(0, len(pairs), 50_000):
@@ -374,6 +391,54 @@ def common_shingles(docs: DataFrame, size: int, n_docs: int):
     return shingle[order], count[order]
 
 
+def _without_spare(rows: DataFrame) -> DataFrame:
+    """Rows (key, c, n) of crowded blocks, less each class's spare keys: those
+    of the most crowded blocks, in one order for all classes."""
+    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("crowd")), "key")
+    family = F.shiftrightunsigned("key", 43)  # see _keys_of_band; packing took 16 bits off
+    band = F.shiftrightunsigned(family, 1)
+    size = F.col("n").bitwiseAND(F.lit(0xFFFFFFFF))
+    own = F.floor((F.length(F.bin(size)) + 1) / 2)
+    spare = F.when(family % 2 == 1, 0).when(band == F.pmod(own, F.lit(16)), F.shiftright("n", 32).bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftright("n", 48))
+    place = F.row_number().over(Window.partitionBy("c", family).orderBy(F.desc("crowd"), "key"))
+    return counted.withColumn("place", place).where(F.col("place") > spare).select("key", "c", size.alias("n"))
+
+
+def _compared(percent: int):
+    """Pairs of a crowded block that are in different components, fit in size
+    and are not ruled out by their bit sketches."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c", kind="stable")
+        i, j = (int(rows[x].iloc[0]) for x in ("i", "j"))
+        c, n, root, block = (rows[x].to_numpy(np.int64) for x in ("c", "n", "root", "block"))
+        sketches = [np.frombuffer(x, np.uint64) for x in rows["sketch"]]
+        width = min(len(x) for x in sketches)
+        # folded to one width, distances are still lower bounds
+        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
+        out = []
+        for x in np.flatnonzero(block == i).tolist():
+            y = np.flatnonzero((block == j) & (root != root[x]) & (percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x])))
+            if i == j:
+                y = y[y > x]
+            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            for k in y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)].tolist():
+                out.append((min(c[x], c[k]), max(c[x], c[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _still_apart(apart: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) across components inside crowded blocks; a block
+    with very many members is compared in parts of bounded size."""
+    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    rows = apart.join(members.select("c", "sketch").dropDuplicates(["c"]), "c")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows.select("key", "i", "j", "block", "c", "n", "root", "sketch").groupBy("key", "i", "j").applyInPandas(_compared(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -388,7 +453,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_packed_keys(size, percent, parts, common), "bucket long, blob binary")
     shared = stored(packed.repartition(parts, "bucket").mapInArrow(_shared_keys(percent), "key long, c long, d long, n long"), "jaccard-keys")
     few = shared.where("key is null").select(F.col("c").alias("a"), F.col("d").alias("b"))
-    many = shared.where("key is not null").select("key", "c", "n")
+    many = stored(_without_spare(shared.where("key is not null").select("key", "c", "n").distinct()), "jaccard-crowded")
 
     # the texts of all classes that share a block
     wanted = few.select("a").union(few.select("b")).union(many.select("c")).distinct().toDF("c")
@@ -407,33 +472,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         return near.join(texts_b, "b").join(texts_a, "a").mapInArrow(_verified(size, percent), "a long, b long")
 
     fits = f"{percent} * greatest(n, m) <= 100 * least(n, m)"
-    least = many.groupBy("key").agg(F.min(F.struct("c", "n")).alias("least"))
+    # a block's centre: the class that is in most blocks, as an original is among its copies
+    degrees = many.groupBy("c").agg(F.count("*").alias("degree"))
+    ranked = many.join(degrees, "c")
+    best = ranked.groupBy("key").agg(F.max(F.struct("degree", "c", "n")).alias("top"))
     stars = (
-        many.join(least, "key")
-        .select(F.col("least.c").alias("a"), F.col("c").alias("b"), F.col("least.n").alias("m"), "n")
-        .where(f"a <> b and {fits}")
-        .select("a", "b")
-        .union(few)
-        .distinct()
+        ranked.join(best, "key")
+        .select(F.col("top.c").alias("d"), "c", F.col("top.n").alias("m"), "n")
+        .where(f"c <> d and {fits}")
+        .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
     )
-    stars = stored(stars, "jaccard-stars")
-    links = stored(check(stars), "jaccard-links")
+    tried = stored(stars.union(few).distinct(), "jaccard-pairs")
+    links = stored(check(tried), "jaccard-links")
     roots = connected_components(links)
-    # blocks whose members are still apart
+    # crowded blocks whose members are still apart
     placed = many.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    placed = stored(placed.select("key", "c", "n", "root"), "jaccard-placed")
-    apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(apart, "key")
-    one, two = rest.alias("x"), rest.selectExpr("key", "c as d", "n as m", "root as other")
-    cross = (
-        one.join(two, "key")
-        .where(f"root < other and {fits}")
-        .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = stored(check(cross), "jaccard-links")
-    roots = connected_components(links.union(more))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    apart = stored(placed.select("key", "c", "n", "root").join(split.select("key", "members"), "key"), "jaccard-apart")
+    if not apart.isEmpty():
+        more = stored(check(_still_apart(apart, members, percent).join(tried, ["a", "b"], "left_anti")), "jaccard-links")
+        roots = connected_components(links.union(more))
 
     ids = roots.join(classes, F.col("node") == F.col("class_id"))
     # the smallest id of a component, for each of its classes
