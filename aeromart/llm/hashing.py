@@ -7,6 +7,8 @@ its bytes and none over its words one by one.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
@@ -14,14 +16,17 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 
-#: Tables that a Python worker makes once (lru_cache objects can't be pickled by value).
-_MADE: dict = {}
+#: Where a Python worker keeps what its tasks share.  These functions are
+#: pickled by value, so their own module is a new one for each task.
+KEPT = "aeromart_worker_kept"
 
 
 def made_once(name: str, make: Callable):
-    if name not in _MADE:
-        _MADE[name] = make()
-    return _MADE[name]
+    """What ``make`` gives, made once a Python worker."""
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

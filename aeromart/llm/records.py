@@ -259,7 +259,7 @@ def _written(folder: str, tokenizer_path: Callable[[], str], end_id: int):
             if batch.num_rows and out is None:
                 system, path = open_path(name)
                 out = system.open_output_stream(f"{path}.rec")
-                encoder = WordEncoder(tokenizer_path())
+                encoder = made_once(f"words {tokenizer_path()}", lambda: WordEncoder(tokenizer_path()))
                 narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
             for a, b, data, offsets in text_chunks(batch, "text"):
                 for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(data, offsets), strict=True):
