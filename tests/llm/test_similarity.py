@@ -139,6 +139,64 @@ def test_line_dedup_of_sentences(spark):
     assert got[2].text == "Something else entirely was said."
 
 
+def units_by_force(text, min_words=5):
+    """(kind, words, start, end) of the lines and sentences of a text, in bytes."""
+    out, at = [], 0
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", text.encode()):
+        pieces, rest = [], b""
+        for piece in re.findall(rb".*?[.!?](?=[ \t-\r]|$)|.+$", line, re.S):
+            rest += piece
+            if re.search(rb"[A-Za-z0-9\x80-\xff]", piece):
+                pieces.append(rest)
+                rest = b""
+        words = [tuple(re.findall(rb"[a-z0-9\x80-\xff]+", p.lower())) for p in pieces]
+        if len(pieces) == 1:
+            out.append(("line" if len(words[0]) < min_words else "any", words[0], at, at + len(line)))
+        elif not pieces and line.split():
+            out.append(("bare", tuple(line.split()), at, at + len(line)))
+        else:
+            p = at
+            for i, (piece, w) in enumerate(zip(pieces, words, strict=True)):
+                end = at + len(line.rstrip(b" \t\n\v\f\r")) if i == len(pieces) - 1 else p + len(piece)
+                out.append(("sentence" if len(w) < min_words else "any", w, p, end))
+                p = end
+        at += len(line)
+    return out
+
+
+def lines_by_force(rows):
+    """(removed spans, text) of each (doc_id, text); no two rows are equal."""
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        raw, kept, at, gone = (t or "").encode(), b"", 0, []
+        for kind, words, start, end in units_by_force(t or ""):
+            if (kind, words) in seen:
+                gone.append((start, end, seen[kind, words]))
+                kept, at = kept + raw[at:start], end
+            else:
+                seen[kind, words] = i
+        out[i] = (gone, None if t is None else (kept + raw[at:]).decode())
+    return out
+
+
+SHORT_LINES = [
+    (1, "All rights reserved.\nFirst text of its own here.\n---\nYes. The very same sentence stands in two texts."),
+    (2, "Second text of its own here.\n  all RIGHTS reserved\nNo. The very same sentence stands in two texts.\nmore"),
+    (3, "All rights reserved. And some more of it.\n---\n...\n\nWait . . .\nMore!\nOh. Oh. Mine alone . .\nlast"),
+    (4, "Oh. Mine alone. Unlike all others, this one. \n \nWAIT\n...\r\nend"),
+    (None, "More\n***\nnaïve café\n日本"),
+    (5, "NAÏVE café.\nnaïve café.\n日本!\n***"),
+]
+
+
+def test_line_dedup_of_short_lines_and_sentences(spark):
+    got = {r.doc_id: r for r in remove_repeated_units(spark.createDataFrame(SHORT_LINES, "doc_id long, text string")).collect()}
+    assert got[2].text == "Second text of its own here.\nNo.\n"
+    assert got[3].text.startswith("All rights reserved. And some more of it.\n...\n")
+    expected = lines_by_force(SHORT_LINES)
+    assert {i: ([(s["start"], s["end"], s["kept_in"]) for s in r.removed], r.text) for i, r in got.items()} == expected
+
+
 def test_decontamination_against_brute_force(spark):
     items = [(0, " ".join(cases.words(60, 2)) + "."), (1, " ".join(cases.words(30, 999))), (2, None), (3, ""), (4, "one two"), (5, " ".join(cases.words(120, 1)).upper()), (5, " ".join(cases.words(120, 1)))]
     docs = cases.documents(spark)
