@@ -16,7 +16,12 @@ the same type:
 * distinctness: after each round of assignment the surrogates are checked
   globally.  Where several entities of a type drew the same one, or it is
   itself an entity of the corpus, all but the smallest entity (or all)
-  draw again.
+  draw again;
+* no end of forms: from draw ``FORM_DRAWS`` on each draw has a longer form
+  than the last (a name one more syllable, an e-mail address one more letter
+  in front, numbers and secrets one more digit at the end, an IP address is
+  a private one of version 6), so there is one for every entity however
+  many a corpus holds.
 
 Texts are cut at the entities by one pattern, and the pieces are joined
 again around the surrogates, so all else stays as it is.  Null texts stay
@@ -50,6 +55,7 @@ PATTERNS = {
 }
 PATTERN = "(" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 NUMBER_TYPES = ("ssn", "phone", "card")
+FORM_DRAWS = 8  # draws of the entity's own form
 
 
 def _type_of(mention: Column) -> Column:
@@ -86,23 +92,28 @@ def _mention_units(mentions: DataFrame) -> DataFrame:
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     """Add ``surrogate``: the draw number ``attempt`` of each (kind, entity)."""
+    more = F.greatest(F.lit(0), F.col("attempt") - F.lit(FORM_DRAWS - 1)).cast("int")
+    entities = entities.withColumn("more", more).withColumn(
+        "grown", F.expr("case when kind = 'email' then concat(repeat('a', more), entity) when kind in ('ssn', 'phone', 'card', 'secret') then concat(entity, repeat('0', more)) else entity end")
+    )
     block = F.transform(
-        F.sequence(F.lit(0), F.floor(F.length("entity") / 16).cast("int")),
+        F.sequence(F.lit(0), F.floor(F.greatest(F.length("grown"), F.col("more") + 3) / 16).cast("int")),
         lambda n: F.sha2(F.concat_ws("\u0001", F.lit(key), F.col("kind"), F.col("entity"), F.col("attempt").cast("string"), n.cast("string")), 256),
     )
     rows = entities.withColumn("stream", F.array_join(block, ""))
     number = "cast(conv(substr(stream, 4 * i - 3, 4), 16, 10) as int)"
-    char = "substr(entity, i, 1)"
+    char = "substr(grown, i, 1)"
     # a character of the same sort at each place
     sort_kept = f"""
-        array_join(transform(sequence(1, length(entity)), i -> case
+        array_join(transform(sequence(1, length(grown)), i -> case
             when {char} rlike '[0-9]' then cast({number} % 10 as string)
             when kind = 'secret' and {char} rlike '[a-f]' and entity rlike '^[0-9A-Fa-f]+$' then substr('abcdef', 1 + {number} % 6, 1)
             when kind = 'secret' and {char} rlike '[A-F]' and entity rlike '^[0-9A-Fa-f]+$' then substr('ABCDEF', 1 + {number} % 6, 1)
             when {char} rlike '[a-z]' then char(97 + {number} % 26)
             when {char} rlike '[A-Z]' then char(65 + {number} % 26)
             else {char} end), '')"""
-    octets = f"array_join(transform(sequence(1, 4), i -> cast(1 + {number} % 254 as string)), '.')"
+    octets = f"""if(more = 0, array_join(transform(sequence(1, 4), i -> cast(1 + {number} % 254 as string)), '.'),
+        concat('fd', substr(stream, 1, 2), ':', array_join(transform(sequence(2, 8), i -> substr(stream, 4 * i - 3, 4)), ':')))"""
 
     def luhn(digits: str) -> str:
         # doubled at every second place from the right
@@ -115,7 +126,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     scripts = {"latin": ("bdfgklmnprstv", "aeiou", "na"), "cyrillic": ("бдфгклмнпрств", "аеиоу", "на"), "greek": ("βδφγκλμνπρστχ", "αειου", "να")}
 
     def syllables(consonants: str, vowels: str, ends: str) -> str:
-        return f"""concat(array_join(transform(sequence(1, 3), i -> concat(
+        return f"""concat(array_join(transform(sequence(1, 3 + more), i -> concat(
                 substr('{consonants}', 1 + {number} % {len(consonants)}, 1), substr('{vowels}', 1 + (cast({number} / 16 as int)) % {len(vowels)}, 1))), ''),
             case kind when 'given-male' then '{ends[0]}' when 'given-female' then '{consonants[7]}{ends[1]}' else '{consonants[9]}' end)"""
 
@@ -125,7 +136,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     return rows.withColumn(
         "surrogate",
         F.when(F.col("kind") == "ip", F.expr(octets))
-        .when(F.col("kind") == "email", F.concat(F.expr("substr(kept, 1, length(entity) - length(substring_index(entity, '.', -1)))"), F.substring_index("entity", ".", -1)))
+        .when(F.col("kind") == "email", F.concat(F.expr("substr(kept, 1, length(grown) - length(substring_index(entity, '.', -1)))"), F.substring_index("entity", ".", -1)))
         # the last digit makes the check sum right
         .when(
             (F.col("kind") == "card") & F.expr(f"{luhn('entity')} = 0"),
@@ -133,7 +144,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
         )
         .when(F.col("kind").like("given-%") | (F.col("kind") == "family"), F.expr(name))
         .otherwise(F.col("kept")),
-    ).drop("stream", "kept")
+    ).drop("stream", "kept", "more", "grown")
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -154,8 +165,6 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             return done
         attempt += 1
-        if attempt == 1000:  # more entities than the type has forms
-            raise ValueError("too few forms for distinct surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -166,13 +175,14 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     held = stored(docs.where(F.col("text").rlike(PATTERN)).select(*row_key, F.explode(F.array_distinct(found)).alias("mention")).distinct(), "surrogates-mentions")
     units = stored(_mention_units(held.select("mention").distinct()), "surrogates-units")
     assigned = assign_surrogates(units, key)
-    # poured into the mention's format
+    # poured into the mention's format; what a longer form has more stands at its end (e-mail: in front)
+    more = "length(surrogate) - length(raw)"
     digits = "length(regexp_replace(substr(raw, 1, i), '[^0-9]', ''))"
     poured = F.expr(f"""case
-        when kind in ('ssn', 'phone', 'card') then array_join(transform(sequence(1, length(raw)), i ->
-            if(substr(raw, i, 1) rlike '[0-9]', substr(surrogate, {digits}, 1), substr(raw, i, 1))), '')
-        when kind = 'email' then array_join(transform(sequence(1, length(raw)), i ->
-            if(substr(raw, i, 1) rlike '[A-Z]', upper(substr(surrogate, i, 1)), substr(surrogate, i, 1))), '')
+        when kind in ('ssn', 'phone', 'card') then concat(array_join(transform(sequence(1, length(raw)), i ->
+            if(substr(raw, i, 1) rlike '[0-9]', substr(surrogate, {digits}, 1), substr(raw, i, 1))), ''), substr(surrogate, length(entity) + 1))
+        when kind = 'email' then concat(substr(surrogate, 1, {more}), array_join(transform(sequence(1, length(raw)), i ->
+            if(substr(raw, i, 1) rlike '[A-Z]', upper(substr(surrogate, i + {more}, 1)), substr(surrogate, i + {more}, 1))), ''))
         when kind = 'family' or kind like 'given-%' then if(length(raw) > 1 and raw = upper(raw), upper(surrogate), initcap(surrogate))
         else surrogate end""")
     replaced = (

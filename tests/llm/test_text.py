@@ -1,5 +1,6 @@
 """Classifiers, surrogates, packing and records."""
 
+import ipaddress
 import itertools
 import random
 import re
@@ -7,10 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aeromart.llm import langid, packing, records, toxicity
 from aeromart.llm.queries import tokenizer_path
-from aeromart.llm.surrogates import PATTERN, replace_entities
+from aeromart.llm.surrogates import PATTERN, _drawn, assign_surrogates, replace_entities
 from tests.llm import cases
 
 
@@ -144,6 +146,33 @@ def test_surrogates_are_distinct_and_never_an_entity(spark):
     assert len(set(got)) == len(got) and not set(got) & {t for _, t in rows}
 
 
+def test_surrogates_for_more_entities_than_the_form_has(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{a}@{b}.com, {a.upper()}@{b}.com") for i, (a, b) in enumerate(itertools.product(letters, letters))]
+    got = [re.fullmatch(r"(\w+@\w+\.com), (\w+@\w+\.com)", r.text) for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert all(g and g[1] == g[2].lower() for g in got)
+    assert len({g[1] for g in got}) == len(rows) and not {g[1] for g in got} & {t[:7] for _, t in rows}
+
+
+def test_surrogates_for_more_names_than_three_syllables_give(spark):
+    n = 13**3 * 5**3 + 1000
+    names = spark.range(n).select(F.lit("family").alias("kind"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("entity"))
+    got = assign_surrogates(names, "k")
+    assert got.count() == n == got.select("surrogate").distinct().count() == got.select("entity").distinct().count()
+
+
+def test_longer_forms_keep_the_type(spark):
+    entities = [("card", "4111111111111111"), ("ssn", "123456789"), ("ip", "10.1.2.3"), ("secret", "sk-abcdefghijklmnop"), ("given-female", "ann"), ("family", "иванова"), ("email", "a@b.com")]
+    rows = [(k, e, n) for k, e in entities for n in (0, 8, 40)]
+    drawn = {(r.kind, r.attempt): r.surrogate for r in _drawn(spark.createDataFrame(rows, "kind string, entity string, attempt int"), "k").collect()}
+    for k, e in entities:
+        short, longer, longest = (drawn[k, n] for n in (0, 8, 40))
+        assert len(longest) > len(longer) > len(short) or k == "ip"
+    assert all(luhn(drawn["card", n]) == 0 for n in (0, 8, 40))
+    assert ipaddress.ip_address(drawn["ip", 0]).version == 4 and ipaddress.ip_address(drawn["ip", 40]).is_private
+    assert re.fullmatch(r"[a-z]{34}@[a-z]\.com", drawn["email", 40]) and re.fullmatch("[а-я]+", drawn["family", 40])
+
+
 def test_surrogates_use_no_python(spark):
     df = replace_entities(spark.createDataFrame(PERSONAL, "doc_id long, text string"), "k")
     text = df._jdf.queryExecution().executedPlan().toString()
