@@ -22,6 +22,9 @@ clustered vectors a few hundredths do.
 Vectors that are null, zero, of another size than the most frequent one or
 hold null or non-finite components take no part.  Ties go to the smaller
 id.  Repeated ids are candidates each by itself; a query's own id is none.
+A query is a distinct pair of id and vector: rows that repeat one are asked
+once, and an id with several vectors has a list of ``k`` for each, told
+apart by ``query_hash``, the hash of the vector.
 """
 
 from __future__ import annotations
@@ -84,14 +87,15 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def nearest_neighbours(
     vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, centroids: int = 64, share: float = 0.5, least: int = 2_000, column: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of
-    ``vectors`` (vec_id and ``column``) for which ``is_query`` holds."""
+    """(query_id, rank, vec_id, score, query_hash): the k nearest found of each
+    distinct row of ``vectors`` (vec_id and ``column``) for which ``is_query``
+    holds."""
     spark = vectors.sparkSession
     v = F.col(column).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(sound & F.col("vec_id").isNotNull())
     by_size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, query_hash long"
     if by_size is None:
         return spark.createDataFrame([], schema)
     size, n = int(by_size["size"]), int(by_size["count"])
@@ -124,25 +128,29 @@ def nearest_neighbours(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column("v"), size)
+            m, own = _matrix(batch.column("v"), size), batch.column("own").to_pylist()
             left, right, out = m[:, :half] @ one.T, m[:, half:] @ two.T, []
             for q, v in enumerate(m):
                 by_first: dict[int, list[int]] = {}
-                # one row more: the query itself is no candidate
-                for i, j in traverse(left[q], right[q], plan.value, wanted + 1):
+                # more by the rows of the query's own id, which are no candidates
+                for i, j in traverse(left[q], right[q], plan.value, wanted + own[q]):
                     by_first.setdefault(i, []).append(j)
-                out += [(batch.column("vec_id")[q].as_py(), v, i, js) for i, js in by_first.items()]
+                out += [(batch.column("vec_id")[q].as_py(), batch.column("query_hash")[q].as_py(), v, i, js) for i, js in by_first.items()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in out], pa.int64()),
-                    pa.array([x[1] for x in out], pa.list_(pa.float64())),
-                    pa.array([x[2] for x in out], pa.int32()),
-                    pa.array([x[3] for x in out], pa.list_(pa.int32())),
+                    pa.array([x[1] for x in out], pa.int64()),
+                    pa.array([x[2] for x in out], pa.list_(pa.float64())),
+                    pa.array([x[3] for x in out], pa.int32()),
+                    pa.array([x[4] for x in out], pa.list_(pa.int32())),
                 ],
-                ["query_id", "v", "c1", "cells"],
+                ["query_id", "query_hash", "v", "c1", "cells"],
             )
 
-    asked = indexed.where(is_query).select("vec_id", "v").mapInArrow(probes, "query_id long, v array<double>, c1 int, cells array<int>")
+    repeated = indexed.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    queries = indexed.where(is_query).select("vec_id", "v").distinct().join(repeated, "vec_id", "left")
+    queries = queries.select("vec_id", "v", F.xxhash64("v").alias("query_hash"), F.coalesce("own", F.lit(1)).alias("own"))
+    asked = queries.mapInArrow(probes, "query_id long, query_hash long, v array<double>, c1 int, cells array<int>")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
     stocked = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int"))
 
@@ -151,7 +159,7 @@ def nearest_neighbours(
         if len(stock) and len(queries):
             stock = stock.sort_values(["c2", "vec_id"], kind="stable")
             m, ids, c2 = np.array(stock["v"].tolist()), stock["vec_id"].to_numpy(), stock["c2"].to_numpy()
-            for query, v, js in zip(queries["query_id"], queries["v"], queries["cells"], strict=True):
+            for query, vector, v, js in zip(queries["query_id"], queries["query_hash"], queries["v"], queries["cells"], strict=True):
                 lo, hi = np.searchsorted(c2, js), np.searchsorted(c2, js, side="right")
                 at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
                 at = at[ids[at] != query]
@@ -163,9 +171,10 @@ def nearest_neighbours(
                     best = best[np.lexsort((ids[at[best]], -score[best]))[:k]]
                 else:
                     best = np.arange(len(at))
-                parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": score[best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                parts.append(pd.DataFrame({"query_id": query, "query_hash": vector, "vec_id": ids[at[best]], "score": score[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "query_hash": [], "vec_id": [], "score": []})
 
-    found = asked.groupBy("c1", "shard").cogroup(stocked.groupBy("c1", "shard")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy("c1", "shard").cogroup(stocked.groupBy("c1", "shard")).applyInPandas(rerank, "query_id long, query_hash long, vec_id long, score double")
+    # Spark takes the first k of each part before the window
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_hash")

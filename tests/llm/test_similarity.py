@@ -264,6 +264,25 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_query_rows(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 8))
+    other, hot = r.normal(size=8), r.normal(size=8)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 2 + [(20, other.tolist())] + [(40, hot.tolist())] * 150
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for row in nearest_neighbours(table, F.col("vec_id") % 20 == 0, least=400).collect():
+        got.setdefault((row.query_id, row.query_hash), {})[row["rank"]] = row.vec_id
+    asked = {(i, tuple(x)) for i, x in rows if i % 20 == 0}
+    assert len(got) == len(asked) == 17 and all(sorted(x) == list(range(1, 21)) for x in got.values())
+
+    def best(q, x):
+        order = sorted((-float(np.dot(x, y)), i) for i, y in rows if i != q)
+        return [i for _, i in order[:20]]
+
+    assert sorted((q, [f[k] for k in sorted(f)]) for (q, _), f in got.items()) == sorted((q, best(q, np.array(x))) for q, x in asked)
+
+
 def test_cells_come_in_order_of_summed_closeness():
     r = np.random.default_rng(2)
     left, right = r.normal(size=6), r.normal(size=5)
