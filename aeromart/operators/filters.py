@@ -96,6 +96,39 @@ def option_list(df: DataFrame, column: str) -> DataFrame:
     return values.orderBy("value").select(F.col("value").cast("string").alias("value"))
 
 
+def option_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """FLT4 for several columns in one scan: (field, value), the fields one
+    after another, each sorted by its column's own type.
+
+    Each row is unpivoted to its (field, value) pairs, which are made
+    distinct in the scan's own tasks before one exchange; the sort is by
+    range, so a field of very many values is many tasks.  Columns that the
+    table does not have give no rows.  Takes a fact or its base.
+    """
+    present = [c for c in columns if c in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "field string, value string")
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in present])).alias("o"))
+    values = pairs.select("o.*").dropna().distinct()
+    # one sort key a field: its text back to the type it came from
+    order = [F.when(F.col("field") == c, F.col("value").try_cast(df.schema[c].dataType)) for c in present]
+    return values.orderBy("field", *order)
+
+
+def one_list(lists: DataFrame, column: str) -> DataFrame:
+    """One field's values of ``option_lists``, in order."""
+    return lists.where(F.col("field") == column).select("value")
+
+
+def bounds(tickets: DataFrame) -> DataFrame:
+    """FLT5 and FLT6 in one scan: min_date, max_date, max_distance (one row)."""
+    return tickets.agg(
+        F.min("departure_date").alias("min_date"),
+        F.max("departure_date").alias("max_date"),
+        F.coalesce(F.max("distance"), F.lit(0.0)).alias("max_distance"),
+    )
+
+
 def date_bounds(tickets: DataFrame) -> DataFrame:
     """FLT5: earliest and latest departure date (one row)."""
     return tickets.agg(

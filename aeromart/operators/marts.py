@@ -9,7 +9,7 @@ partial row per key and task.  Measures come from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,9 +109,30 @@ def fleet_keys(flights: DataFrame) -> list[str]:
     return ["airplane", "model"] if "model" in flights.columns else ["airplane"]
 
 
+def partial_mean(column: str) -> Column:
+    """Mean from the sum and the count that a fleet base keeps."""
+    return safe_divide(sum0(f"sum_{column}"), F.sum(f"n_{column}"))
+
+
 def fleet_utilization(flights: DataFrame, top: int | None = None) -> DataFrame:
-    """AGG5: scheduled use, revenue, capacity, load and fuel per aircraft."""
+    """AGG5: scheduled use, revenue, capacity, load and fuel per aircraft.
+
+    Takes enriched flights or their fleet base."""
     keys = fleet_keys(flights)
+    if "n_flights" in flights.columns:
+        maxima = existing(flights, [f"max_{c}" for c in FLEET_OPTIONAL_MAXIMA])
+        aggregations = [
+            F.sum("n_flights").alias("scheduled_flights"),
+            sum0("sum_distance").alias("assigned_distance"),
+            sum0("sum_ticket_revenue").alias("ticket_revenue"),
+            F.coalesce(F.sum("sum_tickets_sold"), F.lit(0)).alias("tickets_sold"),
+            F.max("max_seat_capacity").alias("seat_capacity"),
+            partial_mean("estimated_load_factor").alias("avg_load_factor"),
+            sum0("sum_estimated_fuel_gallons").alias("estimated_fuel_gallons"),
+            *[F.max(c).alias(c.removeprefix("max_")) for c in maxima],
+        ]
+        result = flights.groupBy(*keys).agg(*aggregations)
+        return top_n(sort_with_ties(result, [desc_first("scheduled_flights")], keys), top)
     aggregations = [
         F.count(F.lit(1)).alias("scheduled_flights"),
         sum0("distance").alias("assigned_distance"),
@@ -127,9 +148,20 @@ def fleet_utilization(flights: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def fleet_by_model(flights: DataFrame) -> DataFrame:
-    """AGG6: aircraft count, flights, capacity, load and fuel per model."""
+    """AGG6: aircraft count, flights, capacity, load and fuel per model.
+
+    Takes enriched flights or their fleet base (aircraft by model)."""
     if "model" not in flights.columns:
         return empty_frame(flights)
+    if "n_flights" in flights.columns:
+        result = flights.groupBy("model").agg(
+            F.count(F.lit(1)).alias("aircraft"),  # a base has one row for each aircraft of a model, null too
+            F.sum("n_flights").alias("scheduled_flights"),
+            partial_mean("seat_capacity").alias("avg_seat_capacity"),
+            partial_mean("estimated_load_factor").alias("avg_load_factor"),
+            sum0("sum_estimated_fuel_gallons").alias("estimated_fuel_gallons"),
+        )
+        return sort_with_ties(result, [desc_first("scheduled_flights")], ["model"])
     result = flights.groupBy("model").agg(
         distinct_count_with_null("airplane").alias("aircraft"),
         F.count(F.lit(1)).alias("scheduled_flights"),

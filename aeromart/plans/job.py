@@ -16,10 +16,11 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aeromart.operators.base import read_bases
 from aeromart.operators.findings import findings_markdown, summarize_key_findings
 from aeromart.operators.summaries import summarize_tickets
 from aeromart.plans.prepare import prepare_to_storage
-from aeromart.session import build_session
+from aeromart.session import build_session, shared_scratch_path
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
@@ -27,6 +28,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--source", choices=["parquet", "jdbc", "testdata"], default="parquet")
     p.add_argument("--input", help="Parquet folder with the source tables, or a test-data folder.")
     p.add_argument("--output", required=True, help="Shared folder for the prepared Parquet datasets.")
+    p.add_argument("--base-folder", help="Shared folder for the bases of partial sums (default: scratch).")
     p.add_argument("--raw-tickets", action="store_true", help="Keep ticket grain instead of monthly cells.")
     p.add_argument("--as-of-year", type=int, default=None, help="Year for aircraft age (default: this year).")
     p.add_argument("--url", help="JDBC URL (jdbc source).")
@@ -108,9 +110,10 @@ def main(argv: list[str] | None = None) -> dict[str, float]:
     started = time.perf_counter()
     spark = build_session(master=args.master, app_name="aeromart-prepare")
     raw = read_sources(spark, args)
-    datasets = prepare_to_storage(raw, args.output, args.as_of_year)
+    base_folder = args.base_folder or shared_scratch_path(spark, "bases")
+    prepare_to_storage(raw, args.output, args.as_of_year, base_folder=base_folder)
     prepared = time.perf_counter()
-    findings = summarize_key_findings(datasets["tickets_enriched"], datasets["flights_enriched"])
+    findings = summarize_key_findings(*read_bases(spark, base_folder))
     write_findings(spark, findings, args.output)
     timings = {"prepare_seconds": prepared - started, "total_seconds": time.perf_counter() - started}
     print({"output": args.output, **timings}, flush=True)

@@ -569,6 +569,42 @@ SQL |= {
     ),
 }
 
+# The dashboard of one slice: each view's statement over the sliced facts.
+_VIEW_SOURCES = {
+    "overview": _overview("tickets_enriched", "flights_enriched", False),
+    "findings": _findings(),
+    "monthly": _mart_revenue_by_month("tickets_enriched", False),
+    "cabin": _mart_cabin_mix("tickets_enriched", False),
+    "scatter_source": f"""SELECT * FROM ({_mart_route_efficiency('tickets_enriched', False)})
+WHERE distance IS NOT NULL AND avg_ticket_value IS NOT NULL AND revenue_per_distance IS NOT NULL""",
+    "efficiency_table": f"""SELECT route_code, route_label, tickets, revenue, avg_ticket_value, distance, flight_minutes,
+       revenue_per_distance, avg_ticket_value_per_minute
+FROM ({_ranked(_mart_route_efficiency('tickets_enriched', False), YIELD_ORDER, 50)})""",
+    "top_yield": _ranked(_mart_route_efficiency("tickets_enriched", False), YIELD_ORDER, 15),
+    "top_aircraft": _ranked(_mart_fleet("flights_enriched"), FLEET_ORDER, 15),
+    "fleet_table": _ranked(_mart_fleet("flights_enriched"), FLEET_ORDER, 50),
+    "model_summary": f"""SELECT model, {_distinct_with_null('airplane')} AS aircraft, count(*) AS scheduled_flights,
+       avg(seat_capacity) AS avg_seat_capacity, round(avg(estimated_load_factor), 6) AS avg_load_factor,
+       {_sum0('estimated_fuel_gallons')} AS estimated_fuel_gallons
+FROM flights_enriched GROUP BY model""",
+    "top_taxes": _tax_ranked(15),
+    "route_summary": _mart_revenue_by_route("tickets_enriched", False),
+    "route_table": _ranked(_mart_revenue_by_route("tickets_enriched", False), ROUTE_ORDER, 100),
+    "segments": f"""SELECT vip_segment, age_band, cabin_class, tickets, revenue, round(avg_ticket_value, 4) AS avg_ticket_value
+FROM ({_ranked(ROLLUP.replace("round(avg(avg_ticket_value), 4)", "avg(avg_ticket_value)"), "revenue DESC NULLS FIRST, vip_segment ASC NULLS FIRST, age_band ASC NULLS FIRST, cabin_class ASC NULLS FIRST", 20)})""",
+}
+
+
+def _sliced(body: str) -> str:
+    slices = f"""sliced_tickets AS (SELECT * FROM tickets_enriched WHERE {TICKET_SLICE_WHERE}),
+sliced_flights AS (SELECT * FROM flights_enriched WHERE origin_continent IN ('ASIA', 'EUROPE') AND model IN ({FLIGHT_MODELS}))"""
+    body = body.replace("tickets_enriched", "sliced_tickets").replace("flights_enriched", "sliced_flights")
+    return f"WITH {CTES.strip()},\n{slices}\n{body.strip()}\n"
+
+
+SQL |= {f"view_{name}": _sliced(body) for name, body in _VIEW_SOURCES.items()}
+SQL["merged_base"] = SQL["revenue_by_route"]
+
 for _name in ["slice_routes", "summary_readers", "tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
     SQL[_name] = dates_as_text(SQL[_name], ["departure_date"])
 SQL["date_bounds"] = dates_as_text(SQL["date_bounds"], ["min_date", "max_date"])
@@ -593,7 +629,16 @@ ROUNDED: dict[str, list[str]] = {
     "fleet_by_model": ["estimated_fuel_gallons"],
     **dict.fromkeys(["passenger_segments", "segment_rollup", "segments_cells", "segment_top"], ["revenue", "avg_ticket_value"]),
     **dict.fromkeys(["tax_by_route", "tax_by_route_cells", "top_tax_routes", "tax_table"], ["revenue", "tax_amount"]),
-    **dict.fromkeys(["overview_metrics", "overview_metrics_cells", "slice_overview"], ["value"]),
+    **dict.fromkeys(["overview_metrics", "overview_metrics_cells", "slice_overview", "view_overview"], ["value"]),
+    "view_monthly": ["revenue"],
+    "view_cabin": ["revenue", "avg_ticket_value", "revenue_share"],
+    **dict.fromkeys(["view_scatter_source", "view_top_yield"], _YIELD),
+    "view_efficiency_table": [c for c in _YIELD if c != "avg_ticket_value_per_distance"],
+    **dict.fromkeys(["view_top_aircraft", "view_fleet_table"], _FLEET),
+    "view_model_summary": ["estimated_fuel_gallons"],
+    "view_top_taxes": ["revenue", "tax_amount"],
+    **dict.fromkeys(["view_route_summary", "view_route_table", "merged_base"], _ROUTE),
+    "view_segments": ["revenue", "avg_ticket_value"],
 }
 for _name, _columns in ROUNDED.items():
     _rounds = ", ".join(f"round({c} + 1e-8, {6 if c in _SIX else 4}) AS {c}" for c in _columns)

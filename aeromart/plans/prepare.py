@@ -3,9 +3,10 @@
 ``build_prepared_datasets`` returns nine lazy DataFrames, picking the
 cell grain when a ``ticket_summary`` table is given.  Each enriched fact
 feeds several marts, so ``prepare_to_storage`` writes the dimension and
-the two facts first and computes the marts from the written files: the
-lineage is cut there (a lost executor recomputes from files, not from
-the sources), and every mart reads only the columns it needs.
+the two facts first, folds each fact once to its base of partial sums, and
+rolls the marts up from these.  The lineage is cut at the written files (a
+lost executor recomputes from files, not from the sources), and no mart
+reads a fact.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 
 from aeromart.operators import marts
+from aeromart.operators.base import MONTHS, ROUTES, SEGMENTS, of_set, stored_bases
 from aeromart.operators.dimensions import build_route_dimension
 from aeromart.operators.facts import (
     build_flights_enriched,
     build_ticket_summary_enriched,
     build_tickets_enriched,
 )
+from aeromart.session import shared_scratch_path
 from aeromart.sources.parquet import write_dataset
 
 FACT_NAMES = ["route_dimension", "tickets_enriched", "flights_enriched"]
@@ -63,6 +66,19 @@ def build_marts(tickets: DataFrame, flights: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def marts_from_bases(tickets: DataFrame, fleet: DataFrame) -> dict[str, DataFrame]:
+    """The six marts, rolled up from a ticket base and a fleet base."""
+    routes = of_set(tickets, ROUTES)
+    return {
+        "revenue_by_month": marts.revenue_by_month(of_set(tickets, MONTHS)),
+        "revenue_by_route": marts.revenue_by_route(routes),
+        "route_efficiency": marts.route_efficiency(routes),
+        "fleet_utilization": marts.fleet_utilization(fleet),
+        "passenger_segments": marts.passenger_segments(of_set(tickets, SEGMENTS)),
+        "tax_by_route": marts.tax_by_route(routes),
+    }
+
+
 def build_prepared_datasets(
     raw_tables: Mapping[str, DataFrame], as_of_year: int | None = None
 ) -> dict[str, DataFrame]:
@@ -86,14 +102,19 @@ def prepare_to_storage(
     folder: str,
     as_of_year: int | None = None,
     concurrent_writes: int = 6,
+    base_folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """Write the nine datasets under ``folder`` and return them re-read.
 
+    The bases go to ``base_folder`` (default: a new folder of the session's
+    shared scratch space), where later runs can merge them with their own.
+
     Order follows the dependencies: the route dimension first; then the
     tickets fact, and at cell grain the flights fact alongside it (it
     only needs the per-flight summary); at ticket grain the flights fact
     after the tickets (tickets per flight come from the written file);
-    finally the six marts together, each from the written facts.
+    finally the two bases from the written facts, and the six marts
+    together from the bases.
     """
     spark = next(iter(raw_tables.values())).sparkSession
     base = folder.rstrip("/")
@@ -123,7 +144,8 @@ def prepare_to_storage(
         tickets = persist("tickets_enriched", tickets_plan)
         written = {"tickets_enriched": tickets, "flights_enriched": flights_from(route_dim, tickets)}
     written["route_dimension"] = route_dim
-    mart_plans = build_marts(written["tickets_enriched"], written["flights_enriched"])
+    bases = stored_bases(written["tickets_enriched"], written["flights_enriched"], base_folder or shared_scratch_path(spark, "bases"))
+    mart_plans = marts_from_bases(*bases)
     written.update(
         _run_all({name: (lambda n=name, df=df: persist(n, df)) for name, df in mart_plans.items()}, concurrent_writes)
     )

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeromart.operators import filters, marts
+from aeromart.operators.base import ROUTES, merged, of_set, ticket_base
 from aeromart.operators.cleaning import cast_numbers, clean_strings, parse_temporal
 from aeromart.operators.dimensions import build_route_dimension
 from aeromart.operators.facts import (
@@ -36,7 +37,7 @@ from aeromart.operators.findings import summarize_key_findings
 from aeromart.operators.ordering import asc_first, desc_first, desc_last, with_rank
 from aeromart.operators.overview import overview_metrics
 from aeromart.operators.summaries import ticket_by_flight, ticket_summary
-from aeromart.plans.dashboard import Slice, dashboard_views, efficiency_table
+from aeromart.plans.dashboard import TICKET_OPTIONS, Slice, dashboard_views, efficiency_table
 from aeromart.plans.prepare import prepare_to_storage
 from aeromart.session import shared_scratch_path
 from aeromart.sources import csv as csv_sink
@@ -57,6 +58,14 @@ FLIGHT_SLICE = Slice(
     destination_continents=["AFRICA", "EUROPE"],
     models=[f"M{i}" for i in range(0, 25, 2)],
 )
+DASHBOARD_SLICE = Slice(
+    start_date=dt.date(1996, 1, 1),
+    end_date=dt.date(1998, 12, 31),
+    cabin_classes=["ECONOMY", "BUSINESS"],
+    origin_continents=["ASIA", "EUROPE"],
+    min_distance=905.0,
+    models=[f"M{i}" for i in range(0, 25, 2)],
+)
 RATIO_DIGITS, MONEY_MEAN_DIGITS, SHARE_SUM_DIGITS = 6, 4, 9
 
 
@@ -115,6 +124,12 @@ class Prepared:
         )
 
 
+    @cached_property
+    def views(self) -> dict[str, DataFrame]:
+        """The dashboard of one slice: its bases are written once, for all views."""
+        return dashboard_views(self.tickets, self.flights, DASHBOARD_SLICE)
+
+
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items() if c in df.columns})
 
@@ -352,18 +367,9 @@ def q_scatter_source(spark, d):
 
 def q_filter_options(spark, d):
     p = Prepared.of(spark, d)
-    lists = [
-        ("cabin_class", p.tickets),
-        ("origin_continent", p.tickets),
-        ("destination_continent", p.tickets),
-        ("route_code", p.tickets),
-        ("model", p.flights),
-    ]
-    result = None
-    for name, df in lists:
-        part = filters.option_list(df, name).select(F.lit(name).alias("field"), "value")
-        result = part if result is None else result.unionByName(part)
-    return result
+    tickets = filters.option_lists(p.tickets, TICKET_OPTIONS)
+    models = filters.option_lists(p.flights, ["model"])
+    return tickets.unionByName(models)
 
 
 def q_date_bounds(spark, d):
@@ -473,6 +479,48 @@ def q_route_bars(spark, d):
     return in_order(dashboard_views(p.tickets, p.flights)["top_routes"])
 
 
+# ---------------------------------------------------------------- dashboard of a slice
+#: How the rows of each view are numbered (None: by no order), and which means are rounded here.
+VIEWS: dict[str, tuple[Callable[[], list] | None, dict[str, int]]] = {
+    "overview": (None, {}),
+    "findings": (None, {}),
+    "monthly": (None, {}),
+    "cabin": (None, {}),
+    "scatter_source": (None, {}),
+    "efficiency_table": (None, {}),
+    "top_yield": (yield_order, {}),
+    "top_aircraft": (fleet_order, FLEET_ROUNDING),
+    "fleet_table": (fleet_order, FLEET_ROUNDING),
+    "model_summary": (None, FLEET_ROUNDING),
+    "top_taxes": (tax_order, {"avg_tax_share": RATIO_DIGITS}),
+    "route_summary": (None, {}),
+    "route_table": (route_order, {}),
+    "segments": (None, {"avg_ticket_value": MONEY_MEAN_DIGITS}),
+}
+
+
+def view_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    order, digits = VIEWS[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        view = Prepared.of(spark, d).views[name]
+        if order:
+            view = with_rank(view, order())
+        return _round_metrics(view) if name == "overview" else rounded(view, digits)
+
+    run.__name__ = f"q_view_{name}"
+    run.__doc__ = f"The dashboard's {name} for one filter state, rolled up from the slice's bases."
+    return run
+
+
+def q_merged_base(spark, d):
+    """Routes rolled up from two bases merged: tickets of early and of later years."""
+    tickets = Prepared.of(spark, d).tickets
+    early = F.coalesce(F.col("departure_year") < 1996, F.lit(True))
+    parts = [ticket_base(tickets.where(w)) for w in (early, ~early)]
+    return marts.revenue_by_route(of_set(merged(*parts), ROUTES))
+
+
 def q_slice_routes(spark, d):
     """A slice by a route list and destination continents."""
     routes = [f"R{i}" for i in range(1, 200, 3)]
@@ -595,4 +643,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_row_counts": q_table_row_counts,
 }
 
+_QUERIES |= {f"view_{name}": view_query(name) for name in VIEWS} | {"merged_base": q_merged_base}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _registered(v) for k, v in _QUERIES.items()}
