@@ -55,9 +55,9 @@ def tax_total() -> F.Column:
     return X.zero_if_null("airport_tax") + X.zero_if_null("local_tax")
 
 
-def passenger_dimension(passengers: DataFrame) -> DataFrame:
+def passenger_dimension(passengers: DataFrame, cleaned: bool = False) -> DataFrame:
     """Cleaned passengers with prefixed names; all five columns must exist."""
-    passengers = require(clean_table(passengers), list(PASSENGER_NAMES), "passengers")
+    passengers = require(passengers if cleaned else clean_table(passengers), list(PASSENGER_NAMES), "passengers")
     dim = passengers.select(*[F.col(src).alias(dst) for src, dst in PASSENGER_NAMES.items()])
     return cast_strings(dim, ["passenger_id"])
 
@@ -66,9 +66,14 @@ def build_tickets_enriched(
     tickets: DataFrame,
     route_dim: DataFrame,
     passengers: DataFrame | None = None,
+    cleaned: bool = False,
 ) -> DataFrame:
-    """DS2: one row per ticket with cabin, taxes, dates, route and passenger data."""
-    tickets = clean_table(tickets)
+    """DS2: one row per ticket with cabin, taxes, dates, route and passenger data.
+
+    ``cleaned`` tickets and passengers are taken as they are: cleaning their
+    keys again would hide from Spark how staged tables are laid out.
+    """
+    tickets = tickets if cleaned else clean_table(tickets)
     if "total_amount" not in tickets.columns:
         require(tickets, ["price"], "tickets")
         # N15: derived only when the column is absent.
@@ -96,7 +101,7 @@ def build_tickets_enriched(
     with_passengers = passengers is not None and not passengers.isEmpty()
     if with_passengers:
         taken = {*base.columns, *[c for c in route_dim.columns if c != "route_code"]}
-        dim = passenger_dimension(passengers)
+        dim = passenger_dimension(passengers, cleaned)
         clash = {c: f"{c}_right" for c in dim.columns if c in taken and c != "passenger_id"}
         base = join_dimension(base, dim.withColumnsRenamed(clash), "passenger_id")
     passenger_columns = [c for c in base.columns if c not in ticket_columns]
@@ -172,11 +177,13 @@ def build_flights_enriched(
     airplanes: DataFrame,
     ticket_source: DataFrame,
     as_of_year: int | None = None,
+    cleaned: bool = False,
 ) -> DataFrame:
     """DS4: flights with route and aircraft data, ticket totals, seat
-    capacity, estimated load factor and estimated fuel."""
+    capacity, estimated load factor and estimated fuel.  ``cleaned`` flights
+    are taken as they are."""
     flights = require(
-        clean_table(flights), ["flight_id", "route_code", "airplane", "departure", "arrival"], "flights"
+        flights if cleaned else clean_table(flights), ["flight_id", "route_code", "airplane", "departure", "arrival"], "flights"
     )
     per_flight = ticket_totals_by_flight(ticket_source)
     base = cast_strings(flights, ["flight_id", "route_code", "airplane"]).withColumns(

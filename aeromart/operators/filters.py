@@ -26,6 +26,19 @@ def _as_date(value: DateLike) -> F.Column:
     return F.to_date(F.lit(value))
 
 
+def _months_of(tickets: DataFrame, start: DateLike | None, end: DateLike | None) -> DataFrame:
+    """What a date range says of the month, as a filter of its own: facts laid
+    out by month then list only these.  Months are compared as text, which
+    holds for years of four digits; others are left to the date filter."""
+    month = F.col("departure_month")
+    odd = F.length(month) != 7
+    if start is not None:
+        tickets = tickets.where((month >= F.date_format(_as_date(start), "yyyy-MM")) | odd)
+    if end is not None:
+        tickets = tickets.where((month <= F.date_format(_as_date(end), "yyyy-MM")) | odd)
+    return tickets
+
+
 def filter_tickets(
     tickets: DataFrame,
     start_date: DateLike | None = None,
@@ -47,6 +60,8 @@ def filter_tickets(
         out = out.where(F.col("departure_date") >= _as_date(start_date))
     if end_date is not None:
         out = out.where(F.col("departure_date") <= _as_date(end_date))
+    if "departure_month" in tickets.columns:
+        out = _months_of(out, start_date, end_date)
     if cabin_classes:
         out = out.where(F.col("cabin_class").isin(list(cabin_classes)))
     if origin_continents:

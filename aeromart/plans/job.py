@@ -25,14 +25,14 @@ from aeromart.session import build_session, shared_scratch_path
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Build the prepared airline datasets with Spark.")
-    p.add_argument("--source", choices=["parquet", "jdbc", "testdata"], default="parquet")
+    p.add_argument("--source", choices=["parquet", "jdbc", "catalog", "testdata"], default="parquet")
     p.add_argument("--input", help="Parquet folder with the source tables, or a test-data folder.")
     p.add_argument("--output", required=True, help="Shared folder for the prepared Parquet datasets.")
     p.add_argument("--base-folder", help="Shared folder for the bases of partial sums (default: scratch).")
     p.add_argument("--raw-tickets", action="store_true", help="Keep ticket grain instead of monthly cells.")
     p.add_argument("--as-of-year", type=int, default=None, help="Year for aircraft age (default: this year).")
     p.add_argument("--url", help="JDBC URL (jdbc source).")
-    p.add_argument("--schema", help="Database schema (jdbc source).")
+    p.add_argument("--schema", help="Database schema (jdbc source) or schema of the session's catalog (catalog source).")
     p.add_argument("--driver", help="JDBC driver class (jdbc source).")
     p.add_argument("--user-env", default="DB_USERNAME", help="Environment variable with the user name.")
     p.add_argument("--password-env", default="DB_PASSWORD", help="Environment variable with the password.")
@@ -51,6 +51,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
         p.error(f"--input is required with --source {args.source}")
     if args.source == "jdbc" and not (args.url and args.schema):
         p.error("--url and --schema are required with --source jdbc")
+    if args.source == "catalog" and not args.schema:
+        p.error("--schema is required with --source catalog")
     return args
 
 
@@ -72,6 +74,11 @@ def read_sources(spark: SparkSession, args: argparse.Namespace) -> dict[str, Dat
 
         tables = airline_tables(spark, args.input)
         return tables if args.raw_tickets else summarize_tickets(tables)
+    if args.source == "catalog":
+        from aeromart.sources import catalog
+
+        tables = catalog.read_project_tables(spark, args.schema)
+        return tables if args.raw_tickets else summarize_tickets(tables)
     if args.source == "parquet":
         from aeromart.sources import parquet
 

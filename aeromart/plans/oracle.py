@@ -546,13 +546,38 @@ _COUNTED = {
     "passenger_segments": f"({SEGMENTS})",
     "tax_by_route": f"({_mart_tax_by_route('tickets_enriched', False)})",
 }
+_CONTENT = {  # dataset: (numbers, texts)
+    "route_dimension": ("distance flight_minutes flight_hours origin_airport_tax_ref", "route_code origin_city destination_country route_label"),
+    "tickets_enriched": (
+        "price total_amount tax_amount distance passenger_age departure_year",
+        "ticket_id passenger_id route_code departure_month cabin_class route_label vip_segment age_band",
+    ),
+    "flights_enriched": ("seat_capacity tickets_sold ticket_revenue estimated_fuel_gallons aircraft_age_years", "flight_id route_code airplane model route_label"),
+    "revenue_by_month": ("revenue tickets", "departure_month cabin_class"),
+    "revenue_by_route": ("tickets revenue avg_ticket_value tax_amount", "route_code route_label origin_country destination_continent"),
+    "route_efficiency": ("tickets revenue distance avg_ticket_value", "route_code route_label origin"),
+    "fleet_utilization": ("scheduled_flights assigned_distance ticket_revenue tickets_sold seat_capacity estimated_fuel_gallons", "airplane model"),
+    "passenger_segments": ("tickets revenue avg_ticket_value", "passenger_country vip_segment age_band cabin_class"),
+    "tax_by_route": ("tickets revenue tax_amount", "route_code route_label destination"),
+}
+
+
+def _content(name: str, src: str) -> str:
+    numbers, texts = (x.split() for x in _CONTENT[name])
+    total = " + ".join(f"coalesce(sum(CAST({c} AS DOUBLE)), 0.0)" for c in numbers)
+    chars = " + ".join(f"coalesce(sum(length({c})), 0)" for c in texts)
+    nulls = " + ".join(f"count(*) - count({c})" for c in texts + numbers)
+    return f"""SELECT '{name}' AS dataset, count(*) AS row_count, round({total} + 1e-4, 0) AS number_sum,
+       CAST({chars} AS BIGINT) AS text_chars, {nulls} AS nulls FROM {src}"""
+
+
 _BARS = ["revenue", "route_code", "route_label", "origin", "destination", "origin_country", "destination_country"]
 _BARS += ["origin_continent", "destination_continent", "tickets", "avg_ticket_value", "tax_amount"]
 SQL |= {
     "read_project_tables": "SELECT 'nation' AS source, CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation "
     "UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), c_name FROM customer",
     "summary_readers": SQL["ticket_summary"],
-    "prepared_set": q(" UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS row_count FROM {src}" for n, src in _COUNTED.items())),
+    "prepared_set": q(" UNION ALL ".join(_content(n, src) for n, src in _COUNTED.items())),
     "month_order": q(
         "SELECT *, row_number() OVER (ORDER BY departure_month ASC NULLS FIRST, cabin_class ASC NULLS FIRST) AS position "
         f"FROM ({_mart_revenue_by_month('tickets_enriched', False)})"
@@ -604,8 +629,13 @@ sliced_flights AS (SELECT * FROM flights_enriched WHERE origin_continent IN ('AS
 
 SQL |= {f"view_{name}": _sliced(body) for name, body in _VIEW_SOURCES.items()}
 SQL["merged_base"] = SQL["revenue_by_route"]
+SQL |= {"colocated_tickets": SQL["tickets_enriched"], "colocated_flights": SQL["flights_enriched"], "month_slice": SQL["filter_tickets"]}
+SQL["catalog_tables"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS row_estimate, '{picked}' AS picked FROM {t}"
+    for t, picked in (("customer", "c_name,c_custkey"), ("nation", "n_name"), ("orders", "o_orderkey,o_custkey"))
+)
 
-for _name in ["slice_routes", "summary_readers", "tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
+for _name in ["slice_routes", "colocated_tickets", "month_slice", "summary_readers", "tickets_enriched", "ticket_summary", "ticket_summary_enriched", "filter_tickets", "filter_tickets_cells"]:
     SQL[_name] = dates_as_text(SQL[_name], ["departure_date"])
 SQL["date_bounds"] = dates_as_text(SQL["date_bounds"], ["min_date", "max_date"])
 
@@ -616,8 +646,8 @@ _ROUTE = ["revenue", "avg_ticket_value", "tax_amount"]
 _YIELD = ["revenue", "avg_ticket_value", "revenue_per_distance", "avg_ticket_value_per_distance", "avg_ticket_value_per_minute"]
 _FLEET = ["assigned_distance", "ticket_revenue", "estimated_fuel_gallons"]
 ROUNDED: dict[str, list[str]] = {
-    **dict.fromkeys(["tickets_enriched", "filter_tickets", "slice_routes"], ["tax_amount"]),
-    **dict.fromkeys(["flights_enriched", "flights_enriched_cells", "filter_flights"], ["ticket_revenue", "estimated_fuel_gallons"]),
+    **dict.fromkeys(["tickets_enriched", "filter_tickets", "slice_routes", "colocated_tickets", "month_slice"], ["tax_amount"]),
+    **dict.fromkeys(["flights_enriched", "flights_enriched_cells", "filter_flights", "colocated_flights"], ["ticket_revenue", "estimated_fuel_gallons"]),
     **dict.fromkeys(["ticket_summary", "summary_readers", "ticket_summary_enriched", "filter_tickets_cells"], _ROUTE),
     **dict.fromkeys(["revenue_by_route", "revenue_by_route_cells", "top_routes", "route_table", "slice_revenue_by_route", "parquet_roundtrip", "route_bars"], _ROUTE),
     "ticket_by_flight": ["ticket_revenue"],

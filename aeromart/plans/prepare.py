@@ -25,7 +25,7 @@ from aeromart.operators.facts import (
     build_tickets_enriched,
 )
 from aeromart.session import shared_scratch_path
-from aeromart.sources.parquet import write_dataset
+from aeromart.sources.parquet import read_dataset, write_dataset, write_fact
 
 FACT_NAMES = ["route_dimension", "tickets_enriched", "flights_enriched"]
 MART_NAMES = [
@@ -121,8 +121,8 @@ def prepare_to_storage(
     cell_grain = "ticket_summary" in raw_tables
 
     def persist(name: str, df: DataFrame) -> DataFrame:
-        write_dataset(df, f"{base}/{name}.parquet")
-        return spark.read.parquet(f"{base}/{name}.parquet")
+        (write_fact if name == "tickets_enriched" else write_dataset)(df, f"{base}/{name}.parquet")
+        return read_dataset(spark, f"{base}/{name}.parquet")
 
     def flights_from(route_dim: DataFrame, flight_source: DataFrame) -> DataFrame:
         return persist(

@@ -17,6 +17,8 @@ Presentation rules shared with the SQL twins, fixed up front:
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -37,9 +39,11 @@ from aeromart.operators.findings import summarize_key_findings
 from aeromart.operators.ordering import asc_first, desc_first, desc_last, with_rank
 from aeromart.operators.overview import overview_metrics
 from aeromart.operators.summaries import ticket_by_flight, ticket_summary
+from aeromart.plans.colocated import prepare_colocated
 from aeromart.plans.dashboard import TICKET_OPTIONS, Slice, dashboard_views, efficiency_table
 from aeromart.plans.prepare import prepare_to_storage
 from aeromart.session import shared_scratch_path
+from aeromart.sources import catalog
 from aeromart.sources import csv as csv_sink
 from aeromart.sources import parquet as pq
 from aeromart.sources.fixtures import airline_tables, read_tables
@@ -124,6 +128,13 @@ class Prepared:
         )
 
 
+    @cached_property
+    def colocated(self) -> dict[str, DataFrame]:
+        """Facts from bucketed tables in a schema of their own."""
+        schema = f"aeromart_{uuid.uuid4().hex[:8]}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return prepare_colocated(self.spark, self.src, schema, buckets, AS_OF_YEAR, shared_scratch_path(self.spark, "schema"))
+
     @cached_property
     def views(self) -> dict[str, DataFrame]:
         """The dashboard of one slice: its bases are written once, for all views."""
@@ -445,18 +456,49 @@ def q_summary_readers(spark, d):
     return rounded(tables["ticket_summary"], {"tax_share_sum": SHARE_SUM_DIGITS})
 
 
+#: Columns whose numbers are added up, and whose characters are counted, in each written dataset.
+PREPARED_NUMBERS = {
+    "route_dimension": ["distance", "flight_minutes", "flight_hours", "origin_airport_tax_ref"],
+    "tickets_enriched": ["price", "total_amount", "tax_amount", "distance", "passenger_age", "departure_year"],
+    "flights_enriched": ["seat_capacity", "tickets_sold", "ticket_revenue", "estimated_fuel_gallons", "aircraft_age_years"],
+    "revenue_by_month": ["revenue", "tickets"],
+    "revenue_by_route": ["tickets", "revenue", "avg_ticket_value", "tax_amount"],
+    "route_efficiency": ["tickets", "revenue", "distance", "avg_ticket_value"],
+    "fleet_utilization": ["scheduled_flights", "assigned_distance", "ticket_revenue", "tickets_sold", "seat_capacity", "estimated_fuel_gallons"],
+    "passenger_segments": ["tickets", "revenue", "avg_ticket_value"],
+    "tax_by_route": ["tickets", "revenue", "tax_amount"],
+}
+PREPARED_TEXTS = {
+    "route_dimension": ["route_code", "origin_city", "destination_country", "route_label"],
+    "tickets_enriched": ["ticket_id", "passenger_id", "route_code", "departure_month", "cabin_class", "route_label", "vip_segment", "age_band"],
+    "flights_enriched": ["flight_id", "route_code", "airplane", "model", "route_label"],
+    "revenue_by_month": ["departure_month", "cabin_class"],
+    "revenue_by_route": ["route_code", "route_label", "origin_country", "destination_continent"],
+    "route_efficiency": ["route_code", "route_label", "origin"],
+    "fleet_utilization": ["airplane", "model"],
+    "passenger_segments": ["passenger_country", "vip_segment", "age_band", "cabin_class"],
+    "tax_by_route": ["route_code", "route_label", "destination"],
+}
+
+
 def q_prepared_set(spark, d):
-    """The whole prepared set, written and loaded again: rows of each dataset."""
+    """The whole prepared set, written and loaded again: of each dataset the
+    rows, the sum of its numbers, the characters and the nulls of its texts."""
     folder = shared_scratch_path(spark, "prepared-set")
     prepare_to_storage(Prepared.of(spark, d).src, folder, AS_OF_YEAR)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
-        for name, df in pq.load_prepared_data(spark, folder).items()
-    ]
-    result = counts[0]
-    for frame in counts[1:]:
-        result = result.unionByName(frame)
-    return result
+
+    def content(name: str, df: DataFrame) -> DataFrame:
+        numbers, texts = PREPARED_NUMBERS[name], PREPARED_TEXTS[name]
+        total = sum((F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in numbers), F.lit(0.0))
+        return df.agg(
+            F.lit(name).alias("dataset"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.round(total + 1e-4, 0).alias("number_sum"),
+            sum((F.coalesce(F.sum(F.length(c).cast("long")), F.lit(0)) for c in texts), F.lit(0).cast("long")).alias("text_chars"),
+            sum((F.count(F.lit(1)) - F.count(c) for c in texts + numbers), F.lit(0).cast("long")).alias("nulls"),
+        )
+
+    return functools.reduce(DataFrame.unionByName, [content(n, df) for n, df in pq.load_prepared_data(spark, folder).items()])
 
 
 def in_order(df: DataFrame) -> DataFrame:
@@ -479,6 +521,42 @@ def q_route_bars(spark, d):
     return in_order(dashboard_views(p.tickets, p.flights)["top_routes"])
 
 
+def q_colocated_tickets(spark, d):
+    return Prepared.of(spark, d).colocated["tickets_enriched"]
+
+
+def q_colocated_flights(spark, d):
+    return Prepared.of(spark, d).colocated["flights_enriched"]
+
+
+def q_catalog_tables(spark, d):
+    """Given tables as tables of a catalog schema: rows by its statistics and
+    as read, and the columns that a column map picks."""
+    schema, location = f"aeromart_{uuid.uuid4().hex[:8]}", shared_scratch_path(spark, "catalog")
+    catalog.create_schema(spark, schema, location)
+    wanted = {"CUSTOMER": ["C_Name", "ABSENT", "C_CustKey"], "NATION": ["N_NAME"], "ORDERS": ["O_ORDERKEY", "O_CUSTKEY"]}
+    for name, df in read_tables(spark, d, [t.lower() for t in wanted]).items():
+        catalog.write_table(df, schema, name, location=f"{location}/{name}")
+        catalog.analyse_table(spark, schema, name)
+    rows = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"),
+            "row_count",
+            F.lit(catalog.estimate_table_rows(spark, schema, name)).cast("long").alias("row_estimate"),
+            F.lit(",".join(df.columns)).alias("picked"),
+        )
+        for name, df in catalog.read_project_tables(spark, schema, wanted).items()
+    ]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def q_month_slice(spark, d):
+    """A slice of the fact as it is written: by month, clustered by route."""
+    path = shared_scratch_path(spark, "by-month")
+    pq.write_fact(Prepared.of(spark, d).tickets, path)
+    return TICKET_SLICE.tickets(pq.read_dataset(spark, path))
+
+
 # ---------------------------------------------------------------- dashboard of a slice
 #: How the rows of each view are numbered (None: by no order), and which means are rounded here.
 VIEWS: dict[str, tuple[Callable[[], list] | None, dict[str, int]]] = {
@@ -643,6 +721,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_row_counts": q_table_row_counts,
 }
 
-_QUERIES |= {f"view_{name}": view_query(name) for name in VIEWS} | {"merged_base": q_merged_base}
+_QUERIES |= {f"view_{name}": view_query(name) for name in VIEWS} | {
+    "merged_base": q_merged_base,
+    "colocated_tickets": q_colocated_tickets,
+    "colocated_flights": q_colocated_flights,
+    "catalog_tables": q_catalog_tables,
+    "month_slice": q_month_slice,
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _registered(v) for k, v in _QUERIES.items()}

@@ -3,8 +3,6 @@ database) and the Spark types they have after cleaning."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The six source tables and the columns read from each.
 PROJECT_TABLES: dict[str, list[str]] = {
     "TICKETS": [
@@ -76,41 +74,3 @@ PROJECT_TABLES: dict[str, list[str]] = {
 SUMMARY_DIMENSION_TABLES: dict[str, list[str]] = {
     table: columns for table, columns in PROJECT_TABLES.items() if table not in {"TICKETS", "PASSENGERS"}
 }
-
-_S, _D, _I, _TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampNTZType()
-
-
-def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t, True) for n, t in fields])
-
-
-# Types after cleaning (snake_case names).
-CLEAN_SCHEMAS: dict[str, T.StructType] = {
-    "tickets": _struct(
-        ("ticket_id", _S), ("passenger_id", _S), ("flight_id", _S), ("route_code", _S),
-        ("departure", _TS), ("class", _S), ("price", _D), ("airport_tax", _D),
-        ("local_tax", _D), ("total_amount", _D),
-    ),
-    "routes": _struct(
-        ("route_code", _S), ("origin", _S), ("destination", _S), ("parent_route", _S),
-        ("leg_number", _I), ("distance", _D), ("flight_minutes", _D),
-    ),
-    "airports": _struct(
-        ("iata_code", _S), ("airport", _S), ("city", _S), ("country", _S), ("continent", _S),
-        ("timezone", _S), ("latitude", _D), ("longitude", _D), ("airport_tax", _D),
-    ),
-    "flights": _struct(
-        ("flight_id", _S), ("flight_leg", _S), ("frequency", _S), ("route_code", _S),
-        ("departure", _TS), ("arrival", _TS), ("airplane", _S), ("price_economy", _D),
-        ("price_premium", _D), ("price_business", _D),
-    ),
-    "airplanes": _struct(
-        ("aircraft_registration", _S), ("model", _S), ("seats_business", _D),
-        ("seats_premium", _D), ("seats_economy", _D), ("build_date", _TS),
-        ("fuel_gallons_hour", _D), ("maintenance_takeoffs", _D),
-        ("maintenance_flight_hours", _D), ("total_flight_distance", _D),
-    ),
-    "passengers": _struct(
-        ("id", _S), ("gender", _S), ("birth_date", _TS), ("country", _S), ("vipcard", _S),
-    ),
-}

@@ -2,8 +2,8 @@
 
 The reference pulls rows through one client connection in fetch batches.
 Here executors read in parallel: a table read can be split into
-``num_partitions`` ranges of a numeric or date column, each range one
-task with its own connection and ``fetchsize``.  Column selection and
+``num_partitions`` ranges of a column with about equally many rows each,
+every range one task with its own connection and ``fetchsize``.  Column selection and
 simple filters are pushed into the generated SQL by Spark; the two
 ticket summaries are pushed as whole SQL aggregates (``query`` option),
 so the database returns cells, not tickets.
@@ -14,14 +14,18 @@ into SQL text (SRC11); there are no user values in the generated SQL.
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import itertools
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from aeromart.functions.expressions import CABIN_SPELLINGS
 from aeromart.schemas import PROJECT_TABLES, SUMMARY_DIMENSION_TABLES
-from aeromart.sources.naming import normalize_column_names, validate_identifier
+from aeromart.sources.naming import check_tables, normalize_column_names, pick_columns, validate_identifier
 
 DEFAULT_FETCH_SIZE = 100_000
 
@@ -114,15 +118,47 @@ def estimate_table_rows(spark: SparkSession, source: JdbcSource, table: str) ->
 
 
 def select_columns(available: list[str], columns: list[str] | None) -> list[str]:
-    """Requested columns that exist, in request order; all, sorted, when
-    none are requested.  No match is an error."""
-    present = {validate_identifier(c) for c in available}
-    if columns is None:
-        return sorted(present)
-    selected = [validate_identifier(c) for c in columns if validate_identifier(c) in present]
-    if not selected:
-        raise ValueError("No requested columns found")
-    return selected
+    """The database's names of the columns to read (see ``pick_columns``)."""
+    return pick_columns([validate_identifier(c) for c in available], columns, "the table")
+
+
+def literal(value: object) -> str:
+    """A value that came from the database, as an SQL literal."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError(f"{value!r} can't be a split point")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value:%Y-%m-%d}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def split_points_sql(table: str, column: str, ranges: int) -> str:
+    """The first value of each of ``ranges`` tiles of equally many rows."""
+    col = f'"{validate_identifier(column)}"'
+    tiles = f"SELECT {col} AS K, NTILE({int(ranges)}) OVER (ORDER BY {col}) AS TILE FROM {table} WHERE {col} IS NOT NULL"
+    return f"SELECT MIN(K) AS SPLIT_POINT FROM ({tiles}) TILES GROUP BY TILE ORDER BY 1"
+
+
+def range_predicates(column: str, points: Iterable[object]) -> list[str]:
+    """Conditions that put every row into one range: values below the second
+    split point and nulls into the first, and so on.  Repeated points (a
+    value of several tiles' rows) make no empty range; no point, one range."""
+    col = f'"{validate_identifier(column)}"'
+    inner = [literal(p) for p in list(dict.fromkeys(points))[1:]]
+    if not inner:
+        return ["1 = 1"]
+    middle = [f"{col} >= {a} AND {col} < {b}" for a, b in itertools.pairwise(inner)]
+    return [f"({col} < {inner[0]} OR {col} IS NULL)", *middle, f"{col} >= {inner[-1]}"]
+
+
+def equal_depth_ranges(spark: SparkSession, source: JdbcSource, table: str, column: str, ranges: int) -> list[str]:
+    """SRC3: conditions of ranges with about equally many rows each; the
+    database finds the split points, of which there are at most ``ranges``."""
+    rows = read_query(spark, source, split_points_sql(source.qualified(table), column, ranges), 0).collect()
+    return range_predicates(column, [r[0] for r in rows])
 
 
 def read_table(
@@ -139,26 +175,28 @@ def read_table(
     """SRC1 + SRC3: a table read as parallel range scans.
 
     With ``partition_column`` and ``num_partitions`` each executor task
-    reads one range; without them the read is one task.  The column
-    selection is pushed into the generated SELECT.
+    reads one range: of equally many rows, by split points that the database
+    finds, so a skewed column does not end in one connection; or of equal
+    width, where both bounds are given.  Without them the read is one task.
+    The column selection is pushed into the generated SELECT.
     """
     available = list_columns(spark, source, table)
     selected = select_columns(available, columns)
-    r = reader(spark, source, fetch_size).option("dbtable", source.qualified(table))
-    if partition_column and num_partitions:
-        if lower_bound is None or upper_bound is None:
-            col = f'"{validate_identifier(partition_column)}"'
-            bounds = read_query(
-                spark, source, f"SELECT MIN({col}) AS LO, MAX({col}) AS HI FROM {source.qualified(table)}", 0
-            ).first()
-            lower_bound, upper_bound = bounds[0], bounds[1]
-        r = (
-            r.option("partitionColumn", validate_identifier(partition_column))
+    r = reader(spark, source, fetch_size)
+    if not (partition_column and num_partitions):
+        df = r.option("dbtable", source.qualified(table)).load()
+    elif lower_bound is None or upper_bound is None:
+        ranges = equal_depth_ranges(spark, source, table, partition_column, num_partitions)
+        df = r.jdbc(source.url, source.qualified(table), predicates=ranges)
+    else:
+        df = (
+            r.option("dbtable", source.qualified(table))
+            .option("partitionColumn", validate_identifier(partition_column))
             .option("lowerBound", str(lower_bound))
             .option("upperBound", str(upper_bound))
             .option("numPartitions", str(num_partitions))
+            .load()
         )
-    df = r.load()
     by_upper = {validate_identifier(c): c for c in df.columns}
     return normalize_column_names(df.select(*[by_upper[c] for c in selected]))
 
@@ -187,37 +225,28 @@ def ticket_summary_sql(schema: str, dialect: str = "db2") -> str:
     )
 
 
-def ticket_by_flight_sql(schema: str, by_day: bool = False) -> str:
-    """AGG13 as SQL text for the database; ``by_day`` keeps the earliest day
-    of departure, on which the rows can be read as ranges."""
+def ticket_by_flight_sql(schema: str, condition: str | None = None) -> str:
+    """AGG13 as SQL text for the database; ``condition`` on the flight is put
+    below the grouping, so each range groups only its own tickets."""
     table = f'"{validate_identifier(schema)}"."TICKETS"'
-    day = ', MIN(CAST("DEPARTURE" AS DATE)) AS "DEPARTURE_DAY"' if by_day else ""
+    where = f" WHERE {condition}" if condition else ""
     return (
-        f'SELECT "FLIGHT_ID", COUNT(*) AS "TICKETS_SOLD", SUM("TOTAL_AMOUNT") AS "TICKET_REVENUE"{day} '
-        f'FROM {table} GROUP BY "FLIGHT_ID"'
+        f'SELECT "FLIGHT_ID", COUNT(*) AS "TICKETS_SOLD", SUM("TOTAL_AMOUNT") AS "TICKET_REVENUE" '
+        f'FROM {table}{where} GROUP BY "FLIGHT_ID"'
     )
 
 
-def day_ranges(query: str, lower: object, upper: object, num_partitions: int) -> dict[str, str]:
-    """Reader options that read ``query`` as ranges of its DEPARTURE_DAY."""
-    return {
-        "dbtable": f"({query}) BY_DAY",
-        "partitionColumn": "DEPARTURE_DAY",
-        "lowerBound": str(lower),
-        "upperBound": str(upper),
-        "numPartitions": str(num_partitions),
-    }
+def ticket_by_flight_queries(schema: str, points: Iterable[object]) -> list[str]:
+    """One grouped query for each range of flights."""
+    return [ticket_by_flight_sql(schema, c) for c in range_predicates("FLIGHT_ID", points)]
 
 
-def read_by_day(
-    spark: SparkSession, source: JdbcSource, query: str, ranges: Mapping[str, object], fetch_size: int = DEFAULT_FETCH_SIZE
-) -> DataFrame:
-    table = source.qualified("TICKETS")
-    bounds = read_query(
-        spark, source, f'SELECT MIN(CAST("DEPARTURE" AS DATE)) AS LO, MAX(CAST("DEPARTURE" AS DATE)) AS HI FROM {table}', 0
-    ).first()
-    options = day_ranges(query, bounds[0], bounds[1], int(ranges["num_partitions"]))
-    return normalize_column_names(reader(spark, source, fetch_size).options(**options).load()).drop("departure_day")
+def read_by_flight(spark: SparkSession, source: JdbcSource, ranges: int, fetch_size: int = DEFAULT_FETCH_SIZE) -> DataFrame:
+    """AGG13 read as ranges of flights with about equally many tickets; every
+    ticket is grouped once, by the query of its flight's range."""
+    rows = read_query(spark, source, split_points_sql(source.qualified("TICKETS"), "FLIGHT_ID", ranges), 0).collect()
+    parts = [read_query(spark, source, q, fetch_size) for q in ticket_by_flight_queries(source.schema, [r[0] for r in rows])]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def require_ranges(tables: Iterable[str], partitioning: Mapping[str, dict]) -> None:
@@ -243,12 +272,9 @@ def read_project_tables(
     table_columns = table_columns or PROJECT_TABLES
     partitioning = partitioning or {}
     require_ranges(table_columns, partitioning)
-    available = set(list_tables(spark, source))
-    missing = sorted(set(table_columns) - available)
-    if missing:
-        raise RuntimeError(f"Missing required tables in {source.schema}: {', '.join(missing)}")
+    names = check_tables(table_columns, list_tables(spark, source), source.schema)
     return {
-        table.lower(): read_table(spark, source, table, columns, fetch_size, **partitioning.get(table, {}))
+        table.lower(): read_table(spark, source, names[table], columns, fetch_size, **partitioning.get(table, {}))
         for table, columns in table_columns.items()
     }
 
@@ -263,9 +289,9 @@ def read_project_summary_tables(
     database."""
     tables = read_project_tables(spark, source, SUMMARY_DIMENSION_TABLES, fetch_size, partitioning)
     tables["ticket_summary"] = read_query(spark, source, ticket_summary_sql(source.schema, source.dialect), fetch_size)
-    # one row a flight: as ranges of the day of departure where one is given for TICKETS
+    # one row a flight: as many ranges of flights as TICKETS is given
     ranges = (partitioning or {}).get("TICKETS")
     if not ranges:
         require_ranges(["TICKETS"], {})
-    tables["ticket_by_flight"] = read_by_day(spark, source, ticket_by_flight_sql(source.schema, by_day=True), ranges, fetch_size)
+    tables["ticket_by_flight"] = read_by_flight(spark, source, int(ranges["num_partitions"]), fetch_size)
     return tables

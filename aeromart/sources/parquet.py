@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeromart.schemas import PROJECT_TABLES, SUMMARY_DIMENSION_TABLES
-from aeromart.sources.naming import normalize_column_names, snake_case
+from aeromart.sources.naming import check_tables, normalize_column_names, pick_columns
 
+#: Partition column of facts that are laid out by month.
+MONTH_FOLDER = "by_month"
 PREPARED_REQUIRED = ["tickets_enriched", "flights_enriched"]
 
 
@@ -113,14 +115,7 @@ def read_table(
     select prunes the Parquet scan to those columns.
     """
     df = normalize_column_names(spark.read.parquet(table_path(spark, folder, table)))
-    available = set(df.columns)
-    if columns is None:
-        selected = sorted(available)
-    else:
-        selected = [snake_case(c) for c in columns if snake_case(c) in available]
-    if not selected:
-        raise ValueError(f"No requested columns found in {folder}/{table}")
-    return df.select(*selected)
+    return df.select(*pick_columns(df.columns, columns, f"{folder}/{table}"))
 
 
 def read_project_tables(
@@ -129,12 +124,9 @@ def read_project_tables(
     table_columns: Mapping[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """SRC4: every project table, lazily; a missing table is an error."""
-    table_columns = table_columns or PROJECT_TABLES
-    available = {t.lower() for t in list_tables(spark, folder)}
-    missing = sorted(t for t in table_columns if t.lower() not in available)
-    if missing:
-        raise RuntimeError(f"Missing required tables in {folder}: {', '.join(missing)}")
-    return {t.lower(): read_table(spark, folder, t.lower(), cols) for t, cols in table_columns.items()}
+    wanted = table_columns or PROJECT_TABLES
+    names = check_tables(wanted, list_tables(spark, folder), folder)
+    return {t.lower(): read_table(spark, folder, names[t], columns) for t, columns in wanted.items()}
 
 
 def read_project_summary_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -158,13 +150,42 @@ def load_prepared_data(spark: SparkSession, folder: str) -> dict[str, DataFrame]
         raise FileNotFoundError(
             "Missing prepared data files: " + ", ".join(f"{n}.parquet" for n in missing)
         )
-    return {name: spark.read.parquet(paths[name]) for name in sorted(paths)}
+    return {name: read_dataset(spark, paths[name]) for name in sorted(paths)}
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_fact(df: DataFrame, path: str) -> None:
+    """Write a tickets fact with a folder for each month, its rows clustered by
+    route inside, so that a slice lists only its months and skips the row
+    groups of other routes.
+
+    The ranges are of month, route and row hash: a route that holds most of a
+    month is cut too.  Every column stays in the files, in its place; the
+    folders' month is a column beside them.
+    """
+    keys = [c for c in ("departure_month", "route_code") if c in df.columns]
+    if "departure_month" not in keys:
+        return write_dataset(df, path)
+    spread = [*[F.col(k) for k in keys], F.xxhash64(*df.columns)]
+    clustered = df.withColumn(MONTH_FOLDER, F.col("departure_month")).repartitionByRange(*spread).sortWithinPartitions(*spread)
+    clustered.write.mode("overwrite").option("compression", "zstd").partitionBy(MONTH_FOLDER).parquet(path)
+    if not any(is_folder for _, is_folder in _fs_entries(df.sparkSession, path)):
+        write_dataset(df, path)  # no row, no folder: one file keeps the schema
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A written dataset.  Where it has folders by month, their name stands for
+    the month, so filters on it prune folders; columns keep their order."""
+    df = spark.read.parquet(path)
+    if MONTH_FOLDER not in df.columns:
+        return df
+    month = F.col(MONTH_FOLDER).cast("string").alias("departure_month")
+    return df.select(*[month if c == "departure_month" else F.col(c) for c in df.columns if c != MONTH_FOLDER])
+
+
 def write_prepared_datasets(datasets: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
     """SNK1: each dataset as ``<folder>/<name>.parquet`` (zstd, statistics
     on by default), overwriting.  Returns the written paths."""

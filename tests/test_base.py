@@ -34,8 +34,19 @@ def close(a, b):
     assert sorted(map(key, a.collect()), key=str) == sorted(map(key, b.select(*a.columns).collect()), key=str)
 
 
-def scans(df, table):
-    return df._jdf.queryExecution().optimizedPlan().toString().count(f"/{table}")
+def scans(df, path):
+    return df._jdf.queryExecution().executedPlan().toString().count(path)
+
+
+@pytest.fixture(scope="module")
+def written(spark, p):
+    """(tickets fact, its path, flights fact, its path)"""
+    out = []
+    for df, name in ((p.tickets, "tf"), (p.flights, "ff")):
+        path = shared_scratch_path(spark, name)
+        df.write.parquet(path)
+        out += [spark.read.parquet(path), path]
+    return out
 
 
 TICKET_MARTS = [
@@ -125,26 +136,21 @@ def test_findings_skip_null_numbers(spark):
 
 
 # ------------------------------------------------------------------ scans
-def test_key_findings_read_the_tickets_once(spark, tmp_path, p):
-    p.tickets.write.parquet(str(tmp_path / "tickets_fact"))
-    p.flights.write.parquet(str(tmp_path / "flights_fact"))
-    tickets, flights = (spark.read.parquet(str(tmp_path / n)) for n in ("tickets_fact", "flights_fact"))
+def test_key_findings_read_the_tickets_once(written):
+    tickets, tickets_path, flights, flights_path = written
     findings = summarize_key_findings(tickets, flights)
-    assert scans(findings, "tickets_fact") == 1 and scans(findings, "flights_fact") == 1
-    assert scans(overview_metrics(tickets, flights), "tickets_fact") == 1
-
-
-def test_dashboard_views_read_no_fact(spark, tmp_path, p):
-    p.tickets.write.parquet(str(tmp_path / "tickets_fact"))
-    p.flights.write.parquet(str(tmp_path / "flights_fact"))
-    tickets, flights = (spark.read.parquet(str(tmp_path / n)) for n in ("tickets_fact", "flights_fact"))
-    for name, view in dashboard_views(tickets, flights).items():
-        assert scans(view, "tickets_fact") == scans(view, "flights_fact") == 0, name
-    for name, options in filter_options(tickets, flights).items():
-        assert scans(options, "tickets_fact") == scans(options, "flights_fact") == 0, name
+    assert scans(findings, tickets_path) == 1 and scans(findings, flights_path) == 1
+    assert scans(overview_metrics(tickets, flights), tickets_path) == 1
+
+
+def test_dashboard_views_read_no_fact(written):
+    tickets, tickets_path, flights, flights_path = written
+    assert scans(tickets, tickets_path) == scans(flights, flights_path) == 1
+    for name, view in (dashboard_views(tickets, flights) | filter_options(tickets, flights)).items():
+        assert scans(view, tickets_path) == scans(view, flights_path) == 0, name
     base = ticket_base(tickets)
     text = base._jdf.queryExecution().executedPlan().toString()
-    assert scans(base, "tickets_fact") == 1 and text.count("Exchange") == 1 and "partial_sum" in text
+    assert scans(base, tickets_path) == 1 and text.count("Exchange") == 1 and "partial_sum" in text
 
 
 def test_a_mart_reads_its_own_key_set(spark, tmp_path, p):

@@ -1,8 +1,10 @@
 """Sources and sinks: names, identifiers, Parquet folders, CSV, JDBC SQL text, the job."""
 
+import datetime as dt
 import os
 import tempfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,9 +168,60 @@ def test_jdbc_reads_of_large_tables_need_ranges():
         jdbc.require_ranges(["TICKETS", "FLIGHTS", "ROUTES"], {})
     given = {"partition_column": "DEPARTURE", "num_partitions": 4}
     jdbc.require_ranges(["TICKETS", "ROUTES"], {"TICKETS": given})
-    options = jdbc.day_ranges(jdbc.ticket_by_flight_sql("S", by_day=True), "2026-01-01", "2026-12-31", 4)
-    assert options["partitionColumn"] == "DEPARTURE_DAY" and options["numPartitions"] == "4"
-    assert 'MIN(CAST("DEPARTURE" AS DATE)) AS "DEPARTURE_DAY"' in options["dbtable"] and options["dbtable"].endswith(") BY_DAY")
+
+
+def test_jdbc_ranges_have_equally_many_rows():
+    sql = jdbc.split_points_sql('"S"."TICKETS"', "departure", 8)
+    assert 'NTILE(8) OVER (ORDER BY "DEPARTURE")' in sql and 'WHERE "DEPARTURE" IS NOT NULL' in sql and "GROUP BY TILE" in sql
+    assert jdbc.range_predicates("ID", [1, 5, 9]) == ['("ID" < 5 OR "ID" IS NULL)', '"ID" >= 5 AND "ID" < 9', '"ID" >= 9']
+    # a hot value that is the first of several tiles makes one range
+    assert jdbc.range_predicates("ID", [1, 5, 5, 5, 9]) == jdbc.range_predicates("ID", [1, 5, 9])
+    assert jdbc.range_predicates("ID", []) == jdbc.range_predicates("ID", [7, 7]) == ["1 = 1"]
+    days = jdbc.range_predicates("DAY", [dt.date(2026, 1, 1), dt.date(2026, 2, 1)])
+    assert days == ["(\"DAY\" < DATE '2026-02-01' OR \"DAY\" IS NULL)", "\"DAY\" >= DATE '2026-02-01'"]
+    assert jdbc.literal("O'Hare") == "'O''Hare'" and jdbc.literal(dt.datetime(2026, 1, 2, 3)) == "TIMESTAMP '2026-01-02 03:00:00.000000'"
+    for bad in (None, True):
+        with pytest.raises(ValueError):
+            jdbc.literal(bad)
+    with pytest.raises(ValueError):
+        jdbc.range_predicates('X" OR 1=1 --', [1, 2])
+
+
+def test_every_value_is_in_one_range():
+    duck = duckdb.connect()
+    points = [2, 4, 4, 7]
+    conditions = jdbc.range_predicates("K", points)
+    values = duck.execute('SELECT UNNEST([NULL, -1, 2, 3, 4, 5, 6, 7, 8]) AS "K"').df()  # noqa: F841
+    for c in conditions:
+        assert duck.execute(f"SELECT count(*) FROM values WHERE {c}").fetchall()[0][0] > 0
+    total = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in conditions)
+    assert duck.execute(f"SELECT min({total}), max({total}) FROM values").fetchall() == [(1, 1)]
+
+
+def test_summaries_by_flight_are_cut_below_the_grouping():
+    queries = jdbc.ticket_by_flight_queries("s", ["F1", "F5", "F7"])
+    assert len(queries) == 3
+    for q in queries:
+        assert q.index(" WHERE ") < q.index(" GROUP BY ") and q.endswith('GROUP BY "FLIGHT_ID"')
+    assert "WHERE (\"FLIGHT_ID\" < 'F5' OR \"FLIGHT_ID\" IS NULL) GROUP BY" in queries[0]
+    # an empty table has no split point: one query, which finds no row
+    assert jdbc.ticket_by_flight_queries("s", []) == [jdbc.ticket_by_flight_sql("s", "1 = 1")]
+
+
+def test_range_queries_give_the_rows_of_the_whole(spark):
+    """The queries as SQL text over the test tables, in a database of this process."""
+    duck = duckdb.connect()
+    duck.execute('CREATE SCHEMA "S"')
+    duck.execute("""CREATE TABLE "S"."TICKETS" AS SELECT CASE WHEN l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'F0' ELSE 'F' || l_orderkey END AS "FLIGHT_ID",
+        l_extendedprice AS "TOTAL_AMOUNT" FROM '/root/testdata/sf0.001/lineitem.parquet'""")
+    points = [r[0] for r in duck.execute(jdbc.split_points_sql('"S"."TICKETS"', "FLIGHT_ID", 16)).fetchall()]
+    queries = jdbc.ticket_by_flight_queries("s", points)
+    assert 8 < len(queries) <= 16
+    parts = [sorted(map(str, duck.execute(q).fetchall())) for q in queries]
+    whole = sorted(map(str, duck.execute(jdbc.ticket_by_flight_sql("s")).fetchall()))
+    assert sorted(sum(parts, [])) == whole
+    sizes = [sum(r[1] for r in duck.execute(q).fetchall()) for q in queries]
+    assert sorted(sizes)[-2] < 3 * sorted(sizes)[len(sizes) // 2]  # but for the range of the hot flight
 
 
 def test_job_from_a_parquet_source_folder(spark):
