@@ -319,7 +319,10 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def _sketches(size: int):
+    """Size, sketch and text of each class that a task meets, once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
@@ -333,7 +336,10 @@ def _sketches(size: int):
                     ["c", "n", "sketch", "text"],
                 )
                 # another text may have the same id
-                own = [len(s) > 0 and class_id(s) == c for s, c in zip(sets, rows.column(0).to_pylist(), strict=True)]
+                own = []
+                for s, c in zip(sets, rows.column(0).to_pylist(), strict=True):
+                    own.append(len(s) > 0 and c not in met and class_id(s) == c)
+                    met.update([c] if own[-1] else [])
                 yield rows.filter(pa.array(own, pa.bool_()))
 
     return run
@@ -433,12 +439,20 @@ def _still_apart(apart: DataFrame, members: DataFrame, percent: int) -> DataFram
     """Candidate pairs (a, b) across components inside crowded blocks; a block
     with very many members is compared in parts of bounded size."""
     parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    rows = apart.join(members.select("c", "sketch").dropDuplicates(["c"]), "c")
+    rows = apart.join(members.select("c", "sketch"), "c")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return rows.select("key", "i", "j", "block", "c", "n", "root", "sketch").groupBy("key", "i", "j").applyInPandas(_compared(percent), "a long, b long").distinct()
 
 
+def one_of_each_class(members: DataFrame) -> DataFrame:
+    """One row of each class.  A repeated id brings its class once for each task
+    that reads it, and every join on classes would multiply these rows."""
+    place = F.row_number().over(Window.partitionBy("c").orderBy("copy"))
+    repeats = stored(members.select("c", "copy", place.alias("place")).where("place > 1").select("copy"), "jaccard-repeats")
+    return members if repeats.isEmpty() else stored(members.join(repeats, "copy", "left_anti"), "jaccard-members")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -461,7 +475,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     if wanted.count() <= WANTED_IDS:
         wanted = F.broadcast(wanted)
     one_each = docs.join(wanted, "doc_id").select("c", "text")
-    members = stored(one_each.mapInArrow(_sketches(size), "c long, n long, sketch binary, text string"), "jaccard-members")
+    members = one_each.mapInArrow(_sketches(size), "c long, n long, sketch binary, text string")
+    members = one_of_each_class(stored(members.withColumn("copy", F.monotonically_increasing_id()), "jaccard-members"))
 
     def check(pairs: DataFrame) -> DataFrame:
         left = members.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))

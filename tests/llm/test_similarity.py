@@ -48,6 +48,19 @@ def test_jaccard_join_finds_every_link(spark, crowd, monkeypatch):
     assert (None, len(sets[2]), None) in got or (None, len(sets[2]), 0) in got
 
 
+@pytest.mark.parametrize("crowd", [1, 8])
+def test_repeated_rows_of_near_copies_are_met_once(spark, crowd, monkeypatch):
+    """Hot ids: a thousand rows of each of two near copies, over many tasks."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    base = cases.words(100, 31)
+    near, far = " ".join([*base[:50], "changed", *base[51:]]), " ".join(cases.words(100, 32))
+    rows = [(i, t) for i, t in ((7, " ".join(base)), (9, near), (11, far)) for _ in range(1000)]
+    rows += [(9, far + " and more of it")] * 40  # an id with two texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    got = {(r.doc_id, r.component_id): r.n for r in jaccard.near_duplicates(docs).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {(7, 7): 1000, (9, 7): 1000, (9, 9): 40, (11, 9): 1000}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.near_duplicates(cases.empty(spark)).count() == 0
 
