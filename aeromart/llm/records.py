@@ -22,10 +22,13 @@ Texts are encoded by the ``tokenizers`` library.  Its pre-tokenizer never
 merges across word borders, so a task cuts texts into words (numpy, over
 whole chunks), has the library encode each distinct word once and joins
 the words' ids; a document with characters beyond the tables of the word
-cutter is handed to the library whole.
+cutter, or with the string of an added token, is handed to the library whole.
+So ids are those of the library's ``encode`` on the loaded file, which takes
+such a string for its token.
 
 Null texts count as empty (their record holds the end id alone); null ids
-come first; repeated ids keep a record each.
+come first; repeated ids keep a record each, by text hash.  Ranges are of
+id, text hash and row, so the rows of one id can be many shards.
 """
 
 from __future__ import annotations
@@ -152,9 +155,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added]  # the library cuts them out before words
         self.forget()
 
+    def with_special(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows of a chunk that hold the string of an added token."""
+        raw, at = data.tobytes(), []
+        for token in self.special:
+            place = raw.find(token)
+            while place >= 0:
+                at.append(place)
+                place = raw.find(token, place + 1)
+        return np.unique(np.searchsorted(offsets, np.array(at, np.int64), side="right") - 1)
+
     def forget(self) -> None:
         self.keys = np.zeros(TABLE, np.uint64)  # open addressing by word hash
         self.rows = np.full(TABLE, -1, np.int64)
@@ -245,7 +259,7 @@ class WordEncoder:
         else:
             ids, cuts = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for i in beyond.tolist():
+        for i in np.union1d(beyond, self.with_special(data, offsets)).tolist():
             out[i] = self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
         return out
 
@@ -296,8 +310,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: Callable[[], str
     parts = shuffle_partitions(docs.sparkSession)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id")
+        .withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(parts, "doc_id", "h", "row")
+        .sortWithinPartitions("doc_id", "h", "row")
+        .select("doc_id", "text")
     )
     schema = "shard long, name string, n_records long, n_tokens long, n_bytes long"
     return stored(ordered.mapInArrow(_written(folder, tokenizer_path, end_id), schema), "records-manifest")

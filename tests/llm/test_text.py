@@ -229,16 +229,14 @@ def test_bins_keep_the_order_and_hold_their_lengths(spark):
 
 
 # ------------------------------------------------------------------ records
-HARD = ["it's we've 'll x'd'S ''s 's's don't", "a  b   c\n\n d \n", "  lead", "\t\tx", "日本 한국 é'l 1½", "<|endoftext|> hi", "😀 smile's", "\n's", " ", None, ""]
+HARD = ["it's we've 'll x'd'S ''s 's's don't", "a  b   c\n\n d \n", "  lead", "\t\tx", "日本 한국 é'l 1½", "<|endoftext|> hi", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "|>", "😀 smile's", "\n's", " ", None, ""]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_records_round_trip_against_the_whole_encoder(spark, tokenizer, tmp_path):
@@ -257,6 +255,17 @@ def test_records_round_trip_against_the_whole_encoder(spark, tokenizer, tmp_path
     assert got[first][1] == len(ids)
 
 
+def test_rows_of_a_hot_id_are_many_shards(spark, tmp_path):
+    texts = [f"text {i % 40} of one id" for i in range(3000)]
+    docs = spark.createDataFrame([(5 if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    manifest = records.write_records(docs, records.make_folder(str(tmp_path / "hot")), tokenizer_path)
+    sizes = [r.n_records for r in manifest.collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 4 and max(sizes) < 1200
+    got = records.read_digests(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(got))
+
+
 def test_word_borders_on_random_texts(tokenizer):
     r = random.Random(1)
     letters = list("'srevltmd \n\ta1! ") + ["é", "½", "日", " ", "́"]
