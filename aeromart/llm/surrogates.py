@@ -12,7 +12,8 @@ the same type:
 * coreference: a surrogate hangs on the key and the entity's canonical form
   (digits alone, e-mail addresses in lower case, names word by word), so
   every mention of an entity gets the same one, poured into the format of
-  that mention;
+  that mention.  Once a text names a person with a title, later mentions
+  without it (the whole name, or one of its words) are that person's too;
 * distinctness: after each round of assignment the surrogates are checked
   globally.  Where several entities of a type drew the same one, or it is
   itself an entity of the corpus, all but the smallest entity (or all)
@@ -56,6 +57,7 @@ PATTERNS = {
 PATTERN = "(" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 NUMBER_TYPES = ("ssn", "phone", "card")
 FORM_DRAWS = 8  # draws of the entity's own form
+LEAST_NAME = 3  # letters of a name that is looked for without its title
 
 
 def _type_of(mention: Column) -> Column:
@@ -185,21 +187,33 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
             if(substr(raw, i, 1) rlike '[A-Z]', upper(substr(surrogate, i + {more}, 1)), substr(surrogate, i + {more}, 1))), ''))
         when kind = 'family' or kind like 'given-%' then if(length(raw) > 1 and raw = upper(raw), upper(surrogate), initcap(surrogate))
         else surrogate end""")
-    replaced = (
-        units.join(assigned, ["kind", "entity"])
-        .groupBy("mention", "head")
-        .agg(F.array_sort(F.collect_list(F.struct("at", poured.alias("s")))).alias("units"))
-        .select("mention", F.concat("head", F.array_join(F.col("units.s"), " ")).alias("s"))
+    drawn = units.join(assigned, ["kind", "entity"]).select("mention", "head", "at", "raw", "kind", poured.alias("s"))
+    whole = drawn.groupBy("mention", "head").agg(F.array_sort(F.collect_list(F.struct("at", "s", "raw", "kind"))).alias("units"))
+    whole = whole.withColumn("name", F.array_join("units.raw", " ")).withColumn("name_s", F.array_join("units.s", " "))
+    replaced = whole.select("mention", F.concat("head", "name_s").alias("s"))
+    # the same persons without their title: the whole name and its words
+    words = F.transform("units", lambda u: F.struct(u["raw"].alias("form"), u["s"].alias("s")))
+    forms = whole.where(F.col("units")[0]["kind"].rlike("^(family|given-)")).select(
+        "mention", F.explode(F.array_union(words, F.array(F.struct(F.col("name").alias("form"), F.col("name_s").alias("s"))))).alias("f")
     )
+    forms = forms.select("mention", "f.form", "f.s").where(F.length("form") >= LEAST_NAME)
+    own = ["doc_id", "text_hash"]
+    named = held.join(forms, "mention").groupBy(*own, F.col("form").alias("mention")).agg(F.min("s").alias("s"))
     by_row = (
-        held.join(replaced, "mention")
+        held.join(replaced, "mention").select(*own, "mention", "s", F.lit(None).cast("string").alias("form"))
+        .unionByName(named.withColumn("form", F.col("mention")))
         .groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("mention", "s"))).alias("replacements"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("mention", "s"))).alias("replacements"), F.collect_list("form").alias("forms"))
     )
     joined = docs.withColumn("text_hash", F.xxhash64("text")).join(by_row, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_hash") == F.col("k2")), "left")
-    pieces = F.split("text", PATTERN, -1)
-    inserted = F.concat(F.transform(found, lambda m: F.element_at("replacements", m)), F.array(F.lit("")))
+    # longer forms first; they are letters, apostrophes and hyphens, which mean themselves in a pattern
+    longest = F.array_join(F.array_sort("forms", lambda x, y: F.length(y) - F.length(x)), "|")
+    untitled = F.concat(F.lit(PATTERN[:-1] + r"|(?<!\p{L})(?:"), longest, F.lit(r")(?!\p{L}))"))
+    pattern = F.when(F.size("forms") > 0, untitled).otherwise(F.lit(PATTERN))
+    joined = joined.withColumn("found_", F.when(F.col("replacements").isNotNull(), F.regexp_extract_all("text", pattern, F.lit(1))))
+    pieces = F.split("text", pattern, -1)
+    inserted = F.concat(F.transform("found_", lambda m: F.element_at("replacements", m)), F.array(F.lit("")))
     text = F.when(F.col("replacements").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(pieces, inserted, lambda a, b: F.concat(a, b)), ""))
-    count = F.when(F.col("replacements").isNull(), F.lit(0)).otherwise(F.size(found))
+    count = F.when(F.col("replacements").isNull(), F.lit(0)).otherwise(F.size("found_"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return joined.select(*columns, count.cast("int").alias("n_entities"))

@@ -173,6 +173,27 @@ def test_longer_forms_keep_the_type(spark):
     assert re.fullmatch(r"[a-z]{34}@[a-z]\.com", drawn["email", 40]) and re.fullmatch("[а-я]+", drawn["family", 40])
 
 
+def test_later_mentions_without_the_title_are_the_same_person(spark):
+    texts = [
+        "Mr John Smith called. John Smith paid, then Smith left; John's car. Smithson and Johnny stayed.",
+        "Mrs Anna Weber-Klein and Dr Li. Weber-Klein, Anna! Li is short. Klein is not hers.",
+        "John Smith is named without a title here.",
+        "г-н Иванов пришёл. Иванов ушёл.",
+        None,
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in replace_entities(docs, "k").collect()}
+    first, last = re.match(r"Mr (\w+) (\w+) called", got[0].text).groups()
+    assert got[0].text == f"Mr {first} {last} called. {first} {last} paid, then {last} left; {first}'s car. Smithson and Johnny stayed."
+    assert {first, last} & {"John", "Smith"} == set() and got[0].n_entities == 4
+    anna, weber = re.match(r"Mrs (\w+) ([\w-]+) and", got[1].text).groups()
+    assert f". {weber}, {anna}! Li is short. Klein is not hers." in got[1].text
+    assert got[2].text == texts[2] and got[2].n_entities == 0
+    name = re.match(r"г-н (\w+) ", got[3].text)[1]
+    assert got[3].text == f"г-н {name} пришёл. {name} ушёл." and name != "Иванов"
+    assert got[4].text is None
+
+
 def test_surrogates_use_no_python(spark):
     df = replace_entities(spark.createDataFrame(PERSONAL, "doc_id long, text string"), "k")
     text = df._jdf.queryExecution().executedPlan().toString()
