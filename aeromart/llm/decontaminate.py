@@ -180,14 +180,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
     items = stored(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).mapInArrow(
             _items, "item_id long, size int, fingerprint long, plain array<long>, shingles array<long>"
-        ),
+        ).withColumn("item", F.monotonically_increasing_id()),  # an item without an id is one too
         "decontaminate-items",
     )
     total = items.agg(F.sum(F.size("plain"))).first()[0] or 0
     parts = max(1, -(-total // INDEX_SHINGLES))
     windows = None
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("size", F.explode("plain").alias("s")).distinct().toPandas()
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).select("size", F.explode("plain").alias("s")).distinct().toPandas()
         sizes = {int(m): np.sort(g.to_numpy(np.int64).view(np.uint64)) for m, g in rows.groupby("size")["s"]}
         found = docs.mapInArrow(_windows(spark.sparkContext.broadcast(sizes), percent), WINDOW_ROW) if sizes else spark.createDataFrame([], WINDOW_ROW)
         windows = found if windows is None else windows.unionByName(found)
@@ -203,28 +203,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
         return F.explode(F.array(*[F.struct(F.lit(n).alias("block"), block(n).alias("value")) for n in range(values)]))
 
     entered = (
-        items.select("item_id", "size", F.col("fingerprint").alias("item_fingerprint"), blocks(BLOCKS).alias("at"))
-        .select("item_id", "size", "item_fingerprint", "at.block", F.col("at.value").alias("near"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip"))
+        items.select("item", "size", F.col("fingerprint").alias("item_fingerprint"), blocks(BLOCKS).alias("at"))
+        .select("item", "size", "item_fingerprint", "at.block", F.col("at.value").alias("near"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip"))
         .withColumn("value", F.col("near").bitwiseXOR(F.col("flip")))
-        .select("item_id", "size", "item_fingerprint", "block", "value")
+        .select("item", "size", "item_fingerprint", "block", "value")
     )
     looked_up = windows.select("window_id", "size", "fingerprint", blocks(BLOCKS).alias("at")).select("window_id", "size", "fingerprint", "at.block", "at.value")
     pairs = (
         looked_up.join(entered, ["size", "block", "value"])
         .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= radius)
-        .select("window_id", "item_id")
+        .select("window_id", "item")
         .distinct()
     )
     both = F.size(F.array_intersect("shingles", "item_shingles"))
     alike = (
         pairs.join(windows, "window_id")
-        .join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id")
+        .join(items.select("item", "item_id", F.col("shingles").alias("item_shingles")), "item")
         .withColumn("both", both)
         .withColumn("either", F.size("shingles") + F.size("item_shingles") - F.col("both"))
         .where(F.col("both") * 100 >= F.col("either") * percent)
         .withColumn("similarity", F.col("both") / F.col("either"))
     )
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start_word", "size")
+    best = Window.partitionBy("doc_id", "item_id", F.when(F.col("item_id").isNull(), F.col("item"))).orderBy(F.desc("similarity"), "start_word", "size")
     return (
         alike.withColumn("place", F.row_number().over(best))
         .where("place = 1")

@@ -244,6 +244,14 @@ def test_decontamination_against_brute_force(spark):
     assert contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    one, two = " ".join(cases.words(40, 61)), " ".join(cases.words(40, 62))
+    docs = spark.createDataFrame([(1, one), (2, f"before it {two} after it"), (3, "something else"), (4, f"{one} {two}")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, one), (None, two), (7, one), (7, one)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(1, None), (1, 7), (2, None), (4, None), (4, None), (4, 7)], key=str)
+
+
 def test_decontamination_in_parts_finds_the_same(spark, monkeypatch):
     from aeromart.llm import decontaminate
 
