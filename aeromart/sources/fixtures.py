@@ -12,6 +12,8 @@ nation/region tables where a name is needed), so it grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def _code2(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), 2, "0"))
 
 
-def airports(t: dict[str, DataFrame]) -> DataFrame:
+def airports(t: Mapping[str, DataFrame]) -> DataFrame:
     # nation and region have 25 and 5 rows at every scale factor.
     nation, region = t["nation"], t["region"]
     joined = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey, "inner")
@@ -52,7 +54,7 @@ def airports(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def routes(t: dict[str, DataFrame]) -> DataFrame:
+def routes(t: Mapping[str, DataFrame]) -> DataFrame:
     key = F.col("p_partkey")
     return t["part"].select(
         _code("R", key).alias("route_code"),
@@ -66,7 +68,7 @@ def routes(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def tickets(t: dict[str, DataFrame]) -> DataFrame:
+def tickets(t: Mapping[str, DataFrame]) -> DataFrame:
     # The fact side is spread over the cores when its files give fewer
     # splits (a no-op on multi-file data); orders is the build side.
     li = t["lineitem"]
@@ -98,7 +100,7 @@ def tickets(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def flights(t: dict[str, DataFrame]) -> DataFrame:
+def flights(t: Mapping[str, DataFrame]) -> DataFrame:
     # Number of aircraft codes: suppliers + 2, so two codes never match.
     suppliers = t["supplier"].select(F.count(F.lit(1))).scalar()
     key = F.col("o_orderkey")
@@ -111,7 +113,7 @@ def flights(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def airplanes(t: dict[str, DataFrame]) -> DataFrame:
+def airplanes(t: Mapping[str, DataFrame]) -> DataFrame:
     key = F.col("s_suppkey")
     return t["supplier"].select(
         _code("A", key).alias("aircraft_registration"),
@@ -125,7 +127,7 @@ def airplanes(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def passengers(t: dict[str, DataFrame]) -> DataFrame:
+def passengers(t: Mapping[str, DataFrame]) -> DataFrame:
     customer, nation = t["customer"], t["nation"]
     joined = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey, "inner")
     key = F.col("c_custkey")
@@ -144,14 +146,27 @@ def passengers(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def airline_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The six source tables (lazy) for one test-data folder."""
-    t = read_tables(spark, sf_dir)
-    return {
-        "airports": airports(t),
-        "routes": routes(t),
-        "tickets": tickets(t),
-        "flights": flights(t),
-        "airplanes": airplanes(t),
-        "passengers": passengers(t),
-    }
+class LazyTables(Mapping):
+    """Tables that are opened when they are asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def airline_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """The six source tables (lazy) for one test-data folder; only the files
+    of those that are used are opened."""
+    t = LazyTables({n: lambda n=n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TPCH_TABLES})
+    views = {"airports": airports, "routes": routes, "tickets": tickets, "flights": flights, "airplanes": airplanes, "passengers": passengers}
+    return LazyTables({name: lambda view=view: view(t) for name, view in views.items()})
