@@ -78,7 +78,8 @@ class Prepared:
 
     DataFrames are immutable plans, so one instance per session and folder
     is shared by all queries (``Prepared.of``): the source views, the
-    size probes and the passenger check are done once, not per query.
+    passenger check, and the written bases and tables of the dashboard and of
+    the co-located facts are made once, not per query.
     """
 
     _instances: dict[tuple[str, int, str], "Prepared"] = {}

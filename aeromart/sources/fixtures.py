@@ -69,8 +69,6 @@ def routes(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def tickets(t: Mapping[str, DataFrame]) -> DataFrame:
-    # The fact side is spread over the cores when its files give fewer
-    # splits (a no-op on multi-file data); orders is the build side.
     li = t["lineitem"]
     orders = t["orders"].select("o_orderkey", "o_custkey")
     joined = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
