@@ -18,9 +18,10 @@ that of an abbreviation too.  Blank lines stay.  Rows that repeat a
 document (same id and text) get the same result.  Null texts stay null;
 other columns pass through (result columns of the same name are replaced).
 
-The earliest occurrence is an aggregate with map-side combine, and each
-unit meets it in a join that Spark can split, so a line that a third of all
-documents hold is no task's alone.
+The earliest occurrence is an aggregate with map-side combine.  Each
+unit meets it in a join on the digest, which moves one narrow row a unit; a
+line that a third of all documents hold is one key of that join, and its
+rows are split only where AQE's skew handling applies.
 """
 
 from __future__ import annotations

@@ -48,4 +48,4 @@ def test_decisions_are_on_rows_not_ids(spark):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
