@@ -17,7 +17,7 @@ from aeromart.llm.jaccard import near_duplicates
 from aeromart.llm.langid import learn_profiles, predict_language
 from aeromart.llm.linededup import remove_repeated_units
 from aeromart.llm.oracle import SQL as TWINS
-from aeromart.llm.packing import pack
+from aeromart.llm.packing import documents_of, pack
 from aeromart.llm.records import make_folder, read_digests, scratch_folder, write_records
 from aeromart.llm.suffixdedup import remove_repeated_spans
 from aeromart.llm.surrogates import replace_entities
@@ -89,8 +89,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document."""
-    return pack(read_table(spark, sf_dir, "documents"))
+    """Bucket, batch, slot and ids of every document, read back from the batches."""
+    return documents_of(stored(pack(read_table(spark, sf_dir, "documents"), tokenizer_path), "packing-batches"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

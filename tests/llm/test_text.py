@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from aeromart.llm import langid, packing, records, toxicity
 from aeromart.llm.queries import tokenizer_path
@@ -225,28 +226,57 @@ def test_boundaries_are_optimal():
         assert sum(int(tops[np.searchsorted(tops, x)]) - x for x in lengths) == padding_by_force(lengths, k)
 
 
-def test_batches_hold_the_budget_and_every_document(spark):
-    rows = packing.pack(cases.documents(spark), buckets=4, token_budget=300).collect()
-    assert len(rows) == len(cases.texts()) + 2
+def packed_rows(docs, **sizes):
+    return packing.documents_of(packing.pack(docs, tokenizer_path, **sizes)).collect()
+
+
+def check_batches(rows, budget):
+    """Places of packed rows: a slot for each, batches within the budget, at most
+    one of a bucket not full; long sequences alone and unpadded."""
     assert len({(r.batch_id, r.slot) for r in rows}) == len(rows)
     batches = {}
     for r in rows:
         batches.setdefault(r.batch_id, []).append(r)
         assert 0 <= r.padding == r.bucket_length - r.length
     for own in batches.values():
-        assert len({r.bucket for r in own}) == 1
-        assert len(own) * own[0].bucket_length <= 300 or len(own) == 1
+        assert len({(r.bucket, r.bucket_length) for r in own}) == 1
+        assert len(own) * own[0].bucket_length <= budget or (len(own) == 1 and own[0].padding == 0)
         assert sorted(r.slot for r in own) == list(range(len(own)))
-    full = {b: max(1, 300 // own[0].bucket_length) for b, own in batches.items()}
-    partly = [own[0].bucket for b, own in batches.items() if len(own) < full[b]]
-    assert len(partly) == len(set(partly))  # at most one batch a bucket isn't full
-    assert packing.pack(cases.empty(spark)).count() == 0
+    partly = [own[0].bucket for own in batches.values() if (len(own) + 1) * own[0].bucket_length <= budget]
+    assert len(partly) == len(set(partly))
+    assert sorted(batches) == list(range(len(batches)))
+
+
+def test_packed_rows_against_brute_force(spark):
+    budget, texts = 300, [(r.doc_id, r.text) for r in cases.documents(spark).collect()]
+    rows = packed_rows(cases.documents(spark), buckets=3, token_budget=budget)
+    check_batches(rows, budget)
+    whole = Tokenizer.from_file(tokenizer_path())
+    expected = []
+    for i, t in texts:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        expected.append((i, len(ids), zlib.crc32(",".join(map(str, ids)).encode())))
+    assert sorted(((r.doc_id, r.length, r.ids_crc32) for r in rows), key=str) == sorted(expected, key=str)
+    short = [n for _, n, _ in expected if n <= budget]
+    assert len(short) < len(expected)  # one is longer than the budget
+    assert sum(r.padding for r in rows) == padding_by_force(short, 3)
+    assert packed_rows(cases.empty(spark)) == []
+
 
+def test_packed_rows_of_one_hot_id(spark):
+    docs = spark.createDataFrame([(5 if i % 3 else i, "the same words " * (1 if i % 3 else i % 50)) for i in range(4000)], "doc_id long, text string").repartition(5)
+    rows = packed_rows(docs, buckets=4, token_budget=1000)
+    assert len(rows) == 4000
+    check_batches(rows, 1000)
+    sized = packing.tokenized(docs, tokenizer_path).select("row", "length")
+    shards = sized.select(F.pmod(F.xxhash64("row"), F.lit(4)).alias("shard")).groupBy("shard").count().collect()
+    assert max(r["count"] for r in shards) < 1200
 
-def test_bins_keep_the_order_and_hold_their_lengths(spark):
-    rows = spark.range(1, 5000).select("id", packing.bin_of(packing.F.col("id")).alias("b")).orderBy("id").collect()
-    assert all(r.id <= r.b <= r.id * (1 + 1 / 128) + 1 for r in rows)
-    assert all(x.b <= y.b for x, y in itertools.pairwise(rows)) and all(r.b == r.id for r in rows[:256])
+
+def test_packing_of_long_sequences_only(spark):
+    docs = spark.createDataFrame([(i, "word " * 50 * (i + 1)) for i in range(3)], "doc_id long, text string")
+    rows = packed_rows(docs, token_budget=20)
+    assert [(r.slot, r.padding) for r in rows] == [(0, 0)] * 3 and {r.batch_id for r in rows} == {0, 1, 2}
 
 
 # ------------------------------------------------------------------ records
@@ -255,8 +285,6 @@ HARD = ["it's we've 'll x'd'S ''s 's's don't", "a  b   c\n\n d \n", "  lead", "\
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    from tokenizers import Tokenizer
-
     return Tokenizer.from_file(tokenizer_path())
 
 
