@@ -19,9 +19,11 @@ document (same id and text) get the same result.  Null texts stay null;
 other columns pass through (result columns of the same name are replaced).
 
 The earliest occurrence is an aggregate with map-side combine.  Each
-unit meets it in a join on the digest, which moves one narrow row a unit; a
-line that a third of all documents hold is one key of that join, and its
-rows are split only where AQE's skew handling applies.
+unit meets it in a join on the digest.  A digest that stands for more than
+one in ``HEAVY`` of all units is heavy; there are fewer than ``HEAVY`` of
+these, whatever the corpus, so they are broadcast and their units stay where
+they are.  The other units move once, a narrow row each, and none of their
+digests is more than that share of the join.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from pyspark.sql import types as T
 from aeromart.llm.common import stored, text_chunks
 from aeromart.llm.hashing import U, alnum_word_bytes, made_once, mix, Powers, running, spaced_word_bytes, span_hashes, word_spans
 
+#: A digest of more than this part of all units is heavy; so fewer digests than this are.
+HEAVY = 10_000
 #: Added to the digests of short lines and of lines without words, which only meet their like.
 SHORT_LINE, NO_WORDS = U(0x8CB92BA72F3D8DD7), U(0xD6E8FEB86659FD93)
 
@@ -138,7 +142,7 @@ def _cut(text_at: int, spans_at: int):
     return run
 
 
-def remove_repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, min_words: int = 5, heavy: int = HEAVY) -> DataFrame:
     """``docs`` with repeated units cut from ``text``; adds ``removed`` (the
     cut spans: start, end in bytes of the original text, and the doc_id
     that keeps the unit) and ``n_removed``."""
@@ -146,8 +150,14 @@ def remove_repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     units = stored(keyed.mapInArrow(_units(min_words), "doc_id long, text_hash long, start long, end long, d1 long, d2 long"), "lines-units")
     place = F.struct("doc_id", "text_hash", "start")
-    repeated = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    later = units.join(repeated, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
+    repeated = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    is_heavy = F.col("n") * heavy > units.count()
+    digest = ["d1", "d2"]
+    # fewer than ``heavy`` rows; all parts below share the aggregate's one exchange
+    marked = units.join(F.broadcast(repeated.where(is_heavy).select(*digest, "first")), digest, "left")
+    rare = marked.where("first is null").drop("first").join(repeated.where(~is_heavy).select(*digest, "first"), digest)
+    found = marked.where("first is not null").unionByName(rare)
+    later = found.where(~place.eqNullSafe(F.col("first")))
     spans = later.groupBy(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.doc_id").alias("kept_in")))).alias("removed")
     )

@@ -1,6 +1,7 @@
 """Joins and deduplication against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -210,6 +211,15 @@ def test_line_dedup_of_short_lines_and_sentences(spark):
     assert {i: ([(s["start"], s["end"], s["kept_in"]) for s in r.removed], r.text) for i, r in got.items()} == expected
 
 
+@pytest.mark.parametrize("heavy", [1, 4, 10_000])
+def test_line_dedup_of_heavy_lines(spark, heavy):
+    r = random.Random(4)
+    rows = [(i, "\n".join(["This one line is everywhere.", *[f"Line {r.randint(0, 60)} of some of them." for _ in range(3)], f"Own {i}."])) for i in range(120)]
+    got = remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), heavy=heavy)
+    expected = lines_by_force(rows)
+    assert {x.doc_id: ([(s["start"], s["end"], s["kept_in"]) for s in x.removed], x.text) for x in got.collect()} == expected
+
+
 def test_decontamination_against_brute_force(spark):
     items = [(0, " ".join(cases.words(60, 2)) + "."), (1, " ".join(cases.words(30, 999))), (2, None), (3, ""), (4, "one two"), (5, " ".join(cases.words(120, 1)).upper()), (5, " ".join(cases.words(120, 1)))]
     docs = cases.documents(spark)
