@@ -94,19 +94,39 @@ def _encoded(tokenizer_path: Callable[[], str], end_id: int):
             encoder = made_once(f"words {tokenizer_path()}", lambda: WordEncoder(tokenizer_path()))
             for a, b, data, offsets in text_chunks(batch, "text"):
                 found = [np.append(ids, np.uint32(end_id)) for ids in encoder.encode(data, offsets)]
-                sizes = np.array([len(ids) for ids in found], np.int64)
-                flat = pa.array(np.concatenate(found).astype(np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, pa.array(sizes)], ["row", "doc_id", "ids", "length"])
+                wide = max(end_id, encoder.tokenizer.get_vocab_size()) >= 1 << 16
+                ids = pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in found], pa.binary())
+                sizes = pa.array([len(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, sizes], ["row", "doc_id", "ids", "length"])
+
+    return run
+
+
+def _padded(pad_id: int):
+    """Batches with their sequences' bytes turned into padded ids, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for i in range(given.num_rows):
+                row = given.slice(i, 1)
+                width, members = row.column("bucket_length")[0].as_py(), row.column("members").flatten()
+                lengths = members.field("length")
+                out = np.full((len(members), width), pad_id, np.int32)
+                for sequence, raw, n in zip(out, members.field("ids"), lengths.to_pylist(), strict=True):
+                    raw = raw.as_buffer()
+                    sequence[:n] = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4")
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (members.field("doc_id"), lengths, pa.array(out.ravel()))]
+                yield pa.RecordBatch.from_arrays([*row.columns[:3], *lists], [*row.schema.names[:3], "doc_ids", "lengths", "input_ids"])
 
     return run
 
 
 def tokenized(docs: DataFrame, tokenizer_path: Callable[[], str], end_id: int = 0) -> DataFrame:
     """(row, doc_id, ids, length) of ``docs`` (doc_id, text), stored; ``row``
-    is a key of the row."""
+    is a key of the row, ``ids`` are little-endian integers of two bytes
+    (vocabularies below 65,536) or four."""
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(keyed.mapInArrow(_encoded(tokenizer_path, end_id), "row long, doc_id long, ids array<int>, length long"), "packing-sequences")
+    return stored(keyed.mapInArrow(_encoded(tokenizer_path, end_id), "row long, doc_id long, ids binary, length long"), "packing-sequences")
 
 
 def assign(sized: DataFrame, buckets: int, token_budget: int) -> DataFrame:
@@ -157,8 +177,8 @@ def pack(docs: DataFrame, tokenizer_path: Callable[[], str], buckets: int = 16,
     batches = sequences.join(places, "row").groupBy("batch_id").agg(
         F.min("bucket").alias("bucket"), F.min("bucket_length").alias("bucket_length"), F.array_sort(F.collect_list(member)).alias("members")
     )
-    padded = F.transform("members", lambda m: F.concat(m["ids"], F.array_repeat(F.lit(pad_id), (F.col("bucket_length") - m["length"]).cast("int"))))
-    return batches.select("batch_id", "bucket", "bucket_length", F.col("members.doc_id").alias("doc_ids"), F.col("members.length").alias("lengths"), F.flatten(padded).alias("input_ids"))
+    schema = "batch_id long, bucket int, bucket_length long, doc_ids array<long>, lengths array<long>, input_ids array<int>"
+    return batches.mapInArrow(_padded(pad_id), schema)
 
 
 def documents_of(batches: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch, slot and ids of every document, read back from the batches."""
-    return documents_of(stored(pack(read_table(spark, sf_dir, "documents"), tokenizer_path), "packing-batches"))
+    return documents_of(pack(read_table(spark, sf_dir, "documents"), tokenizer_path))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
