@@ -17,12 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` under the session's shared checkpoint folder and read it
-    back: lineage is cut, and a lost executor re-reads files, not stages."""
+    back: lineage is cut, and a lost executor re-reads files, not stages.
+    ``codec`` is a Parquet compression other than the session's."""
     spark = df.sparkSession
     path = shared_scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

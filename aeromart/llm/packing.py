@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, tokenizer_path: Callable[[], str], end_id: int =
     is a key of the row, ``ids`` are little-endian integers of two bytes
     (vocabularies below 65,536) or four."""
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(keyed.mapInArrow(_encoded(tokenizer_path, end_id), "row long, doc_id long, ids binary, length long"), "packing-sequences")
+    return stored(keyed.mapInArrow(_encoded(tokenizer_path, end_id), "row long, doc_id long, ids binary, length long"), "packing-sequences", "zstd")
 
 
 def assign(sized: DataFrame, buckets: int, token_budget: int) -> DataFrame:
