@@ -1,23 +1,28 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 Vectors are cut in two halves, and each half has its own quantiser (k-means
-on a bounded sample).  A row belongs to the cell of its two nearest
-centroids.  A query goes through the cells in the order of the summed
-closeness of their centroids to its halves (here their inner products, as
-that is the measure), taking them off a heap, until the cells taken hold
-enough rows; all these rows are reranked by the exact inner product in
-double precision.
-
-Rows are grouped by the first half's centroid, cut into shards of bounded
-size by hash, so a cell with a third of all vectors is many groups.  A
-query is sent to a group once, with the list of its second-half
-centroids.  Every row is indexed.  Fitted: the quantisers, on about
-``sample`` rows.
-
-``share`` of all rows is what a query reranks.  How much is needed hangs on
-the data: on the test tables, whose vectors are close to random directions,
-half of the rows give a recall of 0.95 at 20 (0.64 at an eighth); on
-clustered vectors a few hundredths do.
+on a bounded sample; more centroids the more rows there are, so cells keep
+about ``CELL_ROWS`` rows up to ``MOST_CENTROIDS`` a half).  A row belongs to
+the cell of its two nearest centroids.  A query goes through the cells in the
+order of the summed closeness of their centroids to its halves (here their
+inner products, as that is the measure), taking them off a heap, until the
+cells taken hold enough rows; all these rows are reranked by the exact inner
+product in double precision.
+
+How many rows are enough is measured, not given: ``share`` of all rows is
+the least at which ``recall`` of the near neighbours of sampled queries,
+found by brute force in the fitting sample, stand in the cells taken.  As the
+sample is thinner than the table, its list of a query is shorter in
+proportion.  On the test tables, whose vectors are close to random
+directions, about half of the rows are needed; on clustered vectors a few
+hundredths are.
+
+Rows are grouped by the first half's centroid, cut into shards of about
+``SHARD_BYTES`` by row, so a cell with a third of all vectors, or one vector
+that stands a million times, is many groups.  A task holds one shard and
+streams the queries past it in batches, which are sent to a group once, with
+the list of their second-half centroids.  Every row is indexed.  Fitted: the
+quantisers and the share, on about ``sample`` rows, twice as many at most.
 
 Vectors that are null, zero, of another size than the most frequent one or
 hold null or non-finite components take no part.  Ties go to the smaller
@@ -33,14 +38,19 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeromart.llm.common import stored
+from aeromart.llm.common import shuffle_partitions, stored
 
-GROUP_ROWS = 20_000
+CELL_ROWS = 100
+MOST_CENTROIDS = 512  # a half; the table of cell sizes goes through the driver
+SHARD_BYTES = 16 << 20
+BLOCK_SCORES = 2 << 20  # scores a task holds at once
+TRIED_QUERIES = 500
+#: Products summed in another order differ by less than this part of the lengths' product.
+ROUNDING = 1e-9
 
 
 def kmeans(rows: np.ndarray, k: int, steps: int = 12, seed: int = 7) -> np.ndarray:
@@ -84,12 +94,54 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def needed_share(taken: np.ndarray, model: tuple[np.ndarray, np.ndarray], near: int, recall: float) -> float:
+    """Least part of the rows of ``taken`` that queries among them must take,
+    in the order of their cells, to hold ``recall`` of their ``near`` nearest."""
+    one, two = model
+    half = one.shape[1]
+    c1, c2 = closest(taken[:, :half], one), closest(taken[:, half:], two)
+    depths = []
+    for q in np.linspace(0, len(taken) - 1, min(TRIED_QUERIES, len(taken))).astype(int):
+        score = taken @ taken[q]
+        score[q] = -np.inf
+        best = np.argsort(-score, kind="stable")[: min(near, len(taken) - 1)]
+        closeness = (one @ taken[q, :half])[c1] + (two @ taken[q, half:])[c2]
+        # a cell is taken whole
+        depths.append(1 - np.searchsorted(np.sort(closeness), closeness[best]) / len(taken))
+    depths = np.sort(np.concatenate(depths)) if depths else np.array([])
+    return float(depths[int(np.ceil(recall * len(depths))) - 1]) if len(depths) else 1.0
+
+
+def best_of(queries: np.ndarray, own: np.ndarray, listed: np.ndarray, rows: np.ndarray, ids: np.ndarray, c2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, row's place, score) of the k best rows of each query
+    among those in cells it listed, without its own id."""
+    at = np.flatnonzero(listed.any(axis=0)[c2])
+    if len(at) < len(rows):
+        rows, ids, c2 = rows[at], ids[at], c2[at]
+    rough = queries @ rows.T
+    rough[~listed[:, c2] | (ids[None, :] == own[:, None])] = -np.inf
+    bar = np.full(len(queries), -np.inf)
+    if len(rows) > k:
+        bar = np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k]
+    slack = ROUNDING * np.sqrt((queries**2).sum(axis=1)) * np.sqrt((rows**2).sum(axis=1).max(initial=0))
+    q, r = np.nonzero((rough >= (bar - slack)[:, None]) & (rough > -np.inf))
+    score = np.empty(len(q))
+    step = max(1, BLOCK_SCORES // queries.shape[1])
+    for lo in range(0, len(q), step):
+        # row sums in one fixed order: equal vectors have equal scores
+        score[lo : lo + step] = (rows[r[lo : lo + step]] * queries[q[lo : lo + step]]).sum(axis=1)
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], at[r[first]], score[first]
+
+
 def nearest_neighbours(
-    vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, centroids: int = 64, share: float = 0.5, least: int = 2_000, column: str = "embedding"
+    vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, recall: float = 0.95, share: float | None = None, column: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score, query_hash): the k nearest found of each
     distinct row of ``vectors`` (vec_id and ``column``) for which ``is_query``
-    holds."""
+    holds.  ``share`` sets the part of the rows to rerank instead of measuring it."""
     spark = vectors.sparkSession
     v = F.col(column).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -101,9 +153,13 @@ def nearest_neighbours(
     size, n = int(by_size["size"]), int(by_size["count"])
     rows = rows.where(F.size("v") == size)
     half = max(1, size // 2)
-    step = max(1, n // sample)
-    taken = np.array(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").toPandas()["v"].tolist() or rows.limit(1).toPandas()["v"].tolist())
-    model = (kmeans(taken[:, :half], centroids), kmeans(taken[:, half:], centroids) if size > 1 else np.zeros((1, 0)))
+    # distinct rows by hash, so a row that stands often is at most one of the sample
+    hashed = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, n // sample))) == 0).distinct().limit(2 * sample)
+    taken = np.array(hashed.toPandas().sort_values("vec_id", kind="stable")["v"].tolist() or rows.limit(1).toPandas()["v"].tolist())
+    k_half = int(min(MOST_CENTROIDS, max(4, round((n / CELL_ROWS) ** 0.5))))
+    model = (kmeans(taken[:, :half], k_half), kmeans(taken[:, half:], k_half) if size > 1 else np.zeros((1, 0)))
+    if share is None:
+        share = needed_share(taken, model, max(1, -(-k * len(taken) // n)), recall)
     shared = spark.sparkContext.broadcast(model)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,67 +170,77 @@ def nearest_neighbours(
                 c = [pa.array(closest(m[:, :half], one).astype(np.int32)), pa.array(closest(m[:, half:], two).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), *c], ["vec_id", "v", "c1", "c2"])
 
-    indexed = stored(rows.mapInArrow(cells, "vec_id long, v array<double>, c1 int, c2 int"), "ann-index")
-    counts = indexed.groupBy("c1", "c2").count().toPandas()  # at most centroids x centroids rows
+    placed = rows.mapInArrow(cells, "vec_id long, v array<double>, c1 int, c2 int")
+    indexed = stored(placed.withColumn("row", F.monotonically_increasing_id()), "ann-index")
+    counts = indexed.groupBy("c1", "c2").count().toPandas()  # at most MOST_CENTROIDS squared rows
     sizes = np.zeros((len(model[0]), len(model[1])), np.int64)
     sizes[counts["c1"], counts["c2"]] = counts["count"]
-    wanted = max(least, int(share * n))
+    wanted = max(k, int(np.ceil(share * n)))
     plan = spark.sparkContext.broadcast(sizes)
-    shards = np.maximum(1, -(-sizes.sum(axis=1) // GROUP_ROWS)).tolist()
-    n_shards = F.element_at(F.array(*[F.lit(int(s)) for s in shards]), F.col("c1") + 1)
+    shard_rows = max(1, SHARD_BYTES // (8 * size))
+    n_shards = F.element_at(F.array(*[F.lit(int(max(1, -(-x // shard_rows)))) for x in sizes.sum(axis=1)]), F.col("c1") + 1)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, own = _matrix(batch.column("v"), size), batch.column("own").to_pylist()
-            left, right, out = m[:, :half] @ one.T, m[:, half:] @ two.T, []
-            for q, v in enumerate(m):
-                by_first: dict[int, list[int]] = {}
-                # more by the rows of the query's own id, which are no candidates
-                for i, j in traverse(left[q], right[q], plan.value, wanted + own[q]):
-                    by_first.setdefault(i, []).append(j)
-                out += [(batch.column("vec_id")[q].as_py(), batch.column("query_hash")[q].as_py(), v, i, js) for i, js in by_first.items()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int64()),
-                    pa.array([x[1] for x in out], pa.int64()),
-                    pa.array([x[2] for x in out], pa.list_(pa.float64())),
-                    pa.array([x[3] for x in out], pa.int32()),
-                    pa.array([x[4] for x in out], pa.list_(pa.int32())),
-                ],
-                ["query_id", "query_hash", "v", "c1", "cells"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                m, own = _matrix(batch.column("v"), size), batch.column("own").to_pylist()
+                left, right, at, first, lists = m[:, :half] @ one.T, m[:, half:] @ two.T, [], [], []
+                for q in range(len(m)):
+                    by_first: dict[int, list[int]] = {}
+                    # more by the rows of the query's own id, which are no candidates
+                    for i, j in traverse(left[q], right[q], plan.value, wanted + own[q]):
+                        by_first.setdefault(i, []).append(j)
+                    at += [q] * len(by_first)
+                    first += by_first.keys()
+                    lists += by_first.values()
+                asked = batch.select(["vec_id", "query_hash", "v"]).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*asked.columns, pa.array(first, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "query_hash", "v", "c1", "cells"]
+                )
 
     repeated = indexed.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
     queries = indexed.where(is_query).select("vec_id", "v").distinct().join(repeated, "vec_id", "left")
     queries = queries.select("vec_id", "v", F.xxhash64("v").alias("query_hash"), F.coalesce("own", F.lit(1)).alias("own"))
-    asked = queries.mapInArrow(probes, "query_id long, query_hash long, v array<double>, c1 int, cells array<int>")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1)))
-    stocked = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards).cast("int"))
-
-    def rerank(queries: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(stock) and len(queries):
-            stock = stock.sort_values(["c2", "vec_id"], kind="stable")
-            m, ids, c2 = np.array(stock["v"].tolist()), stock["vec_id"].to_numpy(), stock["c2"].to_numpy()
-            for query, vector, v, js in zip(queries["query_id"], queries["query_hash"], queries["v"], queries["cells"], strict=True):
-                lo, hi = np.searchsorted(c2, js), np.searchsorted(c2, js, side="right")
-                at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
-                at = at[ids[at] != query]
-                # row sums in one fixed order: equal vectors have equal scores
-                score = (m[at] * v).sum(axis=1)
-                if len(at) > k:
-                    bar = np.partition(score, len(score) - k)[len(score) - k]
-                    best = np.flatnonzero(score >= bar)
-                    best = best[np.lexsort((ids[at[best]], -score[best]))[:k]]
-                else:
-                    best = np.arange(len(at))
-                parts.append(pd.DataFrame({"query_id": query, "query_hash": vector, "vec_id": ids[at[best]], "score": score[best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "query_hash": [], "vec_id": [], "score": []})
-
-    found = asked.groupBy("c1", "shard").cogroup(stocked.groupBy("c1", "shard")).applyInPandas(rerank, "query_id long, query_hash long, vec_id long, score double")
+    asked = queries.repartition(shuffle_partitions(spark), "vec_id", "query_hash").mapInArrow(probes, "vec_id long, query_hash long, v array<double>, c1 int, cells array<int>")
+    asked = asked.select("c1", F.explode(F.sequence(F.lit(0), n_shards - 1)).alias("shard"), F.lit(True).alias("asks"), "vec_id", "query_hash", "v", F.lit(None).cast("int").alias("c2"), "cells")
+    stock = indexed.select(
+        "c1", F.pmod(F.xxhash64("row"), n_shards).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id",
+        F.lit(None).cast("long").alias("query_hash"), "v", "c2", F.lit(None).cast("array<int>").alias("cells"),
+    )
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_cells = len(shared.value[1])
+        group, held, shard = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).cast(pa.int32()).to_numpy(zero_copy_only=False) for c in ("c1", "shard", "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part, here = batch.slice(lo, hi - lo), tuple(keys[lo, :2])
+                m, ids = _matrix(part.column("v"), size), part.column("vec_id").to_numpy()
+                if here != group:
+                    group, held, shard = here, [], None
+                if not keys[lo, 2]:  # a group's rows come before its queries
+                    held.append((m, ids, part.column("c2").to_numpy(zero_copy_only=False).astype(np.int32)))
+                    continue
+                if not held:
+                    continue
+                shard = shard or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                cells_ = part.column("cells")
+                listed = np.zeros((len(m), n_cells), bool)
+                listed[np.repeat(np.arange(len(m)), cells_.value_lengths().to_numpy()), cells_.flatten().to_numpy()] = True
+                step = max(1, BLOCK_SCORES // len(shard[0]))
+                for start in range(0, len(m), step):
+                    block = slice(start, start + step)
+                    q, r, score = best_of(m[block], ids[block], listed[block], *shard, k)
+                    of = part.slice(start, step).select(["vec_id", "query_hash"]).take(pa.array(q))
+                    yield pa.RecordBatch.from_arrays([*of.columns, pa.array(shard[1][r]), pa.array(score)], ["query_id", "query_hash", "vec_id", "score"])
+
+    met = stock.unionByName(asked).repartition(shuffle_partitions(spark), "c1", "shard").sortWithinPartitions("c1", "shard", "asks")
+    found = met.mapInArrow(rerank, "query_id long, query_hash long, vec_id long, score double")
     # Spark takes the first k of each part before the window
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_hash")

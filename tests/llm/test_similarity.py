@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeromart.llm.ann import nearest_neighbours, traverse
+from aeromart.llm.ann import best_of, closest, kmeans, nearest_neighbours, needed_share, traverse
 from aeromart.llm.components import connected_components
 from aeromart.llm.decontaminate import contaminated
 from aeromart.llm import jaccard
@@ -279,7 +279,7 @@ def test_nearest_neighbours_recall_and_ties(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0] * 3), (5004, [1.0, None] * 8)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = {}
-    for row in nearest_neighbours(table, F.col("vec_id") % 20 == 0, least=600).collect():
+    for row in nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
     assert sorted(got) == list(range(0, 1500, 20))
     single = v.astype(np.float32).astype(float)
@@ -302,7 +302,7 @@ def test_nearest_neighbours_of_repeated_query_rows(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 2 + [(20, other.tolist())] + [(40, hot.tolist())] * 150
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     got = {}
-    for row in nearest_neighbours(table, F.col("vec_id") % 20 == 0, least=400).collect():
+    for row in nearest_neighbours(table, F.col("vec_id") % 20 == 0, share=1.0).collect():
         got.setdefault((row.query_id, row.query_hash), {})[row["rank"]] = row.vec_id
     asked = {(i, tuple(x)) for i, x in rows if i % 20 == 0}
     assert len(got) == len(asked) == 17 and all(sorted(x) == list(range(1, 21)) for x in got.values())
@@ -314,6 +314,42 @@ def test_nearest_neighbours_of_repeated_query_rows(spark):
     assert sorted((q, [f[k] for k in sorted(f)]) for (q, _), f in got.items()) == sorted((q, best(q, np.array(x))) for q, x in asked)
 
 
+def test_best_of_a_shard_against_brute_force():
+    r = np.random.default_rng(8)
+    rows, queries = r.normal(size=(400, 6)), r.normal(size=(30, 6))
+    rows[100:250] = rows[100]  # many equal scores
+    ids, own, c2 = r.permutation(400), r.integers(0, 400, 30), r.integers(0, 7, 400)
+    listed = r.random((30, 7)) < 0.4
+    listed[3] = False
+    q, row, score = best_of(queries, own, listed, rows, ids, c2, 9)
+    for i in range(30):
+        open_rows = [j for j in range(400) if listed[i, c2[j]] and ids[j] != own[i]]
+        expected = sorted(open_rows, key=lambda j: (-(rows[j] * queries[i]).sum(), ids[j]))[:9]
+        assert row[q == i].tolist() == expected and (score[q == i] == (rows[expected] * queries[i]).sum(axis=1)).all()
+
+
+def test_needed_share_is_the_least_that_gives_the_recall():
+    r = np.random.default_rng(3)
+    taken = np.repeat(r.normal(size=(8, 10)), 30, axis=0) + 0.2 * r.normal(size=(240, 10))
+    model = (kmeans(taken[:, :5], 6), kmeans(taken[:, 5:], 6))
+    c1, c2 = closest(taken[:, :5], model[0]), closest(taken[:, 5:], model[1])
+    sizes = np.zeros((len(model[0]), len(model[1])), int)
+    np.add.at(sizes, (c1, c2), 1)
+
+    def recall(wanted):
+        held = 0
+        for i, v in enumerate(taken):
+            score = taken @ v
+            score[i] = -np.inf
+            cells = set(traverse(model[0] @ v[:5], model[1] @ v[5:], sizes, wanted))
+            held += sum((c1[j], c2[j]) in cells for j in np.argsort(-score, kind="stable")[:5])
+        return held / 5 / len(taken)
+
+    share = needed_share(taken, model, 5, 0.9)
+    assert share < 0.5 and recall(share * 240) >= 0.9 > recall(share * 240 - sizes.max() - 1)
+    assert needed_share(taken[:1], model, 5, 0.9) == 1.0
+
+
 def test_cells_come_in_order_of_summed_closeness():
     r = np.random.default_rng(2)
     left, right = r.normal(size=6), r.normal(size=5)
