@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -195,6 +196,66 @@ def test_later_mentions_without_the_title_are_the_same_person(spark):
     assert got[4].text is None
 
 
+def mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_surrogates_of_more_forms(spark):
+    texts = [
+        "MR JOHN SMITH and Mr John Smith, then dr García-Lorca met García-Lorca's Mrs O'Brien. O'Brien left.",
+        "Mr 김철수 왔다. 김철수는 갔다. Mrs 王小明 Prof محمد",
+        "host 2001:db8::ff00:42:8329, FE80::1A2B too; 12:30:45, std::vector<int>, a::b and ::1 stay",
+        "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000, GB29NWBK60161331926819. GB29NWBK6016133ABCDEFG is none",
+        "call 030 1234567, 0171/234 5678, 01 23 45 67 89 or 8 (495) 123-45-67, not 0123 456 and 10.05.2024",
+        "jörg@exämple.de, Jörg@exämple.de, пётр@пример.рф",
+        "I miss Anna; MS Word; DR Congo; the frau Holle",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in replace_entities(docs, "k").collect()}
+    n = re.fullmatch(r"MR (\S+) (\S+) and Mr (\S+) (\S+), then dr (\w+-\w+) met (\w+-\w+)'s Mrs (\w+'\w+)\. (\w+'\w+) left\.", got[0].text)
+    assert n and (n[1], n[2]) == (n[3].upper(), n[4].upper()) and n[5] == n[6] != "García-Lorca" and n[7] == n[8] != "O'Brien"
+    assert all(part[0].isupper() and part[1:].islower() for name in (n[3], n[5], n[7]) for part in re.split("['-]", name))
+    n = re.fullmatch(r"Mr ([가-힣]{3}) 왔다\. ([가-힣]{3})는 갔다\. Mrs ([\u4e00-\u9fff]{3}) Prof ([\u0600-\u06ff]{4})", got[1].text)
+    assert n and n[1] == n[2] != "김철수" and n[3] != "王小明" and n[4] != "محمد"
+    n = re.fullmatch(r"host ([0-9a-f:]+), ([0-9A-F:]+) too; 12:30:45, std::vector<int>, a::b and ::1 stay", got[2].text)
+    assert n and n[1] != "2001:db8::ff00:42:8329" and [ipaddress.ip_address(x).version for x in n.groups()] == [6, 6]
+    assert re.sub("[0-9a-f]", "x", n[1]) == re.sub("[0-9a-f]", "x", "2001:db8::ff00:42:8329")
+    n = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), (GB\d\d[A-Z]{4}\d{14})\. GB29NWBK6016133ABCDEFG is none", got[3].text)
+    assert n and n[1].replace(" ", "") == n[2] != "DE89370400440532013000" and mod97(n[2]) == mod97(n[3]) == 1 and got[3].n_entities == 3
+    n = re.fullmatch(r"call (0\d\d \d{7}), (0\d{3}/\d{3} \d{4}), (0\d(?: \d\d){4}) or (\d \(\d{3}\) \d{3}-\d\d-\d\d), not 0123 456 and 10\.05\.2024", got[4].text)
+    assert n and got[4].n_entities == 4 and not set(n.groups()) & {"030 1234567", "0171/234 5678", "01 23 45 67 89", "8 (495) 123-45-67"}
+    n = re.fullmatch(r"([a-z]{4}@[a-z]{7}\.de), ([A-Z][a-z]{3}@[a-z]{7}\.de), ([а-я]{4}@[а-я]{6}\.рф)", got[5].text)
+    assert n and n[1] == n[2].lower()
+    assert got[6].text == texts[6] and got[6].n_entities == 0
+
+
+def test_surrogates_against_brute_force(spark):
+    """The rows of the query: all but the entities as it was, each entity in
+    its own format, equal entities alike, different ones apart."""
+    docs = cases.documents(spark).select("doc_id", "text").collect()
+    docs = [tuple(r) for r in docs] + [(9000 + i, t) for i, (_, t) in enumerate(PERSONAL)]
+    docs += [(9100 + i, f"call +1 (017) 555-{1000 + i % 40}, ssn {100 + i % 30}-11-2222 of user{i % 25}@mail{i % 5}.org at 10.0.{i % 20}.7") for i in range(120)]
+    rows = replace_entities(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()
+    pattern = regex.compile(re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", PATTERN), regex.V1)
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.doc_id, []).append(r)
+    forward, back = {}, {}
+    for doc_id, text in docs:
+        found = [m.group() for m in pattern.finditer(text or "")]
+        pieces = pattern.sub("\0", text or "").split("\0")
+        shape = re.compile("(.+?)".join(map(re.escape, pieces)), re.S)
+        outs = [r for r in by_id[doc_id] if (r.text is None) == (text is None) and shape.fullmatch(r.text or "") and r.n_entities >= len(found)]
+        assert outs, text
+        if len(outs) > 1 or any(regex.match(r"\p{L}+\.? \p{L}", f) for f in found):
+            continue  # names: the tests above
+        for was, now in zip(found, shape.fullmatch(outs[0].text or "").groups(), strict=True):
+            a, b = (x.lower() if "@" in x else re.sub(r"\D", "", x) if not re.search("[A-Za-z]|\\d\\.\\d", x) else x for x in (was, now))
+            assert forward.setdefault(a, b) == b and back.setdefault(b, a) == a and a != b
+            assert "." in was and "@" not in was or re.sub(r"\w", "x", was) == re.sub(r"\w", "x", now)
+    assert len(forward) >= 110 and not set(forward) & set(back)
+
+
 def test_surrogates_use_no_python(spark):
     df = replace_entities(spark.createDataFrame(PERSONAL, "doc_id long, text string"), "k")
     text = df._jdf.queryExecution().executedPlan().toString()
