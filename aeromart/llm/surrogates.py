@@ -62,10 +62,11 @@ _CAPITALS = rf"\p{{Lu}}(?:\p{{Lu}}++(?:{_JOINT}\p{{Lu}}{{2,}}+)*+|(?:{_JOINT}\p{
 _SPACED = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}&&[\p{L}\p{M}]]{2,}+"
 _CASELESS = rf"{_SPACED}(?: {_SPACED})?|\p{{Lo}}[\p{{Lo}}\p{{M}}]++"
 _HEX = "[0-9A-Fa-f]{1,4}"
-_MAIL = r"A-Za-z0-9\p{IsLatin}\p{IsCyrillic}\p{IsGreek}"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"  # Latin, Greek and Cyrillic as ranges, which are tested faster than scripts
+_MAIL = _LETTERS + "0-9"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]++@(?:[{_MAIL}-]+\.)+[\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsGreek}}]{{2,}}",
+    "email": rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]++@(?:[{_MAIL}-]+\.)+[{_LETTERS}]{{2,}}",
     "secret": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,}+|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": rf"(?<![0-9A-Za-z_:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z_:])",
@@ -79,7 +80,9 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_WORD}(?: {_WORD})?|{_CASELESS})|(?:{_CAPITAL_TITLE})\.? {_CAPITALS}(?: {_CAPITALS})?)",
 }
-PATTERN = "(" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# where none of them starts: inside a word, at a space or a stop
+_NOWHERE = r"(?!(?<=[A-Za-z])[A-Za-z]|(?<=[а-яё])[а-яё]|[\s,;:!?\"'<>=])"
+PATTERN = f"({_NOWHERE}(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + "))"
 NUMBER_TYPES = ("ssn", "phone", "card")
 FORM_DRAWS = 8  # draws of the entity's own form
 LEAST_NAME = 3  # letters of a name that is looked for without its title; two in scripts without case
@@ -249,7 +252,9 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     docs = docs.drop("n_entities")
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(1))
     row_key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    held = stored(docs.where(F.col("text").rlike(PATTERN)).select(*row_key, F.explode(F.array_distinct(found)).alias("mention")).where(_is_entity(F.col("mention"))).distinct(), "surrogates-mentions")
+    # outer, as Spark would else run the pattern once more to test for an empty list
+    mentions = docs.select(*row_key, F.explode_outer(F.array_distinct(found)).alias("mention"))
+    held = stored(mentions.where(F.col("mention").isNotNull() & _is_entity(F.col("mention"))).distinct(), "surrogates-mentions")
     units = stored(_mention_units(held.select("mention").distinct()), "surrogates-units")
     assigned = assign_surrogates(units, key)
     # poured into the mention's format; what a longer form has more stands at its end (e-mail: in front)
