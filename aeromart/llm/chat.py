@@ -1,20 +1,21 @@
 """Chat formatting by prefix targets: every assistant turn is an example of
 its own, with all turns before it as context and only its text trainable.
 
-The examples of a conversation are prefixes of one another, so their texts
-written out would grow with the square of its turns.  What is stored is each
-turn's piece of the template once, with its place in the conversation's
-formatted text:
+A turn is a piece of the template:
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
 
-``formatted_turns`` returns these pieces; ``examples`` returns a row for
-each example, that is, for each assistant turn: its text is the formatted
-text of its conversation up to ``n_chars``, and the characters from
-``loss_start`` to ``loss_end`` are trainable.  Turns after the last
-assistant turn are in an example without a trainable character, so every
-turn is in one.  ``example_texts`` writes the texts out, for whoever loads
-them; ``read_conversations`` gets turns and targets back from the pieces.
+``formatted_examples`` writes a row for each example, that is, for each
+assistant turn: its text is all pieces of its conversation up to that turn,
+and the characters from ``loss_start`` to ``loss_end`` are trainable.  Turns
+after the last assistant turn are in an example without a trainable
+character, so every turn is in one.  ``read_example_digests`` gets turns and
+targets back from the texts.
+
+``formatted_turns`` returns the pieces alone, each once, with their place in
+the conversation's formatted text; ``examples`` has the sizes and targets
+that follow from them, ``example_texts`` the texts, and
+``read_conversations`` and ``read_digests`` read turns and targets back.
 
 Escapes: in role and text a backslash is doubled and ``<|`` becomes
 ``<\\|``, so no text can hold a control string; a line end in a role becomes
@@ -25,8 +26,10 @@ Repeated rows are turns of their own.  A null role or text is an empty one.
 Rows without conv_id are one conversation, with a null id.  Other columns
 are not read.  An empty table has no pieces and no examples.
 
-A conversation is read in order by one task, batch by batch: its turns are
-never held together, however many they are.
+A conversation is read in order by one task, batch by batch.  The pieces
+are placed and read without holding its turns together; the examples, which
+are prefixes of one another, need its text so far, and their size grows with
+the square of its turns, as the method has it.
 """
 
 from __future__ import annotations
@@ -46,7 +49,12 @@ TRAINED_ROLE = "assistant"
 ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 #: a piece of the template; role and text are escaped
 PIECE = re.compile(re.escape(START) + r"(.*?)\n(.*)" + re.escape(END), re.DOTALL)
+#: pieces end to end; no escaped text holds a control string
+PIECES = re.compile(re.escape(START) + r".*?" + re.escape(END), re.DOTALL)
 TURNS = "conv_id long, seq long, example long, trained boolean, piece string, char_start long, loss_start long, loss_end long"
+EXAMPLES = "conv_id long, example long, n_turns long, text string, loss_start long, loss_end long"
+#: characters of the texts that are handed on together (a longer one is alone)
+BATCH_CHARS = 1 << 22
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, n_examples long, loss_chars long, loss_sha256 string, formatted_chars long, stored_chars long"
 
 
@@ -93,6 +101,45 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
     return pieces.mapInArrow(_placed, TURNS)
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples of pieces that come in order, with their texts."""
+    schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in EXAMPLES.split(", "))])
+    rows, size = [], 0
+
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def add(*row) -> None:
+        nonlocal size
+        rows.append(row)
+        size += len(row[3])
+
+    conv, example, n, text, unended = None, 0, 0, "", False
+    for batch in batches:
+        for own, seq, k, piece, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "example", "piece", "loss_start", "loss_end")), strict=True):
+            if seq == 0:
+                if unended:
+                    add(conv, example, n, text, None, None)
+                conv, text = own, ""
+            example, n, text, unended = k, seq + 1, text + piece, lo is None
+            if not unended:
+                add(conv, example, n, text, lo, hi)
+            if size > BATCH_CHARS:
+                yield flushed()
+                rows, size = [], 0
+    if unended:
+        add(conv, example, n, text, None, None)
+    yield flushed()
+
+
+def formatted_examples(conversations: DataFrame) -> DataFrame:
+    """A row for each example of ``conversations`` (conv_id, turn, role, text):
+    its number in the conversation, the turns its ``text`` has, the text
+    itself, and the place of its trainable characters in it (null in the
+    example of turns that no assistant turn follows)."""
+    return formatted_turns(conversations).mapInArrow(_prefixes, EXAMPLES)
+
+
 def examples(turns: DataFrame) -> DataFrame:
     """The examples of ``formatted_turns``: conv_id, example, the number of
     turns and of characters that its text has, and its trainable characters
@@ -156,6 +203,36 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([digest.row()])
 
 
+def _digested_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n, _ in (x.split() for x in DIGESTS.split(", "))])
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def row() -> tuple:
+        turns, n = hashlib.sha256(), 0
+        for role, own in (PIECE.fullmatch(p).groups() for p in PIECES.findall(text)):  # the last example has all turns
+            turns.update(f"{unescaped(role)}\n{unescaped(own)}\n".encode())
+            n += 1
+        return conv, n, turns.hexdigest(), n_examples, loss_chars, loss.hexdigest(), formatted, len(text)
+
+    conv, text, loss, loss_chars, n_examples, formatted = None, None, hashlib.sha256(), 0, 0, 0
+    for batch in batches:
+        found = []
+        for own, now, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss_start", "loss_end")), strict=True):
+            if text is None or own != conv:
+                found += [] if text is None else [row()]
+                conv, loss, loss_chars, n_examples, formatted = own, hashlib.sha256(), 0, 0, 0
+            text, n_examples, formatted = now, n_examples + 1, formatted + len(now)
+            if lo is not None:
+                trained = unescaped(now[lo:hi])
+                loss.update(trained.encode())
+                loss_chars += len(trained)
+        yield rows(found)
+    if text is not None:
+        yield rows([row()])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [PIECE.fullmatch(p).groups() for p in batch.column("piece").to_pylist()]
@@ -177,3 +254,12 @@ def read_digests(turns: DataFrame) -> DataFrame:
     characters of all their texts (``formatted_chars``) and of the pieces."""
     ordered = turns.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(_digested, DIGESTS)
+
+
+def read_example_digests(examples: DataFrame) -> DataFrame:
+    """As ``read_digests``, read from the texts of ``formatted_examples``: the
+    targets from each, the turns from a conversation's last, and
+    ``formatted_chars`` as the characters of all; ``stored_chars`` are those
+    of the last."""
+    ordered = examples.repartition(shuffle_partitions(examples.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.mapInArrow(_digested_examples, DIGESTS)

@@ -113,10 +113,10 @@ PLANTED_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from its formatted turns."""
+    """Digests of every conversation, read back from the texts of its examples."""
     given = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED_TURN), (-1, 1, "assistant", PLANTED_TURN)], given.schema)
-    return chat.read_digests(stored(chat.formatted_turns(given.unionByName(planted)), "chat-turns"))
+    return chat.read_example_digests(stored(chat.formatted_examples(given.unionByName(planted)), "chat-examples", "zstd"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -87,3 +87,35 @@ def test_digests_equal_plain_python(spark):
 def test_nothing_to_format(spark):
     turns = chat.formatted_turns(given(spark, []))
     assert turns.count() == chat.examples(turns).count() == chat.read_digests(turns).count() == 0
+
+
+def test_examples_are_written_out_with_all_before_their_target(spark):
+    pieces, expected = {}, []
+    for r in sorted(chat.formatted_turns(given(spark)).collect(), key=lambda r: (str(r.conv_id), r.seq)):
+        pieces.setdefault(r.conv_id, []).append(r.piece)
+    for conv, own in by_conversation().items():
+        trained = [i for i, (role, _) in enumerate(own) if role == "assistant"]
+        ends = trained + ([len(own) - 1] if len(own) - 1 not in trained else [])
+        expected += [(conv, k, end + 1, "".join(pieces[conv][: end + 1]), own[end][1] if end in trained else None) for k, end in enumerate(ends)]
+    got = []
+    for r in chat.formatted_examples(given(spark)).collect():
+        got.append((r.conv_id, r.example, r.n_turns, r.text, None if r.loss_start is None else chat.unescaped(r.text[r.loss_start : r.loss_end])))
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_digests_of_the_texts_equal_those_of_the_pieces(spark):
+    written = chat.read_example_digests(chat.formatted_examples(given(spark)).repartition(3))
+    assert sorted(written.collect(), key=str) == sorted(chat.read_digests(chat.formatted_turns(given(spark))).collect(), key=str)
+    assert chat.read_example_digests(chat.formatted_examples(given(spark, []))).count() == 0
+
+
+def test_the_query_stores_the_text_of_every_example(spark, tmp_path, monkeypatch):
+    from aeromart.llm import queries
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = []
+    monkeypatch.setattr(queries, "stored", lambda df, *a: kept.append(df) or df)
+    got = {r.conv_id: r for r in queries.op13_chat_format(spark, str(tmp_path)).collect()}
+    texts = {(r.conv_id, r.example): r.text for r in kept[0].collect()}
+    assert texts[1, 1].startswith(texts[1, 0]) and len(texts[1, 0]) + len(texts[1, 1]) == got[1].formatted_chars
