@@ -27,6 +27,7 @@ row by row.  Without labels of both kinds every score is the base rate.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeromart.llm.common import stored, text_chunks
-from aeromart.llm.hashing import U, running, span_hashes, spaced_word_bytes, word_spans
+from aeromart.llm.hashing import U, made_once, running, span_hashes, spaced_word_bytes, word_spans
 
 DECAY = 0.85
 SHARPNESS = 3.0
@@ -170,6 +171,11 @@ class Model:
         firsts = np.cumsum([0] + [len(pieces(w)) for w in words])[:-1]
         return np.maximum.reduceat(values, firsts) if len(values) else np.zeros(0)
 
+    def name(self) -> str:
+        """Digest of what a word's margin follows from."""
+        parts = [*self.landmarks, np.asarray(self.weights, float).tobytes(), repr(float(self.bias)).encode()]
+        return hashlib.sha256(b"".join(len(p).to_bytes(8, "little") + p for p in parts)).hexdigest()
+
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.asarray(margin, float) + self.offset)))
 
@@ -254,11 +260,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def known_words(name: str) -> dict:
+    """Hashes, in order, and margins of the words that this Python worker has
+    met under the model ``name``, in whichever task; another model's go."""
+    known = made_once("toxicity words", dict)
+    if known.get("model") != name:
+        known.update(model=name, hashes=np.zeros(0, U), values=np.zeros(0))
+    return known
+
+
 def _margins(model: Model):
     """Replace each text by its margin; the model is a few kilobytes."""
+    name = model.name()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_hash, known_value = np.zeros(0, U), np.zeros(0)
+        known = known_words(name)
+        known_hash, known_value = known["hashes"], known["values"]
         for batch in batches:
             at = batch.schema.get_field_index("text")
             found = []
@@ -275,6 +292,7 @@ def _margins(model: Model):
                     known_hash = np.concatenate([known_hash, new])
                     order = np.argsort(known_hash, kind="stable")
                     known_hash, known_value = known_hash[order], np.concatenate([known_value, values])[order]
+                    known.update(hashes=known_hash, values=known_value)
                     place = np.searchsorted(known_hash, hashes)
                 margin = np.full(len(offsets) - 1, FLOOR)
                 if len(hashes):

@@ -89,6 +89,24 @@ def toxic_sample(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
+def test_a_worker_scores_a_word_once_for_all_its_tasks(monkeypatch):
+    import pyarrow as pa
+
+    def model(landmark, weight):
+        return toxicity.Model([landmark], np.array([weight]), -1.0)
+
+    def margins(of, *texts):
+        batches = toxicity._margins(of)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+        return [v for b in batches for v in b.column("margin").to_pylist()]
+
+    asked, plain = [], toxicity.Model.margins
+    monkeypatch.setattr(toxicity.Model, "margins", lambda self, words: asked.extend(words) or plain(self, words))
+    first = margins(model(b"rotten", 1.5), "rotten apples", "green apples")
+    assert margins(model(b"rotten", 1.5), "apples rotten", "apples green", "ripe")[:2] == first and asked.count(b"apples") == 1 and asked.count(b"ripe") == 1
+    assert margins(model(b"rotten", 0.5), "rotten apples") != first[:1]  # another model's words are its own
+    assert margins(model(b"rotten", 1.5), "rotten apples") == first[:1]
+
+
 def test_toxicity_is_learned_and_tolerates_changes(spark):
     model = toxicity.learn_toxicity(toxic_sample(spark))
     clean = " ".join(cases.words(25, 5))
