@@ -476,7 +476,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         wanted = F.broadcast(wanted)
     one_each = docs.join(wanted, "doc_id").select("c", "text")
     members = one_each.mapInArrow(_sketches(size), "c long, n long, sketch binary, text string")
-    members = one_of_each_class(stored(members.withColumn("copy", F.monotonically_increasing_id()), "jaccard-members"))
+    members = one_of_each_class(stored(members.withColumn("copy", F.monotonically_increasing_id()), "jaccard-members", "zstd"))
 
     def check(pairs: DataFrame) -> DataFrame:
         left = members.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))

@@ -47,5 +47,15 @@ def test_decisions_are_on_rows_not_ids(spark):
     assert sorted(r.source for r in left) == sorted(f"s{n}" for n, (_, t) in enumerate(rows) if item not in t)
 
 
+def test_decontamination_writes_no_copy_of_the_texts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, *a: kept.append((df.columns, a)) or stored(df, *a))
+    docs = cases.documents(spark)
+    corpus_pipeline.without_benchmark(spark, docs, SF).count()
+    assert not kept
+    corpus_pipeline.one_of_each_group(spark, docs, SF).count()
+    assert [a for columns, a in kept if "text" in columns] == [("pipeline-rows", "zstd")]
+
+
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
