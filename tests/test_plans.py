@@ -76,6 +76,17 @@ def test_the_fact_is_narrow_when_it_meets_the_passengers(p):
     assert "route_code" in tree.splitlines()[joins[0]] and "passenger_id" in tree.splitlines()[joins[1]], below
 
 
+def test_no_join_of_the_fact_carries_derived_columns(spark, p):
+    tree = p.tickets._jdf.queryExecution().optimizedPlan().toString()
+    first_join = tree.index("Join LeftOuter")
+    for column in ("cabin_class", "tax_share", "ticket_departure", "departure_month", "departure_year"):
+        assert f"AS {column}#" not in tree[first_join:]
+    dim = p.route_dim.selectExpr("*", "1 as tax_share", "2 as price", "3 as departure_year")
+    columns = build_tickets_enriched(p.src["tickets"], dim).columns
+    assert columns[: len(columns) - 3] == [c for c in columns if not c.endswith("_right")]
+    assert columns[-3:] == ["tax_share_right", "price_right", "departure_year_right"]
+
+
 def test_aggregates_are_partial_then_final(p):
     text = plan(marts.revenue_by_route(p.tickets))
     assert "partial_sum" in text and "partial_count" in text
