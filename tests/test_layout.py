@@ -193,7 +193,7 @@ def test_a_layout_moves_own_columns_only(spark, tmp_path, no_broadcast, monkeypa
     if case == "clash":
         routes = routes.withColumn("class", F.lit("long"))
     if case == "many airports":
-        monkeypatch.setattr("aeromart.operators.facts.MAX_AIRPORTS_HELD", 1)
+        monkeypatch.setattr("aeromart.operators.facts.MAX_ROWS_HELD", 1)
     dim = build_route_dimension(routes, airports)
     whole = build_tickets_enriched(tickets, dim, passengers)
     rows, widen = tickets_to_lay_out(tickets, dim, routes, airports, passengers)
@@ -209,3 +209,12 @@ def test_a_layout_moves_own_columns_only(spark, tmp_path, no_broadcast, monkeypa
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() >= 6
     pq.write_fact(rows.where("false"), str(tmp_path / "none"), widen)
     assert pq.read_dataset(spark, str(tmp_path / "none")).columns == whole.columns
+
+
+def test_many_routes_are_merged_however_small_their_file(spark, p, monkeypatch):
+    def join_of_routes():
+        return plan(tickets_to_lay_out(p.src["tickets"], p.route_dim, p.src["routes"], p.src["airports"])[0])
+
+    assert "BroadcastHashJoin [route_code" in join_of_routes()
+    monkeypatch.setattr("aeromart.operators.facts.MAX_ROWS_HELD", 100)
+    assert p.src["airports"].count() <= 100 < p.src["routes"].count() and "SortMergeJoin [route_code" in join_of_routes()
