@@ -1,14 +1,18 @@
 """A fact dealt once for a join and for the layout after it."""
 
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from aeromart.operators.dealing import PART, cuts, join_dealt, place, places
 from aeromart.operators.dimensions import build_route_dimension
-from aeromart.operators.facts import build_tickets_enriched, tickets_to_lay_out
+from aeromart.operators.facts import build_tickets_enriched, ticket_totals_by_flight, tickets_to_lay_out
 from aeromart.operators.joins import join_dimension
+from aeromart.plans import colocated
+from aeromart.plans.registry import Prepared
+from aeromart.session import shared_scratch_path
 from aeromart.sources import parquet as pq
 from tests.test_layout import LAID_AIRPORTS, LAID_ROUTES, LAID_TICKETS, no_broadcast, plan  # noqa: F401
 
@@ -90,3 +94,30 @@ def test_a_layout_of_many_routes_moves_rows_once_for_routes_and_months(spark, tm
     assert all(f == sorted(f) for f in files.values())
     pq.write_fact(rows.where("false"), str(tmp_path / "none"), widen)
     assert pq.read_dataset(spark, str(tmp_path / "none")).columns == whole.columns
+
+
+@pytest.mark.parametrize("held, groups", [(50_000, 32), (100, 32), (100, 1)])
+def test_colocated_facts_deal_own_columns_once_by_flight(spark, no_broadcast, monkeypatch, held, groups):  # noqa: F811
+    """Few routes; many, met where tickets are dealt; many, for more groups than are worth it."""
+    monkeypatch.setattr("aeromart.operators.facts.MAX_ROWS_HELD", held)
+    monkeypatch.setattr(colocated, "MOST_GROUPS", groups)
+    written, write = {}, colocated.write_table
+
+    def seen(df, schema, table, *rest):
+        written[table] = df
+        return write(df, schema, table, *rest)
+
+    monkeypatch.setattr(colocated, "write_table", seen)
+    p = Prepared.of(spark, "/root/testdata/sf0.001")
+    facts = colocated.prepare_colocated(spark, p.src, f"test_{uuid.uuid4().hex[:8]}", 9, 2026, shared_scratch_path(spark, "dealt"))
+    moved = written["tickets_enriched"]
+    assert not {"origin_city", "destination_airport", "route_label", "tax_share", "age_band"} & set(moved.columns)
+    assert (PART in moved.columns) == (held == 100 and groups == 32)
+    if PART in moved.columns:
+        text = plan(moved)
+        assert "hashpartitioning(route_code" not in text and text.count("shufflepartitionidpassthrough") == 2
+    assert facts["tickets_enriched"].columns == p.tickets.columns
+    assert rows_of(facts["tickets_enriched"]) == rows_of(p.tickets.select("*"))
+    totals = plan(ticket_totals_by_flight(facts["tickets_enriched"]))
+    assert "Exchange" not in totals and "SelectedBucketsCount: 9 out of 9" in totals
+    assert rows_of(facts["flights_enriched"].select("flight_id", "tickets_sold", "route_label")) == rows_of(p.flights.select("flight_id", "tickets_sold", "route_label"))
