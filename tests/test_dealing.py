@@ -6,9 +6,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from aeromart.operators.dealing import PART, cuts, join_dealt, place, places
+from aeromart.operators.dealing import PART, Dealing, cuts, join_dealt, join_dealt_group, key_group, place, places
 from aeromart.operators.dimensions import build_route_dimension
-from aeromart.operators.facts import build_tickets_enriched, ticket_totals_by_flight, tickets_to_lay_out
+from aeromart.operators.facts import build_tickets_enriched, ticket_totals_by_flight, tickets_enriched_dealt, tickets_to_lay_out
 from aeromart.operators.joins import join_dimension
 from aeromart.plans import colocated
 from aeromart.plans.registry import Prepared
@@ -23,7 +23,8 @@ def rows_of(df):
 
 def test_cuts_are_quantiles_and_tied_where_a_value_is_hot():
     assert cuts(range(12), 4) == [3, 6, 9]
-    assert cuts(["b", None, "a", "b", "b", "b", "c"], 3) == ["b", "b"]
+    assert cuts(["b", None, "a", "b", "b", "b", "c", "d"], 3) == ["b", "b"]
+    assert cuts([1, 2, 1, 2, 3, 3], 3) == [2, 3]
     assert cuts([None], 3) == [] == cuts([], 3)
 
 
@@ -49,20 +50,21 @@ def test_a_dealt_join_has_the_rows_of_the_plain_one(spark, monkeypatch, no_broad
         "if(id % 3 = 0, 'K7', if(id % 31 = 0, null, concat('K', id % 50))) as key", "if(id % 41 = 0, null, cast(id % 5 as int)) as month", "cast(id % 1500 as string) as payload"
     )
     dim = spark.createDataFrame([*[(f"K{i}", i) for i in range(40)], ("K7", 700), (None, -1)], "key string, value int")
-    dealt = join_dealt(fact, dim, "key", F.col("month"), fact.select("key", "month"), 4, parts)
+    dealt = join_dealt(fact, dim, Dealing.of(fact.select("key", "month"), "key", F.col("month"), 4, parts))
     assert rows_of(dealt.drop(PART)) == rows_of(join_dimension(fact, dim, "key"))
     text = plan(dealt)
     assert text.count("Exchange") == 2 and text.count("shufflepartitionidpassthrough") == 2
     if (parts, most) == (40, 64):
         hot = dealt.where("key = 'K7'").groupBy(PART).count().collect()
         assert len(hot) > 8 and max(r["count"] for r in hot) < 500
-    assert join_dealt(fact.where("false"), dim, "key", F.col("month"), fact.where("false").select("key", "month"), 4, parts).count() == 0
+    none = fact.where("false")
+    assert join_dealt(none, dim, Dealing.of(none.select("key", "month"), "key", F.col("month"), 4, parts)).count() == 0
 
 
 def test_one_month_is_dealt_to_all_groups(spark):
     fact = spark.range(2000).selectExpr("concat('K', id % 97) as key", "3 as month", "id")
     dim = spark.range(97).selectExpr("concat('K', id) as key", "id as value")
-    dealt = join_dealt(fact, dim, "key", F.col("month"), fact.select("key", "month"), 12, 48)
+    dealt = join_dealt(fact, dim, Dealing.of(fact.select("key", "month"), "key", F.col("month"), 12, 48))
     sizes = [r["count"] for r in dealt.groupBy(PART).count().collect()]
     assert len(sizes) >= 40 and max(sizes) < 200 and dealt.where("value is null").count() == 0
 
@@ -121,3 +123,34 @@ def test_colocated_facts_deal_own_columns_once_by_flight(spark, no_broadcast, mo
     totals = plan(ticket_totals_by_flight(facts["tickets_enriched"]))
     assert "Exchange" not in totals and "SelectedBucketsCount: 9 out of 9" in totals
     assert rows_of(facts["flights_enriched"].select("flight_id", "tickets_sold", "route_label")) == rows_of(p.flights.select("flight_id", "tickets_sold", "route_label"))
+
+
+@pytest.mark.parametrize("parts, most", [(1, 64), (40, 64), (40, 3)])
+def test_one_move_serves_two_dimensions(spark, monkeypatch, no_broadcast, parts, most):  # noqa: F811
+    monkeypatch.setattr("aeromart.operators.dealing.MOST_RANGES", most)
+    # hot, unmatched and null keys of both
+    fact = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 'K7', if(id % 31 = 0, null, concat('K', id % 50))) as key", "if(id % 4 = 0, 'P1', if(id % 37 = 0, null, concat('P', id % 700))) as who", "cast(id % 1500 as string) as payload"
+    )
+    dim = spark.createDataFrame([*[(f"K{i}", i) for i in range(40)], ("K7", 700), (None, -1)], "key string, value int")
+    people = spark.createDataFrame([*[(f"P{i}", i) for i in range(600)], ("P1", 700), (None, -1)], "who string, age int")
+    dealing = Dealing.of(fact.select("key", key_group("who")), "key", key_group("who"), 6 if parts > 1 else 1, parts)
+    both = join_dealt(join_dealt_group(fact, people, dealing, "who"), dim, dealing)
+    assert rows_of(both.drop(PART)) == rows_of(join_dimension(join_dimension(fact, people, "who"), dim, "key"))
+    if parts > 1:
+        text = plan(both)
+        assert text.count("Exchange") == 3 == text.count("shufflepartitionidpassthrough")
+
+
+@pytest.mark.parametrize("held", [24, 30])
+def test_the_whole_fact_meets_many_passengers_and_routes_in_one_move(spark, no_broadcast, monkeypatch, held):  # noqa: F811
+    monkeypatch.setattr("aeromart.operators.facts.MAX_ROWS_HELD", held)
+    p = Prepared.of(spark, "/root/testdata/sf0.001")
+    assert p.src["airports"].count() == 25 and min(p.src[t].count() for t in ("routes", "passengers")) > 30
+    dealt = tickets_enriched_dealt(p.src["tickets"], p.route_dim, p.src["routes"], p.src["airports"], p.src["passengers"])
+    text = plan(dealt)
+    moved = text.count("shufflepartitionidpassthrough")
+    # too many airports to hold: the plain joins
+    assert (moved, "hashpartitioning(passenger_id" in text) == ((3, False) if held == 30 else (0, True))
+    assert [(f.name, f.dataType) for f in dealt.schema] == [(f.name, f.dataType) for f in p.tickets.schema]
+    assert rows_of(dealt) == rows_of(p.tickets.select("*"))
