@@ -49,6 +49,24 @@ def test_jaccard_join_finds_every_link(spark, crowd, monkeypatch):
     assert (None, len(sets[2]), None) in got or (None, len(sets[2]), 0) in got
 
 
+@pytest.mark.parametrize("counted", ["rarest first", "a few documents"])
+def test_counts_of_shingles_order_the_keys_and_lose_no_link(spark, counted, monkeypatch):
+    """Whatever the counts say, down to the opposite of the truth, rows are the same."""
+    true = jaccard.common_shingles
+
+    def counts(docs, size, n_docs):
+        shingle, n = true(docs, size, 1)
+        return shingle, n.max(initial=0) - n
+
+    if counted == "a few documents":
+        monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 2)
+    else:
+        monkeypatch.setattr(jaccard, "common_shingles", counts)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(cases.documents(spark)).collect()}
+    sets = {i: shingle_set(t) for i, t in enumerate(cases.texts())}
+    assert {r for r in got if r[0] is not None} == {(i, len(sets[i]), c) for i, c in components(sets).items()}
+
+
 @pytest.mark.parametrize("crowd", [1, 8])
 def test_repeated_rows_of_near_copies_are_met_once(spark, crowd, monkeypatch):
     """Hot ids: a thousand rows of each of two near copies, over many tasks."""
